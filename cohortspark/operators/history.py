@@ -104,9 +104,8 @@ def event_history(
     out = natural_join(dated, sexes, "left", key)
     out = natural_join(out, paired, "left", [key, event, day])
     out = natural_join(out, at_conception, "left", [key, "conception_day"])
-    order = [day, event, "conception_group"]
-    out = number_rows(out, [key], order, "event_no")
-    out = number_rows(out, [key, "conception_group"], order, "event_no_in_group")
+    out = number_rows(out, [key], [day, event, "conception_group"], "event_no")
+    out = number_rows(out, [key, "conception_group"], [day, event, "event_no"], "event_no_in_group")
     out = number_days(out, ["conception_group"], "conception_day", "group_event_no")
     return natural_join(out, at_birth, "left", [key, day]).distinct()
 
