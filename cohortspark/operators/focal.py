@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import per_hour
 from cohortspark.functions.nulls import ifelse_na, isin_safe
-from cohortspark.operators.panel import balanced_panel, category_sums
-from cohortspark.operators.relational import keep_first, natural_join
+from cohortspark.operators.panel import balanced_panel
+from cohortspark.operators.relational import keep_first
 
 #: fixed values: state and point behaviours of the code lists
 STATES = (
@@ -97,8 +97,7 @@ def focal_state_counts(
     others = named.filter(F.col(behaviour) != REPEATED_STATE).select(*columns)
     repeated = named.filter(F.col(behaviour) == REPEATED_STATE).select(*columns, event, order)
     facts = others.unionByName(keep_first(repeated, event, order).select(*columns))
-    panel = balanced_panel(sessions, facts, [session], behaviour, state_names(states), [duration, count])
-    out = natural_join(panel, sessions, "inner", session)
+    out = balanced_panel(sessions, facts, [session], behaviour, state_names(states), [duration, count])
     time = F.col(seen).cast("double")
     return out.withColumns(
         {
@@ -148,23 +147,13 @@ def focal_point_counts(
         .filter(F.col("_name").isNotNull())
         .withColumnRenamed("_name", behaviour)
     )
-    stacked = sessions.select(session, F.lit(True).alias("_unit")).unionByName(
-        facts, allowMissingColumns=True
-    )
-    wide = category_sums(
-        stacked, [session], behaviour, point_names(points), ["_g", "_r"], {"_unit": F.max("_unit")}
-    )
+    panel = balanced_panel(sessions, facts, [session], behaviour, point_names(points), ["_g", "_r"])
     ways = F.array(
         F.struct(F.lit("G").alias("direction"), F.col("_g").alias(count)),
         F.struct(F.lit("R").alias("direction"), F.col("_r").alias(count)),
         F.struct(F.lit("T").alias("direction"), (F.col("_g") + F.col("_r")).alias(count)),
     )
-    long = (
-        wide.filter("_unit")
-        .select(session, F.inline("cells"))
-        .select(session, behaviour, F.inline(ways))
-    )
-    out = natural_join(long, sessions, "inner", session)
+    out = panel.select("*", F.inline(ways)).drop("_g", "_r")
     return out.withColumn(
         "per_hour", per_hour(F.col(count).cast("double"), F.col(seen).cast("double"))
     )

@@ -66,17 +66,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     keys, order = list(keys), list(order)
     buckets = _buckets(df, order)
     names = list(buckets)
-    tagged = df.withColumns(buckets)
-    sizes = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*keys).orderBy(*_asc(names))
-    offsets = sizes.select(*keys, *names, _before(across, "_n").alias("_offset"))
-    inside = Window.partitionBy(*keys, *names).orderBy(*_asc(order))
+    # one non-null key per bucket: the window and the join below share its partitioning
+    tagged = df.withColumns(buckets).withColumn("_key", F.struct(*keys, *names))
+    sizes = tagged.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy(
+        *[F.col(f"_key.{b}").asc_nulls_last() for b in names]
+    )
+    offsets = sizes.select("_key", _before(across, "_n").alias("_offset"))
+    inside = Window.partitionBy("_key").orderBy(*_asc(order))
     return (
-        natural_join(
-            tagged.withColumn("_in", F.row_number().over(inside)), offsets, "inner", [*keys, *names]
-        )
+        tagged.withColumn("_in", F.row_number().over(inside))
+        .join(offsets, "_key")
         .withColumn(out, (F.col("_offset") + F.col("_in")).cast("bigint"))
-        .drop(*names, "_in", "_offset")
+        .drop("_key", *names, "_in", "_offset")
     )
 
 

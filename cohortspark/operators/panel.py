@@ -1,7 +1,7 @@
 """Zero-filled behaviour panels: every unit times every category, effort and daily rates.
 
-A panel is one aggregation. Units and facts are stacked, every category becomes a conditional sum of
-the same group-by, and the cells are unrolled again: one shuffle with map-side combine and no join.
+Facts are summed per (unit, category), folded into one small map per unit and joined to the units; the
+zeros appear only then, row by row from the fixed category list. Dense rows never cross the network.
 """
 
 from __future__ import annotations
@@ -17,33 +17,37 @@ from cohortspark.functions.status import female_category
 from cohortspark.operators.relational import anti, keep_first, natural_join
 
 
-def category_sums(
-    rows: DataFrame,
+def category_map(
+    facts: DataFrame,
     keys: Sequence[str],
     category: str,
     categories: Sequence[str],
     measures: Sequence[str],
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per key with an array ``cells`` of (category, sums), zero where nothing was recorded."""
-    sums = []
-    for i, name in enumerate(categories):
-        for j, m in enumerate(measures):
-            hit = F.when(F.col(category) == name, F.col(m))
-            sums.append(F.sum(hit).alias(f"_s{i}_{j}"))
-    more = [c.alias(n) for n, c in (extra or {}).items()]
-    zero = {m: F.lit(0).cast(dict(rows.dtypes)[m]) for m in measures}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias(category),
-                *[F.coalesce(F.col(f"_s{i}_{j}"), zero[m]).alias(m) for j, m in enumerate(measures)],
-            )
-            for i, name in enumerate(categories)
-        ]
+    """One row per key with a map ``cells``: category -> struct of sums.
+
+    A map holds at most one entry per listed category, whatever the number of facts. ``extra``
+    aggregates run over the per-category sums.
+    """
+    sums = (
+        facts.filter(isin_safe(F.col(category), categories))
+        .groupBy(*keys, category)
+        .agg(*[F.sum(m).alias(m) for m in measures])
     )
-    wide = rows.groupBy(*keys).agg(*sums, *more)
-    return wide.select(*keys, *(extra or {}), cells.alias("cells"))
+    cells = F.map_from_entries(F.collect_list(F.struct(category, F.struct(*measures))))
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    return sums.groupBy(*keys).agg(cells.alias("cells"), *more)
+
+
+def unroll(df: DataFrame, category: str, categories: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row per listed category from the map ``cells``, zero where the map has no entry."""
+    rows = df.withColumn(category, F.explode(F.array(*[F.lit(c) for c in categories])))
+    found = F.try_element_at(F.col("cells"), F.col(category))
+    kinds = {f.name: f.dataType for f in df.schema["cells"].dataType.valueType.fields}
+    return rows.withColumns(
+        {m: F.coalesce(found[m], F.lit(0).cast(kinds[m])) for m in measures}
+    ).drop("cells")
 
 
 def balanced_panel(
@@ -54,12 +58,12 @@ def balanced_panel(
     categories: Sequence[str],
     measures: Sequence[str],
 ) -> DataFrame:
-    """Every unit times every category with the summed measures, 0 where there is no fact."""
-    stacked = units.select(*keys, F.lit(True).alias("_unit")).unionByName(
-        facts.select(*keys, category, *measures), allowMissingColumns=True
-    )
-    wide = category_sums(stacked, keys, category, categories, measures, {"_unit": F.max("_unit")})
-    return wide.filter("_unit").select(*keys, F.inline("cells"))
+    """Every unit times every category with the summed measures, 0 where there is no fact.
+
+    ``units`` has one row per key; its other columns are kept.
+    """
+    cells = category_map(facts, keys, category, categories, measures)
+    return unroll(units.join(cells, list(keys), "left"), category, categories, measures)
 
 
 def given_totals(
@@ -120,8 +124,8 @@ def daily_rollup(
 ) -> DataFrame:
     """Per day key and behaviour: count, duration, share of the time seen, and frequency per hour."""
     seen = F.sum(F.when(F.col(behaviour) != unseen, F.col(duration)))
-    wide = category_sums(facts, keys, behaviour, categories, [count, duration], {"seen": seen})
-    return wide.select(*keys, "seen", F.inline("cells")).withColumns(
+    per_day = category_map(facts, keys, behaviour, categories, [count, duration], {"seen": seen})
+    return unroll(per_day, behaviour, categories, [count, duration]).withColumns(
         {
             "proportion": F.try_divide(F.col(duration).cast("double"), F.col("seen").cast("double")),
             "per_hour": per_hour(F.col(count).cast("double"), F.col("seen").cast("double")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.status import recode
-from cohortspark.operators.panel import category_sums
+from cohortspark.operators.panel import balanced_panel, category_map
 from cohortspark.operators.relational import natural_join, syntactic, union_rows
 
 #: fixed values: the instantaneous behaviours and the totals built from them
@@ -74,13 +74,11 @@ def scan_instant_counts(
 
     Plain locomotion excludes locomotion while working; ``total_scans`` sums all seventeen behaviours.
     """
-    names = {b: syntactic(b) for b in INSTANT}
-    sums = {
-        n: F.coalesce(F.sum(F.when(F.col(behaviour) == b, F.col(count))), F.lit(0)).cast("bigint")
-        for b, n in names.items()
+    wide = category_map(events, keys, behaviour, INSTANT, [count])
+    at = {
+        syntactic(b): F.coalesce(F.try_element_at("cells", F.lit(b))[count], F.lit(0)).cast("bigint")
+        for b in INSTANT
     }
-    wide = events.groupBy(*keys).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums.values())])
-    at = {n: F.col(f"_{i}") for i, n in enumerate(sums)}
     at["Locomotion"] = at["Locomotion"] - at["LocoWork"]
 
     def total(parts: Sequence[str]):
@@ -108,7 +106,7 @@ def scan_directed_counts(
 ) -> DataFrame:
     """Given (as actor), received (as partner) and total counts per individual seen in a session.
 
-    One pass: each event yields an actor and a partner row, both summed in the same aggregation.
+    One pass: each event yields an actor and a partner row, summed together.
     """
     roles = F.array(
         F.struct(F.col(actor).alias("_who"), F.col(count).alias("_g"), F.lit(0).cast("bigint").alias("_r")),
@@ -120,19 +118,14 @@ def scan_directed_counts(
         .filter(F.col("_who").isNotNull())
         .withColumnRenamed("_who", actor)
     )
-    stacked = seen.select(session, actor, F.lit(True).alias("_unit")).unionByName(
-        sides, allowMissingColumns=True
-    )
-    wide = category_sums(
-        stacked, [session, actor], behaviour, behaviours, ["_g", "_r"], {"_unit": F.max("_unit")}
-    )
+    units = seen.select(session, actor).distinct()
+    panel = balanced_panel(units, sides, [session, actor], behaviour, behaviours, ["_g", "_r"])
     ways = F.array(
         F.struct(F.lit("G").alias("received"), F.col("_g").alias(count)),
         F.struct(F.lit("R").alias("received"), F.col("_r").alias(count)),
         F.struct(F.lit("T").alias("received"), (F.col("_g") + F.col("_r")).alias(count)),
     )
-    cells = wide.filter("_unit").select(session, actor, F.inline("cells"))
-    return cells.select(session, actor, behaviour, F.inline(ways))
+    return panel.select(session, actor, behaviour, F.inline(ways))
 
 
 def scan_behaviour_counts(instant: DataFrame, directed: DataFrame, session: str, who: str) -> DataFrame:

@@ -45,7 +45,8 @@ _PANEL = f"""SELECT u.source, u.focal_ref, u.animal, u.day, c.behaviour, COALESC
 def _panel(spark, sf):
     facts = _facts(spark, sf)
     kept = facts.filter((F.col("behaviour") == "click") | (F.col("k") % 3 > 0))
-    return panel.balanced_panel(facts, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"])
+    units = facts.select(*UNIT).distinct()
+    return panel.balanced_panel(units, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"])
 
 
 @query("balanced_panel", sql(_PANEL, "sessions"))
