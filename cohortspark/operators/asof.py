@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import day_diff
-from cohortspark.operators.relational import keep_first, natural_join
+from cohortspark.operators.relational import lookup
 
 
-def _timeline(points: DataFrame, days: DataFrame, key: str, day: str, payload: list[str]) -> DataFrame:
-    """Each distinct point day with ``_prev`` and ``_next``: the nearest observed days around it."""
+def _timeline(
+    points: DataFrame, days: DataFrame, key: str, day: str, payload: dict[str, Column] | None = None
+) -> DataFrame:
+    """Each distinct point day with ``_prev`` and ``_next``: the nearest observed days around it.
+
+    ``payload`` maps columns of ``days`` to the aggregate that sums up one day.
+    """
+    payload = payload or {}
     at = points.select(key, day, F.lit(True).alias("_point"))
     seen = days.select(key, day, F.lit(False).alias("_point"), *payload)
     merged = (
@@ -24,7 +30,7 @@ def _timeline(points: DataFrame, days: DataFrame, key: str, day: str, payload: l
         .agg(
             F.max("_point").alias("_point"),
             F.max(~F.col("_point")).alias("_seen"),
-            *[F.sum(c).alias(c) for c in payload],
+            *[agg.alias(c) for c, agg in payload.items()],
         )
     )
     found = F.when(F.col("_seen"), F.struct(F.col(day).alias("day"), *payload))
@@ -63,7 +69,8 @@ def nearest_observation(
         F.lit(1).alias("_rows"),
         F.when(F.col(value).isNotNull(), 1).otherwise(0).alias("_known"),
     )
-    line = _timeline(points, obs, key, day, ["_sum", "_rows", "_known"])
+    daily = {c: F.sum(c) for c in ("_sum", "_rows", "_known")}
+    line = _timeline(points, obs, key, day, daily)
 
     def total(field: str, *sides: Column) -> Column:
         cols = [F.coalesce(s[field], F.lit(0)) for s in sides]
@@ -96,14 +103,14 @@ def next_event_day(
     points: DataFrame, events: DataFrame, key: str, day: str, event_day: str, out: str
 ) -> DataFrame:
     """First event day at or after each distinct (key, day); NULL when there is none."""
-    line = _timeline(points, events.select(key, F.col(event_day).alias(day)), key, day, [])
+    line = _timeline(points, events.select(key, F.col(event_day).alias(day)), key, day)
     return line.select(key, day, F.col("_next")["day"].alias(out))
 
 
 def previous_event_day(
     points: DataFrame, events: DataFrame, key: str, day: str, event_day: str, out: str
 ) -> DataFrame:
-    line = _timeline(points, events.select(key, F.col(event_day).alias(day)), key, day, [])
+    line = _timeline(points, events.select(key, F.col(event_day).alias(day)), key, day)
     return line.select(key, day, F.col("_prev")["day"].alias(out))
 
 
@@ -136,13 +143,13 @@ def attribute_pairing(
     day resolve to the first group name.
     """
     shifted = events.withColumn("_latest", F.date_sub(event_day, min_gap + 1))
-    found = previous_event_day(shifted, pairings, key, "_latest", pairing_day, pairing_day).filter(
-        F.col(pairing_day).isNotNull()
+    dated = pairings.select(key, F.col(pairing_day).alias("_latest"), pairing_group)
+    line = _timeline(shifted, dated, key, "_latest", {pairing_group: F.min(pairing_group)})
+    found = line.filter(F.col("_prev").isNotNull()).select(
+        key, "_latest", F.col("_prev")["day"].alias(pairing_day), F.col("_prev")[pairing_group].alias(pairing_group)
     )
-    named = keep_first(pairings.select(key, pairing_day, pairing_group), [key, pairing_day], pairing_group)
-    with_group = natural_join(found, named, "inner", [key, pairing_day])
     return (
-        natural_join(shifted, with_group, "inner", [key, "_latest"])
+        lookup(shifted, found, [key, "_latest"], "inner")
         .withColumn(diff, day_diff(F.col(event_day), F.col(pairing_day)))
         .drop("_latest")
     )

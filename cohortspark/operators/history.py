@@ -13,7 +13,7 @@ from cohortspark.operators.asof import attribute_pairing
 from cohortspark.operators.intervals import interval_membership
 from cohortspark.operators.ordering import day_table, number_days, number_rows
 from cohortspark.operators.profile import event_offset
-from cohortspark.operators.relational import natural_join, union_rows
+from cohortspark.operators.relational import lookup, natural_join, union_rows
 
 #: spellings of a father that stand for "not known" (fixed values)
 UNKNOWN_FATHER = ("Unknown ", "Unknown")
@@ -67,8 +67,8 @@ def event_group(
     where = interval_membership(wanted, spans, key, day, start, end)
     at_birth = where.withColumnRenamed(group, "event_group")
     at_conception = where.withColumnsRenamed({group: "conception_group", day: "conception_day"})
-    out = natural_join(dated, at_birth, "left", [key, day])
-    return natural_join(out, at_conception, "left", [key, "conception_day"])
+    out = lookup(dated, at_birth, [key, day])
+    return lookup(out, at_conception, [key, "conception_day"])
 
 
 def event_history(
@@ -102,12 +102,12 @@ def event_history(
     at_birth = where.withColumnRenamed(group, "event_group").distinct()
 
     out = natural_join(dated, sexes, "left", key)
-    out = natural_join(out, paired, "left", [key, event, day])
-    out = natural_join(out, at_conception, "left", [key, "conception_day"])
+    out = lookup(out, paired, [key, event, day])
+    out = lookup(out, at_conception, [key, "conception_day"])
     out = number_rows(out, [key], [day, event, "conception_group"], "event_no")
     out = number_rows(out, [key, "conception_group"], [day, event, "event_no"], "event_no_in_group")
     out = number_days(out, ["conception_group"], "conception_day", "group_event_no")
-    return natural_join(out, at_birth, "left", [key, day]).distinct()
+    return lookup(out, at_birth, [key, day]).distinct()
 
 
 def breeder_membership(events: DataFrame, intervals: DataFrame, sexes: DataFrame, key: str) -> DataFrame:
@@ -140,14 +140,15 @@ def pairing_timeline(
 
 
 def pairing_success(
-    pairings: DataFrame, history: DataFrame, key: str, pairing_day: str, event_day: str, event_no: str
+    pairings: DataFrame, history: DataFrame, key: str, pairing_day: str, event_day: str
 ) -> DataFrame:
-    """Per pairing: first litter it led to, success Yes/No, and the first litter ever."""
+    """Per pairing: first litter it led to, success Yes/No, and the first litter ever.
+
+    ``history`` holds every litter with the pairing it is attributed to, if any.
+    """
     litters = history.filter(F.col(pairing_day).isNotNull())
     first_of_pairing = litters.groupBy(key, pairing_day).agg(F.min(event_day).alias("first_event_day"))
-    first_ever = (
-        history.filter(F.col(event_no) == 1).groupBy(key).agg(F.min(event_day).alias("first_event_ever"))
-    )
+    first_ever = history.groupBy(key).agg(F.min(event_day).alias("first_event_ever"))
     unique = pairings.select(key, pairing_day).distinct()
     out = natural_join(unique, first_of_pairing, "left", [key, pairing_day])
     out = out.withColumn(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import epoch_day
 from cohortspark.functions.nulls import not_isin_safe
-from cohortspark.operators.relational import anti, keep_first, natural_join, union_distinct
+from cohortspark.operators.relational import keep_first, lookup, union_distinct
 
 #: cell widths in days; an interval is stored at the first width that covers it with few cells
 CELL_WIDTHS = (64, 4096)
@@ -121,7 +121,7 @@ def change_day_flag(
         .filter(F.col("_groups") > 1)
         .select(*keys, F.lit("Yes").alias(out))
     )
-    return natural_join(points, doubled, "left", list(keys)).fillna("No", subset=[out])
+    return lookup(points, doubled, list(keys)).fillna("No", subset=[out])
 
 
 def declared_vs_derived(
@@ -138,8 +138,9 @@ def declared_vs_derived(
         flags = change_day_flag(
             membership.select(*keys).distinct(), membership, keys, derived, "_change"
         )
-        rows = anti(rows, flags.filter(F.col("_change") == "Yes"), list(keys))
-    both = natural_join(rows, membership.select(*keys, derived), "inner", list(keys))
+        changed = flags.filter(F.col("_change") == "Yes").select(*keys)
+        rows = lookup(rows, changed, list(keys), "left_anti")
+    both = lookup(rows, membership.select(*keys, derived), list(keys), "inner")
     return both.withColumn(
         out, F.when(F.col(declared) == F.col(derived), "Yes").otherwise("No")
     )

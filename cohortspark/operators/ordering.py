@@ -8,6 +8,7 @@ inside a bucket. The bucket tables are bounded by the calendar or the value rang
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +92,14 @@ def number_days(df: DataFrame, keys: Sequence[str], day: str, out: str) -> DataF
     )
 
 
+def _grain(df: DataFrame, value: str) -> Decimal | None:
+    """Smallest step between two values of an exact type; None for floating point."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.DecimalType):
+        return Decimal(1).scaleb(-kind.scale)
+    return Decimal(1) if isinstance(kind, T.IntegralType) else None
+
+
 def value_table(
     df: DataFrame,
     keys: Sequence[str],
@@ -120,7 +129,16 @@ def value_table(
     own = F.when(F.col("_home") == F.col("_slice"), F.col("_n")).otherwise(0)
     part = ", ".join(f"`{c}`" for c in [*keys, "_slice"])
     near = {}
+    grain = _grain(df, value)
     for name, t in thresholds.items():
+        if grain is not None:
+            # values are multiples of the grain: "less than t" is "at most t minus one grain"
+            reach = Decimal(str(t)) - grain
+            near[name] = F.expr(
+                f"sum(_n) over (partition by {part} order by `{value}`"
+                f" range between {reach} preceding and {reach} following) - 1"
+            ).cast("bigint")
+            continue
         inclusive = f"partition by {part} order by `{value}` range between"
         # RANGE frames include both ends; values exactly at the threshold are taken off again
         near[name] = F.expr(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import months_between_days
@@ -13,7 +13,7 @@ from cohortspark.functions.status import pregnancy_split, trimester_status
 from cohortspark.operators.asof import next_event_day
 from cohortspark.operators.intervals import select_in_period
 from cohortspark.operators.ordering import number_rows
-from cohortspark.operators.relational import join_on, natural_join, union_rows
+from cohortspark.operators.relational import join_on, lookup, natural_join, union_rows
 
 #: fixed values: months before the end date and the name of that look-back point
 PERIOD_NAMES = {
@@ -58,62 +58,134 @@ def lookback_grid(
     )
 
 
-def period_starts(
-    grid: DataFrame, birth: str, start: str, step: int = 6, last: int = 24, min_age: float = 12
+def _stretches(
+    entities: DataFrame,
+    key: str,
+    birth: str,
+    start: str,
+    end: str,
+    step: int,
+    last: int,
+    min_age: float,
+    default_start_days: int,
 ) -> DataFrame:
-    """Half-year points old enough and after the start, or the first one of a short study.
+    """Per entity: the kept half-year points ``_kept``, newest first, and the oldest stretch ``_last``.
 
-    The next older point follows from the fixed grid, so no window is needed.
+    Everything follows from the entity's own dates, so this is a row-wise computation over an array of
+    a few points; no shuffle, no window.
     """
-    following = F.create_map(
-        *[F.lit(x) for m in range(step, last, step) for x in (m, PERIOD_NAMES[m + step])]
-    )
-    short = (F.col("duration") < step) & (F.col("months") == step)
-    old_enough = (F.col("period_age") > min_age) | F.col(birth).isNull()
-    return (
-        grid.filter((F.col("months") % step == 0) & (F.col("months") <= last))
-        .withColumn("next_period", F.try_element_at(following, F.col("months")))
-        .filter((old_enough & (F.col("period_day") > F.col(start))) | short)
-        .withColumn("period_type", F.when(short, "Last").otherwise("First"))
-        .withColumn(
-            "period_day",
-            F.when(F.col("period_day") < F.col(start), F.col(start)).otherwise(F.col("period_day")),
+    rows = entities.select(
+        key, birth, F.coalesce(F.col(start), F.date_sub(end, default_start_days)).alias("_start"), end
+    ).withColumn("_duration", months_between_days(F.col(end), F.col("_start")))
+    months = [m for m in PERIOD_NAMES if m % step == 0 and m <= last]
+    points = []
+    for m in months:
+        day = F.add_months(end, -m)
+        short = (F.col("_duration") < step) if m == step else F.lit(False)
+        adult = (months_between_days(day, F.col(birth)) > min_age) | F.col(birth).isNull()
+        keep = F.coalesce((adult & (day > F.col("_start"))) | short, F.lit(False))
+        points.append(
+            F.when(
+                keep,
+                F.struct(
+                    F.lit(m).alias("months"),
+                    F.lit(PERIOD_NAMES[m]).alias("period"),
+                    F.lit(PERIOD_NAMES[m + step] if m < last else None).cast("string").alias("next_period"),
+                    F.when(day < F.col("_start"), F.col("_start")).otherwise(day).alias("period_day"),
+                    F.when(short, "Last").otherwise("First").alias("period_type"),
+                ),
+            )
         )
+    rows = rows.withColumn("_kept", F.filter(F.array(*points), lambda p: p.isNotNull()))
+    oldest = F.try_element_at("_kept", F.lit(-1))
+    stretch = F.struct(
+        (oldest["months"] + step).alias("months"),
+        oldest["next_period"].alias("period"),
+        # greatest() skips a NULL birthday, which leaves the study start
+        F.greatest(F.add_months(birth, 12), F.col("_start")).alias("period_day"),
+        F.lit("Last").alias("period_type"),
+    )
+    has_last = oldest["next_period"].isNotNull() & (F.col("_duration") > step)
+    return rows.withColumn(
+        "_last", F.filter(F.array(F.when(has_last, stretch)), lambda p: p.isNotNull())
     )
 
 
-def last_period(starts: DataFrame, grid: DataFrame, key: str, start: str, min_duration: float = 6) -> DataFrame:
-    """The oldest stretch: from the later of first birthday and study start."""
-    oldest = (
-        starts.groupBy(key)
-        .agg(F.min_by("next_period", F.struct("period_day", -F.col("months"))).alias("period"))
-        .filter(F.col("period").isNotNull())
-    )
-    rows = natural_join(oldest, grid, "inner", [key, "period"])
-    return rows.filter(F.col("duration") > min_duration).withColumns(
-        {
-            # greatest() skips a NULL birthday, which leaves the study start
-            "period_day": F.greatest("first_birthday", start),
-            "period_type": F.lit("Last"),
-        }
-    )
+def period_starts(
+    entities: DataFrame,
+    key: str,
+    birth: str,
+    start: str,
+    end: str,
+    step: int = 6,
+    last: int = 24,
+    min_age: float = 12,
+    default_start_days: int = 500,
+) -> DataFrame:
+    """Half-year points old enough and after the start, or the first one of a short study.
+
+    A point before the start moves to the start.
+    """
+    rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
+    return rows.select(key, F.inline("_kept"))
+
+
+def last_period(
+    entities: DataFrame,
+    key: str,
+    birth: str,
+    start: str,
+    end: str,
+    step: int = 6,
+    last: int = 24,
+    min_age: float = 12,
+    default_start_days: int = 500,
+) -> DataFrame:
+    """The stretch older than the oldest kept point: from the later of first birthday and study start."""
+    rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
+    return rows.select(key, F.inline("_last"))
 
 
 def available_periods(
-    starts: DataFrame, last: DataFrame, entities: DataFrame, key: str, end: str
+    entities: DataFrame,
+    key: str,
+    birth: str,
+    start: str,
+    end: str,
+    step: int = 6,
+    last: int = 24,
+    min_age: float = 12,
+    default_start_days: int = 500,
 ) -> DataFrame:
-    """Consecutive stretches per entity from the end date backwards; the oldest point only closes one.
+    """Consecutive stretches per entity from the end date backwards; the oldest point only closes one."""
+    rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
 
-    A window partition holds one row per look-back point of one entity.
-    """
-    columns = [key, "months", *PERIOD_COLUMNS]
-    ends = entities.select(
-        key, F.lit(0).alias("months"), F.lit(END_PERIOD).alias("period"), F.col(end).alias("period_day")
+    def ordered(day: Column, months: Column, period: Column, kind: Column) -> Column:
+        fields = (day, -months, period, kind)
+        return F.struct(*[c.alias(n) for c, n in zip(fields, ("day", "rank", "period", "type"), strict=True)])
+
+    def plain(array: str) -> Column:
+        return F.transform(
+            array, lambda p: ordered(p["period_day"], p["months"], p["period"], p["period_type"])
+        )
+
+    finish = F.array(
+        ordered(F.col(end), F.lit(0), F.lit(END_PERIOD), F.lit(None).cast("string"))
+    )
+    chain = F.sort_array(F.concat(finish, plain("_kept"), plain("_last")), asc=False)
+
+    def stretch(i: Column) -> Column:
+        names = dict(zip(PERIOD_COLUMNS, ("period", "day", "type"), strict=True))
+        now, older = F.get("_chain", i), F.get("_chain", i + 1)
+        return F.struct(
+            *[now[f].alias(c) for c, f in names.items()],
+            *[older[f].alias("end_" + c) for c, f in names.items()],
+        )
+
+    pairs = F.when(
+        F.size("_chain") > 1, F.transform(F.sequence(F.lit(0), F.size("_chain") - 2), stretch)
     )
-    rows = union_rows(starts.select(*columns), last.select(*columns), ends)
-    w = Window.partitionBy(key).orderBy(F.col("period_day").desc_nulls_last(), "months", "period")
-    ahead = {"end_" + c: F.lead(c).over(w) for c in PERIOD_COLUMNS}
-    return rows.withColumns(ahead).filter(F.col("end_period").isNotNull()).drop("months")
+    return rows.withColumn("_chain", chain).select(key, F.inline(pairs))
 
 
 def period_list(periods: DataFrame, key: str) -> DataFrame:
@@ -160,7 +232,7 @@ def with_gestation(
     """Trimester stage of each sample day from the next event of the same individual."""
     upcoming = next_event_day(samples, events, key, day, event_day, "_next")
     stage = trimester_status(F.datediff(day, "_next"))
-    return natural_join(samples, upcoming.withColumn(out, stage).drop("_next"), "left", [key, day])
+    return lookup(samples, upcoming.withColumn(out, stage).drop("_next"), [key, day])
 
 
 def samples_in_period(

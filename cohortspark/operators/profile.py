@@ -12,7 +12,7 @@ from cohortspark.functions.dates import age, day_diff
 from cohortspark.functions.nulls import count_where
 from cohortspark.operators.intervals import interval_join
 from cohortspark.operators.ordering import value_table
-from cohortspark.operators.relational import keep_first, natural_join
+from cohortspark.operators.relational import keep_first, lookup, natural_join
 
 
 def entity_profile(
@@ -79,7 +79,7 @@ def young_count(
         .groupBy(*keys, day)
         .agg(F.count(F.lit(1)).alias(out))
     )
-    return natural_join(wanted, found, "left", [*keys, day]).fillna(0, subset=[out])
+    return lookup(wanted, found, [*keys, day]).fillna(0, subset=[out])
 
 
 def neighbour_count(

@@ -60,6 +60,15 @@ def join_on(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str =
     return left.join(renamed, cond, how).drop(*[_RIGHT + r for r in pairs.values()])
 
 
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """Join to a derived table whose keys are never NULL.
+
+    Plain equality then equals the null-safe test, and Spark can reuse the partitioning the derived
+    table already has.
+    """
+    return left.join(right, _as_list(on), how)
+
+
 def semi(left: DataFrame, right: DataFrame, on=None) -> DataFrame:
     return natural_join(left, right, "left_semi", on)
 

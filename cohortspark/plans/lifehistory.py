@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import cohort, history, quality
 from cohortspark.operators.ordering import summary_stats as stats
-from cohortspark.operators.relational import natural_join
+from cohortspark.operators.relational import lookup, natural_join
 from cohortspark.plans import roles
 from cohortspark.plans.registry import query
 from cohortspark.plans.roles import PRIORITIES, SEGMENTS, sql
@@ -204,9 +204,10 @@ def repeated_pairings(spark, sf):
     ),
 )
 def pairing_success(spark, sf):
-    return history.pairing_success(
-        roles.pairings(spark, sf), _history(spark, sf), "animal", "pairing_day", "day", "event_no"
-    )
+    births, pairs = roles.litters(spark, sf), roles.pairings(spark, sf)
+    paired = history.attribute_pairing(births, pairs, "animal", "day", "pairing_day", "colony")
+    litters = lookup(births, paired.select("animal", "event_id", "pairing_day"), ["animal", "event_id"])
+    return history.pairing_success(pairs, litters, "animal", "pairing_day", "day")
 
 
 @query(

@@ -19,18 +19,11 @@ def _grid(spark, sf):
     )
 
 
-def _starts(spark, sf):
-    return periods.period_starts(_grid(spark, sf), "birth_date", "start_date")
-
-
-def _last(spark, sf):
-    return periods.last_period(_starts(spark, sf), _grid(spark, sf), "animal", "start_date")
+DATES = ("animal", "birth_date", "start_date", "death_date")
 
 
 def _periods(spark, sf):
-    return periods.available_periods(
-        _starts(spark, sf), _last(spark, sf), roles.entity(spark, sf), "animal", "death_date"
-    )
+    return periods.available_periods(roles.entity(spark, sf), *DATES)
 
 
 def _samples(spark, sf):
@@ -98,9 +91,7 @@ def lookback_grid(spark, sf):
     sql("SELECT animal, months, period, next_period, period_day, period_type FROM starts", "starts"),
 )
 def period_starts(spark, sf):
-    return _starts(spark, sf).select(
-        "animal", "months", "period", "next_period", "period_day", "period_type"
-    )
+    return periods.period_starts(roles.entity(spark, sf), *DATES)
 
 
 @query(
@@ -108,7 +99,7 @@ def period_starts(spark, sf):
     sql("SELECT animal, months, period, period_day, period_type FROM last_stretch", "last_stretch"),
 )
 def last_period(spark, sf):
-    return _last(spark, sf).select("animal", "months", "period", "period_day", "period_type")
+    return periods.last_period(roles.entity(spark, sf), *DATES)
 
 
 @query("available_periods", sql("SELECT * FROM periods", "periods"))
