@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cohortspark.functions.dates import months_between_days
 from cohortspark.functions.nulls import fill, isin_safe, not_isin_safe
 from cohortspark.functions.status import recode
-from cohortspark.operators.intervals import group_at_offset, interval_join
+from cohortspark.operators.intervals import groups_at_offsets, interval_join
 from cohortspark.operators.ordering import number_rows
-from cohortspark.operators.relational import anti, contingency, natural_join, union_rows
+from cohortspark.operators.relational import anti, contingency, lookup, natural_join, union_rows
 
 NO_UNIT = "Non-Experimental"
 
@@ -50,14 +50,16 @@ def treatment(
     Subjects without an experiment group drop out.
     """
     spans = intervals.select(key, group, start, end)
-    at_start = group_at_offset(
-        subjects, spans, key, anchor_start, start_offset, group, start, end, "start_group"
-    )
-    at_experiment = group_at_offset(
-        subjects, spans, key, study_start, experiment_offset, group, start, end, "experiment_group"
-    )
-    placed = natural_join(
-        subjects.withColumn("_at", F.date_add(study_start, experiment_offset)), at_experiment, "inner", key
+    anchors = {
+        "start_group": (anchor_start, start_offset),
+        "experiment_group": (study_start, experiment_offset),
+    }
+    groups = groups_at_offsets(subjects, spans, key, anchors, group, start, end)
+    placed = lookup(
+        subjects.withColumn("_at", F.date_add(study_start, experiment_offset)),
+        groups.filter(F.col("experiment_group").isNotNull()),
+        key,
+        "inner",
     )
     group_days = placed.select("experiment_group", "_at").distinct()
     members = interval_join(
@@ -69,8 +71,7 @@ def treatment(
         end,
     )
     sizes = members.groupBy("experiment_group", "_at").agg(F.count(F.lit(1)).alias("group_size"))
-    out = natural_join(placed, sizes, "inner", ["experiment_group", "_at"])
-    out = natural_join(out, at_start, "left", key)
+    out = lookup(placed, sizes, ["experiment_group", "_at"], "inner")
     label = (
         F.when(F.col("group_size") == 1, "Solitary")
         .when(F.col("experiment_group") != F.col("start_group"), "Breeder")

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.intervals import interval_membership
-from cohortspark.operators.relational import natural_join
-from cohortspark.session import checkpointed
+from cohortspark.operators.intervals import interval_join
+from cohortspark.session import staged
 
 
 def valid_dyads(
@@ -29,12 +28,9 @@ def valid_dyads(
     Dyads without a study name are dropped along with the excluded study.
     """
     kept = dyads.filter(F.col(study) != exclude_study)
-    spans = intervals.select(
-        F.col(key).alias(partner), F.col(group).alias("_partner_group"), start, end
-    )
-    where = interval_membership(kept.select(partner, day), spans, partner, day, start, end)
-    joined = natural_join(kept, where, "inner", [partner, day])
-    return joined.filter(F.col(group) == F.col("_partner_group")).drop("_partner_group").distinct()
+    spans = intervals.select(F.col(key).alias(partner), group, start, end)
+    found = interval_join(kept, spans, [partner, group], day, start, end)
+    return found.drop(start, end).distinct()
 
 
 def win_loss(
@@ -77,11 +73,11 @@ def elo_ratings(
 
     All contests of a period are rated against the ratings at its start, so a period is a join and an
     aggregation instead of a walk through a group's rows. The loop runs over calendar periods; its
-    length does not depend on the number of rows. Ratings are checkpointed each period.
+    length does not depend on the number of rows. Ratings are staged each period.
     """
     span = contests.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
     period = F.floor(F.datediff(day, F.lit(span["a"])) / period_days).cast("int")
-    results = checkpointed(
+    results = staged(
         contests.groupBy(
             group, period.alias("_period"), F.col(winner).alias("_w"), F.col(loser).alias("_l")
         ).agg(F.count(F.lit(1)).alias("_n"))
@@ -95,7 +91,7 @@ def elo_ratings(
         .groupBy(group, "player")
         .agg(F.sum("won").cast("bigint").alias("wins"), F.sum("lost").cast("bigint").alias("losses"))
     )
-    ratings = checkpointed(tally.withColumn("rating", F.lit(float(start))))
+    ratings = staged(tally.withColumn("rating", F.lit(float(start))))
     if span["a"] is None:
         return ratings
     for p in range((span["b"] - span["a"]).days // period_days + 1):
@@ -112,7 +108,7 @@ def elo_ratings(
             F.struct(F.col("_l").alias("player"), (-gain).alias("_d")),
         )
         change = round_.select(group, F.inline(moves)).groupBy(group, "player").agg(F.sum("_d").alias("_d"))
-        ratings = checkpointed(
+        ratings = staged(
             ratings.join(change, [group, "player"], "left")
             .withColumn("rating", F.col("rating") + F.coalesce(F.col("_d"), F.lit(0.0)))
             .drop("_d")

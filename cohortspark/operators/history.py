@@ -14,6 +14,7 @@ from cohortspark.operators.intervals import interval_membership
 from cohortspark.operators.ordering import day_table, number_days, number_rows
 from cohortspark.operators.profile import event_offset
 from cohortspark.operators.relational import lookup, natural_join, union_rows
+from cohortspark.session import staged
 
 #: spellings of a father that stand for "not known" (fixed values)
 UNKNOWN_FATHER = ("Unknown ", "Unknown")
@@ -45,8 +46,8 @@ def pairing_sequence(pairings: DataFrame, key: str, group: str, day: str) -> Dat
     """De-duplicated pairings numbered per individual, per individual and group, and per group date."""
     unique = pairings.select(key, group, day).distinct()
     out = number_rows(unique, [key], [day, group], "pairing_no")
-    out = number_days(out, [key, group], day, "pairing_no_in_group")
-    return number_days(out, [group], day, "group_pairing_no")
+    out = number_days(out, [key, group], day, "pairing_no_in_group", counted=unique)
+    return number_days(out, [group], day, "group_pairing_no", counted=unique)
 
 
 def event_group(
@@ -103,10 +104,12 @@ def event_history(
 
     out = natural_join(dated, sexes, "left", key)
     out = lookup(out, paired, [key, event, day])
-    out = lookup(out, at_conception, [key, "conception_day"])
-    out = number_rows(out, [key], [day, event, "conception_group"], "event_no")
-    out = number_rows(out, [key, "conception_group"], [day, event, "event_no"], "event_no_in_group")
-    out = number_days(out, ["conception_group"], "conception_day", "group_event_no")
+    base = staged(lookup(out, at_conception, [key, "conception_day"]))
+    out = number_rows(base, [key], [day, event, "conception_group"], "event_no")
+    out = number_rows(
+        out, [key, "conception_group"], [day, event, "event_no"], "event_no_in_group", counted=base
+    )
+    out = number_days(out, ["conception_group"], "conception_day", "group_event_no", counted=base)
     return lookup(out, at_birth, [key, day]).distinct()
 
 

@@ -92,6 +92,37 @@ def group_roster(
     return found.select(group, member, day)
 
 
+def groups_at_offsets(
+    entities: DataFrame,
+    intervals: DataFrame,
+    key: str,
+    anchors: dict[str, tuple[str, int]],
+    group: str,
+    start: str,
+    end: str,
+    exclude: Sequence[str] = (),
+) -> DataFrame:
+    """Group of each entity some days after an anchor date; the earlier interval on a change day.
+
+    ``anchors`` maps an output column to (anchor date column, days). All dates share one interval join
+    and one aggregation; entities without any group drop out.
+    """
+    dates = F.array(
+        *[
+            F.struct(F.lit(out).alias("_which"), F.date_add(anchor, days).alias("_day"))
+            for out, (anchor, days) in anchors.items()
+        ]
+    )
+    wanted = entities.select(key, F.inline(dates))
+    usable = intervals.select(key, group, start, end).filter(not_isin_safe(F.col(group), exclude))
+    found = interval_join(wanted, usable, [key], "_day", start, end)
+    # min_by skips rows whose order is NULL, i.e. rows of the other dates
+    order = F.struct(start, group)
+    return found.groupBy(key).agg(
+        *[F.min_by(group, F.when(F.col("_which") == out, order)).alias(out) for out in anchors]
+    )
+
+
 def group_at_offset(
     entities: DataFrame,
     intervals: DataFrame,
@@ -104,11 +135,9 @@ def group_at_offset(
     out: str,
     exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Group of each entity ``days`` after its anchor date; the earlier interval on a change day."""
-    shifted = entities.select(key, F.date_add(anchor, days).alias("_day"))
-    usable = intervals.select(key, group, start, end).filter(not_isin_safe(F.col(group), exclude))
-    found = interval_membership(shifted, usable, key, "_day", start, end, keep="first")
-    return found.select(key, F.col(group).alias(out))
+    return groups_at_offsets(
+        entities, intervals, key, {out: (anchor, days)}, group, start, end, exclude
+    )
 
 
 def change_day_flag(
@@ -135,11 +164,13 @@ def declared_vs_derived(
 ) -> DataFrame:
     """Recorded group against the group derived from membership, per derived row."""
     if exclude_change_days:
-        flags = change_day_flag(
-            membership.select(*keys).distinct(), membership, keys, derived, "_change"
+        # a day with a single group: its smallest and largest group are the same
+        per_day = membership.groupBy(*keys).agg(
+            F.min(derived).alias(derived), F.max(derived).alias("_other"), F.count(F.lit(1)).alias("_n")
+        )
+        membership = per_day.filter(F.col(derived) == F.col("_other")).select(
+            *keys, derived, F.explode(F.array_repeat(F.lit(True), F.col("_n").cast("int"))).alias("_row")
         )
-        changed = flags.filter(F.col("_change") == "Yes").select(*keys)
-        rows = lookup(rows, changed, list(keys), "left_anti")
     both = lookup(rows, membership.select(*keys, derived), list(keys), "inner")
     return both.withColumn(
         out, F.when(F.col(declared) == F.col(derived), "Yes").otherwise("No")
@@ -155,5 +186,8 @@ def roster_union(queried: DataFrame, observed: DataFrame, member: str) -> DataFr
 def select_in_period(
     periods: DataFrame, events: DataFrame, key: str, event_day: str, newest: str, oldest: str
 ) -> DataFrame:
-    """Distinct (period, event) pairs with ``oldest <= event day <= newest``, both ends inclusive."""
-    return interval_join(events, periods, [key], event_day, oldest, newest).distinct()
+    """Distinct (period, event) pairs with ``oldest <= event day <= newest``, both ends inclusive.
+
+    Periods last months, so one level of cells is enough.
+    """
+    return interval_join(events, periods, [key], event_day, oldest, newest, widths=(256,)).distinct()

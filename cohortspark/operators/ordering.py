@@ -59,17 +59,23 @@ def _buckets(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, counted: DataFrame | None = None
+) -> DataFrame:
     """``row_number`` over ``keys`` ordered by ``order``, NULLs last.
 
-    The order begins with days and unique integer ids; these cut a hot group into buckets.
+    The order begins with days and unique integer ids; these cut a hot group into buckets. When
+    several numbers are attached in a row, ``counted`` is the common starting frame (same rows), so
+    that the plan grows by one branch per number instead of doubling.
     """
     keys, order = list(keys), list(order)
     buckets = _buckets(df, order)
     names = list(buckets)
     # one non-null key per bucket: the window and the join below share its partitioning
-    tagged = df.withColumns(buckets).withColumn("_key", F.struct(*keys, *names))
-    sizes = tagged.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    key = F.struct(*keys, *[c.alias(b) for b, c in buckets.items()])
+    tagged = df.withColumn("_key", key)
+    start = df if counted is None else counted
+    sizes = start.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy(
         *[F.col(f"_key.{b}").asc_nulls_last() for b in names]
     )
@@ -79,14 +85,17 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
         tagged.withColumn("_in", F.row_number().over(inside))
         .join(offsets, "_key")
         .withColumn(out, (F.col("_offset") + F.col("_in")).cast("bigint"))
-        .drop("_key", *names, "_in", "_offset")
+        .drop("_key", "_in", "_offset")
     )
 
 
-def number_days(df: DataFrame, keys: Sequence[str], day: str, out: str) -> DataFrame:
+def number_days(
+    df: DataFrame, keys: Sequence[str], day: str, out: str, counted: DataFrame | None = None
+) -> DataFrame:
     """``dense_rank`` of the day per group; NULL days get NULL."""
     w = Window.partitionBy(*keys).orderBy(day)
-    days = df.filter(F.col(day).isNotNull()).select(*keys, day).distinct()
+    start = df if counted is None else counted
+    days = start.filter(F.col(day).isNotNull()).select(*keys, day).distinct()
     return natural_join(
         df, days.withColumn(out, F.row_number().over(w).cast("bigint")), "left", [*keys, day]
     )
@@ -174,18 +183,18 @@ def summary_stats(
     """
     by = list(by) or ["_all"]
     base = df if by != ["_all"] else df.withColumn("_all", F.lit(1))
-    totals = base.groupBy(*by).agg(
+    # the only pass over the rows; everything below works on distinct values
+    every = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col(value).isNotNull(), F.col("_n"))
+    totals = every.groupBy(*by).agg(
         F.min(value).alias("min"),
-        F.avg(value).alias("mean"),
+        F.try_divide(F.sum(F.col(value) * F.col("_n")), F.sum(known)).alias("mean"),
         F.max(value).alias("max"),
-        F.count(value).alias("_count"),
-        F.coalesce(F.sum(F.col(value).isNull().cast("bigint")), F.lit(0)).alias("n_null"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("_count"),
+        F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("_n"))), F.lit(0)).alias("n_null"),
     )
-    counts = (
-        base.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
+    counts = every.filter(F.col(value).isNotNull()).withColumn(
+        "_slice", F.floor(F.col(value) / F.lit(width)).cast("bigint")
     )
     slices = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
     lower = Window.partitionBy(*by).orderBy("_slice")

@@ -57,13 +57,19 @@ def balanced_panel(
     category: str,
     categories: Sequence[str],
     measures: Sequence[str],
+    drop_empty: str | None = None,
 ) -> DataFrame:
     """Every unit times every category with the summed measures, 0 where there is no fact.
 
-    ``units`` has one row per key; its other columns are kept.
+    ``units`` has one row per key; its other columns are kept. ``drop_empty`` names a measure: units
+    whose total of it is zero are left out before the rows are unrolled.
     """
-    cells = category_map(facts, keys, category, categories, measures)
-    return unroll(units.join(cells, list(keys), "left"), category, categories, measures)
+    total = {"_total": F.sum(drop_empty)} if drop_empty else None
+    cells = category_map(facts, keys, category, categories, measures, total)
+    how = "left"
+    if drop_empty:
+        cells, how = cells.filter(F.col("_total") != 0).drop("_total"), "inner"
+    return unroll(units.join(cells, list(keys), how), category, categories, measures)
 
 
 def given_totals(
@@ -82,7 +88,7 @@ def given_totals(
 
 
 def exclude_empty_units(panel: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
-    """Drop units whose total over all categories is zero."""
+    """Drop units of an existing panel whose total over all categories is zero."""
     empty = panel.groupBy(*keys).agg(F.sum(measure).alias("_t")).filter(F.col("_t") == 0)
     return anti(panel, empty, list(keys))
 

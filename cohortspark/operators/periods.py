@@ -14,6 +14,7 @@ from cohortspark.operators.asof import next_event_day
 from cohortspark.operators.intervals import select_in_period
 from cohortspark.operators.ordering import number_rows
 from cohortspark.operators.relational import join_on, lookup, natural_join, union_rows
+from cohortspark.session import staged
 
 #: fixed values: months before the end date and the name of that look-back point
 PERIOD_NAMES = {
@@ -223,7 +224,7 @@ def sample_union(
             if column in frame.columns:
                 frame = frame.filter(not_isin_safe(F.col(column), values))
         parts.append(frame.select(key, day, sample, F.lit(name).alias(kind)))
-    return number_rows(union_rows(*parts), [key, day, kind], [sample], out)
+    return number_rows(staged(union_rows(*parts)), [key, day, kind], [sample], out)
 
 
 def with_gestation(

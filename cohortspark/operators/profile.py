@@ -75,7 +75,7 @@ def young_count(
     wanted = points.select(*keys, day).distinct()
     spans = births.select(*keys, F.col(birth).alias("_born"), F.date_add(birth, max_age).alias("_until"))
     found = (
-        interval_join(wanted, spans, keys, day, "_born", "_until")
+        interval_join(wanted, spans, keys, day, "_born", "_until", widths=(64,))
         .groupBy(*keys, day)
         .agg(F.count(F.lit(1)).alias(out))
     )
@@ -89,28 +89,22 @@ def neighbour_count(
 
     One NULL value in a partition makes all its counts NULL, as a strict sum does.
     """
-    return _ranked(rows, list(partition), value, thresholds, None, width, strict=True)
+    found = value_table(rows, list(partition), value, thresholds, "_rank", width).drop("_rank")
+    gaps = rows.groupBy(*partition).agg(F.max(F.col(value).isNull()).alias("_gap"))
+    out = natural_join(rows, found, "left", [*partition, value])
+    return _strict(natural_join(out, gaps, "inner", list(partition)), "_gap", thresholds).drop("_gap")
 
 
 def add_rank(
     rows: DataFrame, partition: Sequence[str], value: str, out: str, width: float
 ) -> DataFrame:
     """Minimum rank from the top (1 = largest); NULL values have no rank."""
-    return _ranked(rows, list(partition), value, {}, out, width, strict=False)
+    ranks = value_table(rows, list(partition), value, {}, out, width)
+    return natural_join(rows, ranks, "left", [*partition, value])
 
 
-def _ranked(rows, partition, value, thresholds, rank, width, strict) -> DataFrame:
-    table = value_table(rows, partition, value, thresholds, rank or "_rank", width)
-    if rank is None:
-        table = table.drop("_rank")
-    out = natural_join(rows, table, "left", [*partition, value])
-    if not strict or not thresholds:
-        return out
-    gaps = rows.groupBy(*partition).agg(F.max(F.col(value).isNull()).alias("_gap"))
-    flagged = natural_join(out, gaps, "inner", partition)
-    return flagged.withColumns(
-        {name: F.when(~F.col("_gap"), F.col(name)) for name in thresholds}
-    ).drop("_gap")
+def _strict(df: DataFrame, gap: str, names) -> DataFrame:
+    return df.withColumns({n: F.when(~F.col(gap), F.col(n)) for n in names})
 
 
 def group_profile(
@@ -131,19 +125,31 @@ def group_profile(
     """
     place = [group, day]
     queue = [group, day, sex]
+    near = {f"comp_{t}": t for t in thresholds}
+    near_queue = {f"comp_{t}_queue": t for t in thresholds}
+    gap = F.max(F.col(weight).isNull())
     sizes = rows.groupBy(*place).agg(
         F.count(F.lit(1)).alias("group_size"),
         count_where(F.col(age_col) < 1).alias("pup_count"),
         F.min(age_col).alias("min_age"),
+        gap.alias("_gap"),
     ).withColumn("pup_presence", F.when(F.col("pup_count") == 0, "No").otherwise("Yes"))
-    queues = rows.groupBy(*queue).agg(F.count(F.lit(1)).alias("queue_size"))
-    near = {f"comp_{t}": t for t in thresholds}
-    near_queue = {f"comp_{t}_queue": t for t in thresholds}
-    out = _ranked(rows, place, weight, near, "weight_rank", weight_width, strict=True)
-    out = _ranked(out, queue, weight, near_queue, "weight_rank_queue", weight_width, strict=True)
-    out = add_rank(out, place, age_col, "age_rank", age_width)
-    out = natural_join(out, sizes, "inner", place)
-    return natural_join(out, queues, "inner", queue)
+    queues = rows.groupBy(*queue).agg(
+        F.count(F.lit(1)).alias("queue_size"), gap.alias("_queue_gap")
+    )
+    # every table comes from the rows themselves, so the plan grows by one branch per table
+    tables = [
+        (value_table(rows, place, weight, near, "weight_rank", weight_width), [*place, weight]),
+        (value_table(rows, queue, weight, near_queue, "weight_rank_queue", weight_width), [*queue, weight]),
+        (value_table(rows, place, age_col, {}, "age_rank", age_width), [*place, age_col]),
+        (sizes, place),
+        (queues, queue),
+    ]
+    out = rows
+    for frame, keys in tables:
+        out = natural_join(out, frame, "left", keys)
+    out = _strict(out, "_gap", near)
+    return _strict(out, "_queue_gap", near_queue).drop("_gap", "_queue_gap")
 
 
 def young_per_group(

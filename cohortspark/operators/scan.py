@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.status import recode
 from cohortspark.operators.panel import balanced_panel, category_map
-from cohortspark.operators.relational import natural_join, syntactic, union_rows
+from cohortspark.operators.relational import syntactic
 
 #: fixed values: the instantaneous behaviours and the totals built from them
 INSTANT = (
@@ -67,33 +67,62 @@ CATEGORY = {
 }
 
 
-def scan_instant_counts(
-    events: DataFrame, keys: Sequence[str], behaviour: str, count: str
-) -> DataFrame:
-    """Zero-filled instantaneous counts per (session, individual) with four totals, in long form.
-
-    Plain locomotion excludes locomotion while working; ``total_scans`` sums all seventeen behaviours.
-    """
+def _instant(events: DataFrame, keys: Sequence[str], behaviour: str, count: str):
+    """One row per unit with its map of sums, and the count expression of every behaviour."""
     wide = category_map(events, keys, behaviour, INSTANT, [count])
     at = {
         syntactic(b): F.coalesce(F.try_element_at("cells", F.lit(b))[count], F.lit(0)).cast("bigint")
         for b in INSTANT
     }
+    # plain locomotion excludes locomotion while working
     at["Locomotion"] = at["Locomotion"] - at["LocoWork"]
+    return wide, at
+
+
+def _total(at: dict[str, Column], parts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a + b, [at[p] for p in parts])
+
+
+def _instant_rows(at: dict[str, Column], behaviour: str, count: str) -> Column:
+    rows = {**at, **{n: _total(at, parts) for n, parts in TOTALS.items()}}
+    return F.array(
+        *[
+            F.struct(F.lit(n).alias(behaviour), F.lit("G").alias("received"), c.alias(count))
+            for n, c in rows.items()
+        ]
+    )
+
 
-    def total(parts: Sequence[str]):
-        out = at[parts[0]]
-        for p in parts[1:]:
-            out = out + at[p]
-        return out
+def scan_instant_counts(
+    events: DataFrame, keys: Sequence[str], behaviour: str, count: str
+) -> DataFrame:
+    """Zero-filled instantaneous counts per (session, individual) with four totals, in long form.
+
+    ``total_scans`` sums all seventeen behaviours.
+    """
+    wide, at = _instant(events, keys, behaviour, count)
+    rows = _instant_rows(at, behaviour, count)
+    return wide.select(*keys, _total(at, list(at)).alias("total_scans"), F.inline(rows))
 
-    rows = {**at, **{n: total(parts) for n, parts in TOTALS.items()}}
-    cells = F.array(*[F.struct(F.lit(n).alias(behaviour), c.alias(count)) for n, c in rows.items()])
-    return wide.select(
-        *keys, total(list(at)).alias("total_scans"), F.lit("G").alias("received"), F.inline(cells)
+
+def _sides(events: DataFrame, session: str, actor: str, partner: str, behaviour: str, count: str) -> DataFrame:
+    """Each event once for its actor (given) and once for its partner (received), if it has one."""
+    n, none = F.col(count).cast("bigint"), F.lit(0).cast("bigint")
+    roles = F.array(
+        F.struct(F.col(actor).alias("_who"), n.alias("_g"), none.alias("_r")),
+        F.struct(F.col(partner).alias("_who"), none.alias("_g"), n.alias("_r")),
+    )
+    return (
+        events.select(session, behaviour, F.inline(roles))
+        .filter(F.col("_who").isNotNull())
+        .withColumnRenamed("_who", actor)
     )
 
 
+def _ways(given: Column, received: Column) -> list[tuple[str, Column]]:
+    return [("G", given), ("R", received), ("T", given + received)]
+
+
 def scan_directed_counts(
     seen: DataFrame,
     events: DataFrame,
@@ -104,51 +133,80 @@ def scan_directed_counts(
     behaviours: Sequence[str],
     count: str,
 ) -> DataFrame:
-    """Given (as actor), received (as partner) and total counts per individual seen in a session.
-
-    One pass: each event yields an actor and a partner row, summed together.
-    """
-    roles = F.array(
-        F.struct(F.col(actor).alias("_who"), F.col(count).alias("_g"), F.lit(0).cast("bigint").alias("_r")),
-        F.struct(F.col(partner).alias("_who"), F.lit(0).cast("bigint").alias("_g"), F.col(count).alias("_r")),
-    )
-    sides = (
-        events.withColumn(count, F.col(count).cast("bigint"))
-        .select(session, behaviour, F.inline(roles))
-        .filter(F.col("_who").isNotNull())
-        .withColumnRenamed("_who", actor)
-    )
+    """Given (as actor), received (as partner) and total counts per individual seen in a session."""
+    sides = _sides(events, session, actor, partner, behaviour, count)
     units = seen.select(session, actor).distinct()
     panel = balanced_panel(units, sides, [session, actor], behaviour, behaviours, ["_g", "_r"])
     ways = F.array(
-        F.struct(F.lit("G").alias("received"), F.col("_g").alias(count)),
-        F.struct(F.lit("R").alias("received"), F.col("_r").alias(count)),
-        F.struct(F.lit("T").alias("received"), (F.col("_g") + F.col("_r")).alias(count)),
+        *[
+            F.struct(F.lit(w).alias("received"), c.alias(count))
+            for w, c in _ways(F.col("_g"), F.col("_r"))
+        ]
     )
     return panel.select(session, actor, behaviour, F.inline(ways))
 
 
-def scan_behaviour_counts(instant: DataFrame, directed: DataFrame, session: str, who: str) -> DataFrame:
-    """Instantaneous and directed counts in one long table, the scan total on every row."""
-    totals = instant.select(session, who, "total_scans").distinct()
-    both = union_rows(
-        instant.drop("total_scans").withColumn("obs_type", F.lit("ScanInst")),
-        directed.withColumn("obs_type", F.lit("ScanCont")),
+def scan_behaviour_counts(
+    instant_events: DataFrame,
+    directed_events: DataFrame,
+    session: str,
+    actor: str,
+    partner: str,
+    behaviour: str,
+    behaviours: Sequence[str],
+    count: str,
+) -> DataFrame:
+    """Instantaneous and directed counts in one long table, the scan total on every row.
+
+    Both event tables fold to one map per (session, individual); the maps meet in a join on the key
+    they are already partitioned by, and only then unroll.
+    """
+    keys = [session, actor]
+    wide, at = _instant(instant_events, keys, behaviour, count)
+    sides = _sides(directed_events, session, actor, partner, behaviour, count)
+    directed = category_map(sides, keys, behaviour, behaviours, ["_g", "_r"]).withColumnRenamed(
+        "cells", "directed"
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def side(b: str, field: str) -> Column:
+        return F.coalesce(F.try_element_at("directed", F.lit(b))[field], zero)
+
+    directed_rows = F.array(
+        *[
+            F.struct(F.lit(b).alias(behaviour), F.lit(w).alias("received"), c.alias(count))
+            for b in behaviours
+            for w, c in _ways(side(b, "_g"), side(b, "_r"))
+        ]
+    )
+    kinds = F.array(
+        F.struct(F.lit("ScanInst").alias("obs_type"), _instant_rows(at, behaviour, count).alias("rows")),
+        F.struct(F.lit("ScanCont").alias("obs_type"), directed_rows.alias("rows")),
+    )
+    both = wide.join(directed, keys, "left").withColumn("total_scans", _total(at, list(at)))
+    return both.select(*keys, "total_scans", F.inline(kinds)).select(
+        *keys, "total_scans", "obs_type", F.inline("rows")
     )
-    return natural_join(both, totals, "left", [session, who])
 
 
 def scan_categories(
-    instant: DataFrame, roster: DataFrame, keys: Sequence[str], behaviour: str, count: str
+    events: DataFrame, roster: DataFrame, keys: Sequence[str], behaviour: str, count: str
 ) -> DataFrame:
     """Count and share of scans per category; roster members never seen keep one empty row."""
-    short = recode(F.col(behaviour), SHORT_NAMES)
-    by_category = (
-        instant.filter(~F.col(behaviour).isin(list(TOTALS)))
-        .withColumn("category", recode(short, CATEGORY))
-        .groupBy(*keys, "total_scans", "category")
-        .agg(F.sum(count).alias("n"))
+    wide, at = _instant(events, keys, behaviour, count)
+    members: dict[str, list[str]] = {}
+    for name in at:
+        short = SHORT_NAMES.get(name, name)
+        members.setdefault(CATEGORY.get(short, short), []).append(name)
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("category"), _total(at, parts).alias("n"))
+            for c, parts in members.items()
+        ]
+    )
+    rows = wide.select(*keys, _total(at, list(at)).alias("total_scans"), cells.alias("cells"))
+    out = roster.join(rows, list(keys), "left").select(
+        *roster.columns, "total_scans", F.inline_outer("cells")
     )
-    out = natural_join(roster, by_category, "left", list(keys))
     share = F.try_divide(F.col("n").cast("double"), F.col("total_scans").cast("double"))
     return out.withColumn("proportion", share)

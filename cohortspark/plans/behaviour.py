@@ -42,11 +42,11 @@ _PANEL = f"""SELECT u.source, u.focal_ref, u.animal, u.day, c.behaviour, COALESC
     GROUP BY ALL"""
 
 
-def _panel(spark, sf):
+def _panel(spark, sf, drop_empty=None):
     facts = _facts(spark, sf)
     kept = facts.filter((F.col("behaviour") == "click") | (F.col("k") % 3 > 0))
     units = facts.select(*UNIT).distinct()
-    return panel.balanced_panel(units, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"])
+    return panel.balanced_panel(units, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"], drop_empty)
 
 
 @query("balanced_panel", sql(_PANEL, "sessions"))
@@ -64,7 +64,7 @@ def balanced_panel(spark, sf):
     ),
 )
 def exclude_empty_units(spark, sf):
-    return panel.exclude_empty_units(_panel(spark, sf), ["source", "focal_ref"], "duration")
+    return _panel(spark, sf, drop_empty="duration")
 
 
 _EFFORT = """SELECT source, focal_ref, animal, day, SUM(duration) AS seen FROM sessions
@@ -365,17 +365,13 @@ _SCAN = {
 }
 
 
-def _instant(spark, sf):
+@query("scan_instant_counts", sql("SELECT * FROM instant", "scan_inst", **_SCAN))
+def scan_instant_counts(spark, sf):
     return scan.scan_instant_counts(
         roles.scan_inst(spark, sf), ["obs_ref", "animal"], "behaviour", "n"
     )
 
 
-@query("scan_instant_counts", sql("SELECT * FROM instant", "scan_inst", **_SCAN))
-def scan_instant_counts(spark, sf):
-    return _instant(spark, sf)
-
-
 _DIRECTED = f"""SELECT s.obs_ref, s.animal, b.behaviour, r.received,
       CAST(COALESCE(CASE r.received WHEN 'G' THEN g.n WHEN 'R' THEN p.n
         ELSE COALESCE(g.n, 0) + COALESCE(p.n, 0) END, 0) AS BIGINT) AS n
@@ -389,7 +385,8 @@ _DIRECTED = f"""SELECT s.obs_ref, s.animal, b.behaviour, r.received,
       ON p.obs_ref = s.obs_ref AND p.partner = s.animal AND p.behaviour = b.behaviour"""
 
 
-def _directed(spark, sf):
+@query("scan_directed_counts", sql(_DIRECTED, "scan_inst", "scan_cont"))
+def scan_directed_counts(spark, sf):
     return scan.scan_directed_counts(
         roles.scan_inst(spark, sf),
         roles.scan_cont(spark, sf),
@@ -402,11 +399,6 @@ def _directed(spark, sf):
     )
 
 
-@query("scan_directed_counts", sql(_DIRECTED, "scan_inst", "scan_cont"))
-def scan_directed_counts(spark, sf):
-    return _directed(spark, sf)
-
-
 @query(
     "scan_behaviour_counts",
     sql(
@@ -421,7 +413,16 @@ def scan_directed_counts(spark, sf):
     ),
 )
 def scan_behaviour_counts(spark, sf):
-    return scan.scan_behaviour_counts(_instant(spark, sf), _directed(spark, sf), "obs_ref", "animal")
+    return scan.scan_behaviour_counts(
+        roles.scan_inst(spark, sf),
+        roles.scan_cont(spark, sf),
+        "obs_ref",
+        "animal",
+        "partner",
+        "behaviour",
+        EVENT_TYPES,
+        "n",
+    )
 
 
 def _case(mapping: dict, col: str) -> str:
@@ -452,7 +453,9 @@ def scan_categories(spark, sf):
     roster = interval_join(
         days.distinct(), roles.obs_membership(spark, sf), ["grp"], "day", *SPAN
     ).select("obs_ref", "animal")
-    out = scan.scan_categories(_instant(spark, sf), roster, ["obs_ref", "animal"], "behaviour", "n")
+    out = scan.scan_categories(
+        roles.scan_inst(spark, sf), roster, ["obs_ref", "animal"], "behaviour", "n"
+    )
     return out.withColumn("proportion", F.round("proportion", 6))
 
 

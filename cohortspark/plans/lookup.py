@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import status as labels
 from cohortspark.functions.dates import day_diff
 from cohortspark.operators import asof, intervals, profile
-from cohortspark.operators.relational import natural_join
+from cohortspark.operators.relational import lookup, natural_join
 from cohortspark.plans import roles
 from cohortspark.plans.registry import query
 from cohortspark.plans.roles import sql
@@ -202,15 +202,16 @@ def entity_profile(spark, sf):
     places = roles.table(spark, sf, "nation").join(
         roles.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
     )
-    place = (
-        ent.select("animal", "nation")
-        .join(places, F.col("nation") == F.col("n_nationkey"), "left")
-        .select("animal", F.col("n_name").alias("birth_place"), F.col("r_name").alias("region"))
+    customers = roles.table(spark, sf, "customer")
+    place = customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("c_custkey").alias("animal"),
+        F.col("n_name").alias("birth_place"),
+        F.col("r_name").alias("region"),
     )
     developing = intervals.group_at_offset(
         ent, roles.membership(spark, sf), "animal", "first_day", 40, "grp", *SPAN, "developing_group"
     )
-    ids = roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("animal"))
+    ids = customers.select(F.col("c_custkey").alias("animal"))
     out = profile.entity_profile(
         ids,
         [ent.select("animal", "sex", "birth_date", "death_date"), place, developing],
@@ -406,9 +407,13 @@ def semester_status(spark, sf):
 def lactation_status(spark, sf):
     states = _status(spark, sf)
     young = profile.young_count(
-        states, roles.litters(spark, sf).withColumnRenamed("day", "born"), ["animal"], "day", "born"
+        roles.points(spark, sf),
+        roles.litters(spark, sf).withColumnRenamed("day", "born"),
+        ["animal"],
+        "day",
+        "born",
     )
-    rows = natural_join(states, young, "inner", ["animal", "day"])
+    rows = lookup(states, young, ["animal", "day"], "inner")
     rows = natural_join(rows, roles.entity(spark, sf).select("animal", "sex"), "inner", "animal")
     label = labels.lactation_status(F.col("sex"), F.col("status"), F.col("young"))
     return rows.select("animal", "day", "young", label.alias("lactating"))

@@ -1,8 +1,9 @@
-"""Session helpers: test and bench sessions, and checkpointing in the shared folder."""
+"""Session helpers: test and bench sessions, and staged tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,28 @@ def local_session(cores: str = "*", app: str = "cohortspark", **conf: str) -> Sp
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the session's checkpoint folder.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
-    ``spark.checkpoint.dir`` names a folder all executors share. Only a local session that has none
-    gets a temporary one.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; only a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="cohortspark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cohortspark-")
+    return _LOCAL_FOLDERS[app]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that is used several times to the shared folder once, and read it back.
+
+    Cuts the lineage, survives lost executors, and later reads prune columns and know the size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
