@@ -193,11 +193,10 @@ def summary_stats(
         F.coalesce(F.sum(known), F.lit(0)).alias("_count"),
         F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("_n"))), F.lit(0)).alias("n_null"),
     )
-    counts = every.filter(F.col(value).isNotNull()).withColumn(
-        "_slice", F.floor(F.col(value) / F.lit(width)).cast("bigint")
-    )
+    # NULLs stay as a last slice: a filter would be pushed below the aggregate and scan the rows again
+    counts = every.withColumn("_slice", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
     slices = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
-    lower = Window.partitionBy(*by).orderBy("_slice")
+    lower = Window.partitionBy(*by).orderBy(F.col("_slice").asc_nulls_last())
     offsets = slices.select(*by, "_slice", _before(lower, "_m").alias("_offset"))
     inside = Window.partitionBy(*by, "_slice").orderBy(value)
     placed = natural_join(

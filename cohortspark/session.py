@@ -30,10 +30,10 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; only a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
