@@ -49,7 +49,9 @@ def _panel(spark, sf, drop_empty=None):
     return panel.balanced_panel(units, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"], drop_empty)
 
 
-@query("balanced_panel", sql(_PANEL, "sessions"))
+@query("balanced_panel", sql(_PANEL, "sessions"),
+    exact=("duration",),
+)
 def balanced_panel(spark, sf):
     return _panel(spark, sf)
 
@@ -62,6 +64,7 @@ def balanced_panel(spark, sf):
         "sessions",
         panel=_PANEL,
     ),
+    exact=("duration",),
 )
 def exclude_empty_units(spark, sf):
     return _panel(spark, sf, drop_empty="duration")
@@ -77,7 +80,9 @@ def _effort(spark, sf):
     )
 
 
-@query("observation_effort", sql(_EFFORT, "sessions"))
+@query("observation_effort", sql(_EFFORT, "sessions"),
+    exact=("seen",),
+)
 def observation_effort(spark, sf):
     return _effort(spark, sf)
 
@@ -89,6 +94,7 @@ def observation_effort(spark, sf):
            WHERE NOT (behaviour IN ('click', 'view') AND NULLIF(k % 3, 2) = 0) GROUP BY ALL""",
         "sessions",
     ),
+    exact=("duration",),
 )
 def given_state_totals(spark, sf):
     k = F.col("k") % 3
@@ -135,6 +141,7 @@ _DAILY = f"""SELECT d.source, d.animal, d.day, c.behaviour, d.seen,
         "sessions",
         daily=_DAILY,
     ),
+    exact=("seen", "duration"),
 )
 def daily_rollup(spark, sf):
     out = panel.daily_rollup(
@@ -220,6 +227,7 @@ def _categories(spark, sf):
         female_days=_FEMALE_DAYS,
         chosen=_CATEGORY,
     ),
+    exact=("seen",),
 )
 def cohort_category(spark, sf):
     return _categories(spark, sf).withColumn("age_months", F.round("age_months", 6))
@@ -481,6 +489,7 @@ def scan_categories(spark, sf):
         "focal_events",
         "focal_sessions",
     ),
+    exact=("seen", "duration"),
 )
 def focal_state_counts(spark, sf):
     events = roles.focal_events(spark, sf).withColumnRenamed("state", "behaviour")
@@ -529,6 +538,7 @@ _POINT_NAMED = """SELECT *, CASE WHEN point = 'Copulation' THEN
         "focal_sessions",
         named=_POINT_NAMED,
     ),
+    exact=("seen",),
 )
 def focal_point_counts(spark, sf):
     events = roles.focal_events(spark, sf).withColumnRenamed("point", "behaviour")
@@ -570,7 +580,7 @@ def valid_dyads(spark, sf):
     return _valid(spark, sf)
 
 
-_KEEP = ["event_id", "day", "ts", "grp"]
+_KEEP = ["event_id", "day", "event_time", "grp"]
 
 
 def _calls(spark, sf):
@@ -583,16 +593,16 @@ def _calls(spark, sf):
         "animal",
         "partner",
         _KEEP,
-        ["grp", "day", "ts"],
+        ["grp", "day", "event_time"],
     )
 
 
 @query(
     "win_loss_call",
     sql(
-        """SELECT event_id, day, ts, grp, animal AS winner, partner AS loser FROM valid
+        """SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
            WHERE behaviour = 'click' AND received = 0
-           UNION ALL SELECT event_id, day, ts, grp, partner, animal FROM valid
+           UNION ALL SELECT event_id, day, event_time, grp, partner, animal FROM valid
            WHERE behaviour = 'click' AND received = 1""",
         "valid",
     ),
@@ -604,9 +614,9 @@ def win_loss_call(spark, sf):
 @query(
     "win_loss_pass",
     sql(
-        """SELECT event_id, day, ts, grp, animal AS winner, partner AS loser FROM valid
+        """SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
            WHERE behaviour = 'view' AND way = 'NoseToNose' AND location = 'Over'
-           UNION ALL SELECT event_id, day, ts, grp, partner, animal FROM valid
+           UNION ALL SELECT event_id, day, event_time, grp, partner, animal FROM valid
            WHERE behaviour = 'view' AND way = 'NoseToNose' AND location = 'Under'""",
         "valid",
     ),
@@ -621,7 +631,7 @@ def win_loss_pass(spark, sf):
         "animal",
         "partner",
         _KEEP,
-        ["grp", "day", "ts"],
+        ["grp", "day", "event_time"],
     )
 
 

@@ -480,6 +480,7 @@ _COMP = ",\n".join(
         "entity",
         herd=_HERD,
     ),
+    exact=("weight",),
 )
 def group_profile(spark, sf):
     return profile.group_profile(
@@ -508,6 +509,7 @@ def group_profile(spark, sf):
         herd="""SELECT c_custkey AS animal, c_nationkey AS grp,
                   CAST(c_acctbal AS DECIMAL(12,2)) AS weight FROM customer""",
     ),
+    exact=("weight",),
 )
 def neighbour_count(spark, sf):
     rows = roles.table(spark, sf, "customer").select(

@@ -30,6 +30,8 @@ TABLES = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
     " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
     " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
     " props string",
 }
@@ -138,7 +140,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "dyads": (
         ("obs",),
-        """SELECT event_id, animal, k AS partner, day, ts,
+        """SELECT event_id, animal, k AS partner, day, strftime(ts, '%H:%M:%S') AS event_time,
              (animal + (EXTRACT(DAY FROM day) - 1) // 10) % 5 AS grp, behaviour, k % 2 AS received,
              CASE WHEN event_id % 2 = 0 THEN 'NoseToNose' ELSE 'NoseToTail' END AS way,
              CASE event_id % 3 WHEN 0 THEN 'Over' WHEN 1 THEN 'Under' ELSE 'Sidewards' END AS location,
@@ -446,7 +448,7 @@ def dyads(spark: SparkSession, sf: str) -> DataFrame:
         "animal",
         F.col("k").alias("partner"),
         "day",
-        "ts",
+        F.date_format("ts", "HH:mm:ss").alias("event_time"),
         ((F.col("animal") + F.floor((F.dayofmonth("day") - 1) / 10)) % 5).alias("grp"),
         "behaviour",
         (F.col("k") % 2).alias("received"),

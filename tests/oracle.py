@@ -24,21 +24,14 @@ def connect(sf_dir: str):
     return con
 
 
-def _kind(type_name: str) -> str:
-    t = str(type_name).lower()
-    if t.startswith(("decimal", "hugeint", "uhugeint")):
-        return "decimal"
-    for name, words in {
-        "int": ("bigint", "int", "integer", "long", "smallint", "tinyint"),
-        "float": ("double", "float", "real"),
-        "text": ("string", "varchar"),
-        "date": ("date",),
-        "time": ("timestamp",),
-        "bool": ("boolean",),
-    }.items():
-        if t.startswith(words):
-            return name
-    return t
+#: Spark type -> the DuckDB type a check must return
+SAME = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+}
 
 
 def _plain(v):
@@ -53,14 +46,14 @@ def _plain(v):
 
 def spark_rows(df):
     cols = sorted(df.columns)
-    types = {c: _kind(t) for c, t in df.dtypes}
+    types = {c: SAME.get(t, t) for c, t in df.dtypes}
     return cols, types, Counter(tuple(_plain(r[c]) for c in cols) for r in df.collect())
 
 
 def duck_rows(con, sql: str):
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
-    types = {d[0]: _kind(d[1]) for d in cur.description}
+    types = {d[0]: str(d[1]) for d in cur.description}
     cols = sorted(names)
     at = [names.index(c) for c in cols]
     return cols, types, Counter(tuple(_plain(r[i]) for i in at) for r in cur.fetchall())
