@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from cohortspark.operators.relational import natural_join
 
-#: rows per id slice when a unique integer id breaks ties inside a day
+#: width of an id slice when a unique integer id breaks ties inside a day; suits consecutively assigned
+#: ids, which then put at most this many rows into one window partition
 ID_SLICE = 1 << 20
 
 

@@ -137,17 +137,17 @@ def group_profile(
     queues = rows.groupBy(*queue).agg(
         F.count(F.lit(1)).alias("queue_size"), gap.alias("_queue_gap")
     )
-    # every table comes from the rows themselves, so the plan grows by one branch per table
-    tables = [
-        (value_table(rows, place, weight, near, "weight_rank", weight_width), [*place, weight]),
-        (value_table(rows, queue, weight, near_queue, "weight_rank_queue", weight_width), [*queue, weight]),
-        (value_table(rows, place, age_col, {}, "age_rank", age_width), [*place, age_col]),
-        (sizes, place),
-        (queues, queue),
-    ]
-    out = rows
-    for frame, keys in tables:
-        out = natural_join(out, frame, "left", keys)
+    # the tables meet each other first: the rows themselves are joined three times, not five
+    by_weight = natural_join(
+        value_table(rows, queue, weight, near_queue, "weight_rank_queue", weight_width),
+        value_table(rows, place, weight, near, "weight_rank", weight_width),
+        "inner",
+        [*place, weight],
+    )
+    by_age = value_table(rows, place, age_col, {}, "age_rank", age_width)
+    out = natural_join(rows, natural_join(queues, sizes, "inner", place), "inner", queue)
+    out = natural_join(out, by_weight, "left", [*queue, weight])
+    out = natural_join(out, by_age, "left", [*place, age_col])
     out = _strict(out, "_gap", near)
     return _strict(out, "_queue_gap", near_queue).drop("_gap", "_queue_gap")
 

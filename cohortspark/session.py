@@ -8,11 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: settings this library relies on; the number of shuffle partitions stays the cluster's choice
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key even where that costs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(cores: str = "*", app: str = "cohortspark", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster pass the cluster's own session."""
     settings = {
+        **RECOMMENDED,
         "spark.ui.enabled": "false",
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         **conf,

@@ -15,7 +15,11 @@ from cohortspark.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
-    session = local_session("8", app="tests", **{"spark.checkpoint.dir": str(folder)})
+    session = local_session(
+        "8",
+        app="tests",
+        **{"spark.checkpoint.dir": str(folder), "spark.sql.shuffle.partitions": "4"},
+    )
     yield session
     session.stop()
 
