@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,13 +76,12 @@ def elo_ratings(
     aggregation instead of a walk through a group's rows. The loop runs over calendar periods; its
     length does not depend on the number of rows. Ratings are staged each period.
     """
-    span = contests.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
-    period = F.floor(F.datediff(day, F.lit(span["a"])) / period_days).cast("int")
     results = staged(
         contests.groupBy(
-            group, period.alias("_period"), F.col(winner).alias("_w"), F.col(loser).alias("_l")
+            group, F.col(day).alias("_day"), F.col(winner).alias("_w"), F.col(loser).alias("_l")
         ).agg(F.count(F.lit(1)).alias("_n"))
     )
+    span = results.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
     sides = F.array(
         F.struct(F.col("_w").alias("player"), F.col("_n").alias("won"), F.lit(0).alias("lost")),
         F.struct(F.col("_l").alias("player"), F.lit(0).alias("won"), F.col("_n").alias("lost")),
@@ -94,10 +94,11 @@ def elo_ratings(
     ratings = staged(tally.withColumn("rating", F.lit(float(start))))
     if span["a"] is None:
         return ratings
-    for p in range((span["b"] - span["a"]).days // period_days + 1):
+    for offset in range(0, (span["b"] - span["a"]).days + 1, period_days):
+        first = span["a"] + timedelta(days=offset)
         now = ratings.select(group, "player", "rating")
         round_ = (
-            results.filter(F.col("_period") == p)
+            results.filter(F.col("_day").between(first, first + timedelta(days=period_days - 1)))
             .join(now.withColumnsRenamed({"player": "_w", "rating": "_rw"}), [group, "_w"])
             .join(now.withColumnsRenamed({"player": "_l", "rating": "_rl"}), [group, "_l"])
         )
