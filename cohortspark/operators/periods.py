@@ -205,33 +205,59 @@ def status_expansion(
     return natural_join(rows, periods, "left", key)
 
 
-def sample_union(
+def stack_samples(
     samples: dict[str, DataFrame],
     key: str,
     day: str,
     sample: str,
     exclusions: dict[str, Sequence],
     kind: str = "sample_type",
-    out: str = "repeat_no",
 ) -> DataFrame:
-    """Stack sample tables by type and number repeats per (key, day, type) by sample id.
-
-    ``exclusions`` drops listed condition or study labels and keeps missing ones.
-    """
+    """Sample tables stacked by type; ``exclusions`` drops listed labels and keeps missing ones."""
     parts = []
     for name, frame in samples.items():
         for column, values in exclusions.items():
             if column in frame.columns:
                 frame = frame.filter(not_isin_safe(F.col(column), values))
         parts.append(frame.select(key, day, sample, F.lit(name).alias(kind)))
-    return number_rows(staged(union_rows(*parts)), [key, day, kind], [sample], out)
+    return union_rows(*parts)
+
+
+def number_repeats(
+    stacked: DataFrame, key: str, day: str, sample: str, kind: str = "sample_type", out: str = "repeat_no"
+) -> DataFrame:
+    """Repeats per (key, day, type) numbered by sample id. Reads its input twice: stage it first."""
+    return number_rows(stacked, [key, day, kind], [sample], out)
+
+
+def sample_union(
+    samples: dict[str, DataFrame],
+    key: str,
+    day: str,
+    sample: str,
+    exclusions: dict[str, Sequence],
+    kind: str = "sample_type",
+    out: str = "repeat_no",
+) -> DataFrame:
+    """Stacked samples with their repeat number."""
+    stacked = staged(stack_samples(samples, key, day, sample, exclusions, kind))
+    return number_repeats(stacked, key, day, sample, kind, out)
 
 
 def with_gestation(
-    samples: DataFrame, events: DataFrame, key: str, day: str, event_day: str, out: str = "gestation"
+    samples: DataFrame,
+    events: DataFrame,
+    key: str,
+    day: str,
+    event_day: str,
+    out: str = "gestation",
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Trimester stage of each sample day from the next event of the same individual."""
-    upcoming = next_event_day(samples, events, key, day, event_day, "_next")
+    """Trimester stage of each sample day from the next event of the same individual.
+
+    ``days`` may name a cheaper frame holding the same (key, day) pairs.
+    """
+    upcoming = next_event_day(samples if days is None else days, events, key, day, event_day, "_next")
     stage = trimester_status(F.datediff(day, "_next"))
     return lookup(samples, upcoming.withColumn(out, stage).drop("_next"), [key, day])
 

@@ -8,6 +8,7 @@ from cohortspark.operators import periods
 from cohortspark.plans import roles
 from cohortspark.plans.registry import query
 from cohortspark.plans.roles import sql
+from cohortspark.session import staged
 from cohortspark.sources.readers import observation_dates as dates_of
 
 LIST = ["end_period", "end_period_day", "end_period_type"]
@@ -26,7 +27,7 @@ def _periods(spark, sf):
     return periods.available_periods(roles.entity(spark, sf), *DATES)
 
 
-def _samples(spark, sf):
+def _sources(spark, sf):
     status = F.when(F.col("status") != "O", F.col("status"))
     urine = roles.order_days(spark, sf).select(
         "animal", "day", F.col("event_id").alias("sample_id"), status.alias("label")
@@ -37,22 +38,23 @@ def _samples(spark, sf):
         (F.col("order_id") * 10 + F.col("line")).alias("sample_id"),
         F.col("flag").alias("label"),
     )
-    return periods.sample_union(
-        {"Urine": urine, "Plasma": plasma}, "animal", "day", "sample_id", {"label": ("P", "N")}
-    )
+    return {"Urine": urine, "Plasma": plasma}
+
+
+NO_LABELS = {"label": ("P", "N")}
 
 
-def _selected(spark, sf, kind=None, first_only=False):
-    rows = _samples(spark, sf)
-    if kind:
-        rows = rows.filter(F.col("sample_type") == kind)
+def _selected(spark, sf, kinds=("Urine", "Plasma"), first_only=False):
+    sources = {k: v for k, v in _sources(spark, sf).items() if k in kinds}
+    stacked = staged(periods.stack_samples(sources, "animal", "day", "sample_id", NO_LABELS))
+    rows = periods.number_repeats(stacked, "animal", "day", "sample_id")
     if first_only:
         rows = rows.filter(F.col("repeat_no") == 1)
     births = roles.litters(spark, sf).withColumnRenamed("day", "litter_day")
-    staged = periods.with_gestation(rows, births, "animal", "day", "litter_day")
+    with_stage = periods.with_gestation(rows, births, "animal", "day", "litter_day", days=stacked)
     return periods.samples_in_period(
         _periods(spark, sf),
-        staged,
+        with_stage,
         roles.entity(spark, sf),
         "animal",
         "day",
@@ -114,7 +116,7 @@ def status_expansion(spark, sf):
 
 @query("sample_union", sql("SELECT * FROM samples", "samples"))
 def sample_union(spark, sf):
-    return _samples(spark, sf)
+    return periods.sample_union(_sources(spark, sf), "animal", "day", "sample_id", NO_LABELS)
 
 
 @query("select_in_period", sql("SELECT * FROM selected", "selected"))
@@ -138,7 +140,7 @@ def _count_sql(what: str, where: str) -> str:
 
 @query("count_in_period", _count_sql("sample_id", "sample_type = 'Urine' AND repeat_no = 1"))
 def count_in_period(spark, sf):
-    chosen = _selected(spark, sf, "Urine", first_only=True)
+    chosen = _selected(spark, sf, ["Urine"], first_only=True)
     return periods.count_in_period(
         _expected(spark, sf), chosen, ["animal", "sex", "status", *LIST], "sample_id"
     )
@@ -148,7 +150,7 @@ def count_in_period(spark, sf):
 def count_days_in_period(spark, sf):
     return periods.count_in_period(
         _expected(spark, sf),
-        _selected(spark, sf, "Plasma"),
+        _selected(spark, sf, ["Plasma"]),
         ["animal", "sex", "status", *LIST],
         "day",
     )
@@ -167,7 +169,7 @@ def count_days_in_period(spark, sf):
     ),
 )
 def export_status(spark, sf):
-    chosen = _selected(spark, sf, "Plasma").select("animal", "day", "sample_id").distinct()
+    chosen = _selected(spark, sf, ["Plasma"]).select("animal", "day", "sample_id").distinct()
     sent = (
         roles.shipments(spark, sf)
         .filter(F.col("flag") == "R")
