@@ -70,35 +70,35 @@ def _stretches(
     min_age: float,
     default_start_days: int,
 ) -> DataFrame:
-    """Per entity: the kept half-year points ``_kept``, newest first, and the oldest stretch ``_last``.
+    """Per entity: the half-year points ``_p0``, ``_p1``, ... (NULL unless kept) and the oldest
+    stretch ``_last`` (NULL if there is none).
 
-    Everything follows from the entity's own dates, so this is a row-wise computation over an array of
-    a few points; no shuffle, no window.
+    Everything follows from the entity's own dates, so this is row-wise arithmetic on a few columns:
+    no shuffle, no window.
     """
     rows = entities.select(
         key, birth, F.coalesce(F.col(start), F.date_sub(end, default_start_days)).alias("_start"), end
     ).withColumn("_duration", months_between_days(F.col(end), F.col("_start")))
     months = [m for m in PERIOD_NAMES if m % step == 0 and m <= last]
-    points = []
-    for m in months:
+    points = {}
+    for i, m in enumerate(months):
         day = F.add_months(end, -m)
         short = (F.col("_duration") < step) if m == step else F.lit(False)
         adult = (months_between_days(day, F.col(birth)) > min_age) | F.col(birth).isNull()
         keep = F.coalesce((adult & (day > F.col("_start"))) | short, F.lit(False))
-        points.append(
-            F.when(
-                keep,
-                F.struct(
-                    F.lit(m).alias("months"),
-                    F.lit(PERIOD_NAMES[m]).alias("period"),
-                    F.lit(PERIOD_NAMES[m + step] if m < last else None).cast("string").alias("next_period"),
-                    F.when(day < F.col("_start"), F.col("_start")).otherwise(day).alias("period_day"),
-                    F.when(short, "Last").otherwise("First").alias("period_type"),
-                ),
-            )
+        points[f"_p{i}"] = F.when(
+            keep,
+            F.struct(
+                F.lit(m).alias("months"),
+                F.lit(PERIOD_NAMES[m]).alias("period"),
+                F.lit(PERIOD_NAMES[m + step] if m < last else None).cast("string").alias("next_period"),
+                F.when(day < F.col("_start"), F.col("_start")).otherwise(day).alias("period_day"),
+                F.when(short, "Last").otherwise("First").alias("period_type"),
+            ),
         )
-    rows = rows.withColumn("_kept", F.filter(F.array(*points), lambda p: p.isNotNull()))
-    oldest = F.try_element_at("_kept", F.lit(-1))
+    rows = rows.withColumns(points)
+    rows = rows.withColumn("_oldest", F.coalesce(*reversed([F.col(p) for p in points])))
+    oldest = F.col("_oldest")
     stretch = F.struct(
         (oldest["months"] + step).alias("months"),
         oldest["next_period"].alias("period"),
@@ -107,9 +107,11 @@ def _stretches(
         F.lit("Last").alias("period_type"),
     )
     has_last = oldest["next_period"].isNotNull() & (F.col("_duration") > step)
-    return rows.withColumn(
-        "_last", F.filter(F.array(F.when(has_last, stretch)), lambda p: p.isNotNull())
-    )
+    return rows.withColumn("_last", F.when(has_last, stretch))
+
+
+def _points(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.startswith("_p")]
 
 
 def period_starts(
@@ -128,7 +130,7 @@ def period_starts(
     A point before the start moves to the start.
     """
     rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
-    return rows.select(key, F.inline("_kept"))
+    return rows.select(key, F.inline(F.array(*_points(rows)))).filter(F.col("months").isNotNull())
 
 
 def last_period(
@@ -144,7 +146,7 @@ def last_period(
 ) -> DataFrame:
     """The stretch older than the oldest kept point: from the later of first birthday and study start."""
     rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
-    return rows.select(key, F.inline("_last"))
+    return rows.filter(F.col("_last").isNotNull()).select(key, "_last.*")
 
 
 def available_periods(
@@ -161,32 +163,29 @@ def available_periods(
     """Consecutive stretches per entity from the end date backwards; the oldest point only closes one."""
     rows = _stretches(entities, key, birth, start, end, step, last, min_age, default_start_days)
 
-    def ordered(day: Column, months: Column, period: Column, kind: Column) -> Column:
-        fields = (day, -months, period, kind)
-        return F.struct(*[c.alias(n) for c, n in zip(fields, ("day", "rank", "period", "type"), strict=True)])
-
-    def plain(array: str) -> Column:
-        return F.transform(
-            array, lambda p: ordered(p["period_day"], p["months"], p["period"], p["period_type"])
-        )
-
-    finish = F.array(
-        ordered(F.col(end), F.lit(0), F.lit(END_PERIOD), F.lit(None).cast("string"))
-    )
-    chain = F.sort_array(F.concat(finish, plain("_kept"), plain("_last")), asc=False)
-
-    def stretch(i: Column) -> Column:
-        names = dict(zip(PERIOD_COLUMNS, ("period", "day", "type"), strict=True))
-        now, older = F.get("_chain", i), F.get("_chain", i + 1)
-        return F.struct(
-            *[now[f].alias(c) for c, f in names.items()],
-            *[older[f].alias("end_" + c) for c, f in names.items()],
+    def entry(day: Column, months: Column, period: Column, kind: Column) -> Column:
+        fields = {"day": day, "rank": -months, "period": period, "type": kind}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    finish = entry(F.col(end), F.lit(0), F.lit(END_PERIOD), F.lit(None).cast("string"))
+    entries = [finish]
+    for name in [*_points(rows), "_last"]:
+        p = F.col(name)
+        fields = (p["period_day"], p["months"], p["period"], p["period_type"])
+        entries.append(F.when(p.isNotNull(), entry(*fields)))
+    # newest first, absent entries last
+    rows = rows.withColumn("_chain", F.sort_array(F.array(*entries), asc=False))
+    names = dict(zip(PERIOD_COLUMNS, ("period", "day", "type"), strict=True))
+    pairs = []
+    for i in range(len(entries) - 1):
+        now, older = F.get("_chain", F.lit(i)), F.get("_chain", F.lit(i + 1))
+        pairs.append(
+            F.struct(
+                *[now[f].alias(c) for c, f in names.items()],
+                *[older[f].alias("end_" + c) for c, f in names.items()],
+            )
         )
-
-    pairs = F.when(
-        F.size("_chain") > 1, F.transform(F.sequence(F.lit(0), F.size("_chain") - 2), stretch)
-    )
-    return rows.withColumn("_chain", chain).select(key, F.inline(pairs))
+    return rows.select(key, F.inline(F.array(*pairs))).filter(F.col("end_period").isNotNull())
 
 
 def period_list(periods: DataFrame, key: str) -> DataFrame:
