@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import chat, quality_rules
+from cohortspark.llm import bpe, chat, quality_rules
 from cohortspark.llm.common import table
 from cohortspark.llm.registry import query
 
@@ -102,3 +103,20 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _digits(ids: str = "ids") -> Column:
+    """The lower-case hex digest of decimal ids joined by commas."""
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, pattern)
+    return bpe.decode(encoded, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        _digits().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
