@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, quality_rules
+from cohortspark.llm import bpe, chat, packing, quality_rules
 from cohortspark.llm.common import table
 from cohortspark.llm.registry import query
+from cohortspark.session import staged
 
 #: the conversation every run formats besides the table's: it holds control strings
 PROBE_ID = -7
@@ -120,3 +121,22 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         _digits().alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: fixed values: the vocabulary's only special token, which the tokenizers library reads in texts, and the end id
+SPECIAL, END_ID = (("<|endoftext|>", 50256),), 2
+
+
+def packed(docs: DataFrame, capacity: int = 1024) -> DataFrame:
+    """Pieces of all documents with their places; the ranks give the ids of byte_bpe_50k.json."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern, special=SPECIAL)
+    pieces = packing.cut(encoded, END_ID, capacity).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+    return packing.pack(staged(pieces), "length", ["doc_id", "piece"], capacity)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
