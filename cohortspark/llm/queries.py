@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, packing, quality_rules
+from cohortspark.llm import bpe, chat, packing, quality_rules, topk
 from cohortspark.llm.common import table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -140,3 +140,26 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query(
+    "op9_exact_topk",
+    check="""
+WITH vectors AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored QUALIFY rank <= 20""",
+)
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").where(topk.whole_vector("embedding"))
+    rows = rows.select("vec_id", topk.scaled("embedding").alias("vector"))
+    return topk.top_k(rows, "vec_id", "vector", F.col("vec_id") % 20 == 0, k=20)
