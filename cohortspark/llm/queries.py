@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, packing, quality_rules, topk
+from cohortspark.llm import bpe, chat, packing, pages, quality_rules, topk
 from cohortspark.llm.common import table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -163,3 +163,9 @@ def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").where(topk.whole_vector("embedding"))
     rows = rows.select("vec_id", topk.scaled("embedding").alias("vector"))
     return topk.top_k(rows, "vec_id", "vector", F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    texts = pages.extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
