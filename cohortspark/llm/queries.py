@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, packing, pages, quality_rules, topk
-from cohortspark.llm.common import table
+from cohortspark.llm import bpe, chat, packing, pages, quality_rules, subwords, topk
+from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
 
@@ -169,3 +169,18 @@ def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     texts = pages.extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def quality_scores(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, maybe more) with held_out and score, learned from the labels of this folder."""
+    held_out = remainder("doc_id", 4) == 2
+    labels = table(spark, sf, "labels").select("doc_id", "quality").where("quality is not null")
+    labelled = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    model = subwords.fit(labelled, "text", F.col("quality"), ~held_out, "doc_id")
+    return subwords.score(docs.withColumn("held_out", held_out), model)
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    scored = quality_scores(spark, sf, table(spark, sf, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
