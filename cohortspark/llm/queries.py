@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, packing, pages, quality_rules, subwords, topk
+from cohortspark.llm import bpe, chat, packing, pages, quality_rules, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -184,3 +184,12 @@ def quality_scores(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality_scores(spark, sf, table(spark, sf, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").where("toxic is not null")
+    scored = toxicity.score(docs.withColumn("held_out", held_out), docs.join(labels, "doc_id"), "toxic", ~held_out, "doc_id")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
