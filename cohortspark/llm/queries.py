@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, packing, pages, quality_rules, subwords, topk, toxicity
+from cohortspark.llm import bpe, chat, neardup, packing, pages, quality_rules, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -193,3 +193,9 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "toxic").where("toxic is not null")
     scored = toxicity.score(docs.withColumn("held_out", held_out), docs.join(labels, "doc_id"), "toxic", ~held_out, "doc_id")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_minhash_neardup")
+def op8_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
