@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, neardup, packing, pages, quality_rules, subwords, topk, toxicity
+from cohortspark.llm import bpe, chat, lm, neardup, packing, pages, quality_rules, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -199,3 +199,11 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op8_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
     found = neardup.classes(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    docs = table(spark, sf, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = lm.score(docs, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
