@@ -171,13 +171,13 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-def quality_scores(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, maybe more) with held_out and score, learned from the labels of this folder."""
+def quality_scores(spark: SparkSession, sf: str, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with held_out and score in place of the text, learned from the folder's labelled documents."""
     held_out = remainder("doc_id", 4) == 2
     labels = table(spark, sf, "labels").select("doc_id", "quality").where("quality is not null")
     labelled = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
     model = subwords.fit(labelled, "text", F.col("quality"), ~held_out, "doc_id")
-    return subwords.score(docs.withColumn("held_out", held_out), model)
+    return subwords.score(docs.withColumn("held_out", held_out), model, text)
 
 
 @query("op2_quality_classifier")
