@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,28 @@ def remainder(id_column: str, modulus: int) -> Column:
 def whole_text(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+PARTS = "part int, block int, data binary"
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(d, dtype=np.float64) for d in rows["data"])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "block": [rows["block"].iloc[0]], "data": [total.tobytes()]})
+
+
+def blocks(vector: np.ndarray, part: int, n: int = 16) -> pd.DataFrame:
+    """A task's vector as rows for ``added``."""
+    cut = np.array_split(np.asarray(vector, dtype=np.float64), n)
+    return pd.DataFrame({"part": part, "block": range(n), "data": [c.tobytes() for c in cut]})
+
+
+def added(parts: DataFrame, fan: int = 256) -> np.ndarray:
+    """The sum of the tasks' vectors, in a tree: first over ``fan`` groups of tasks, then over the groups.
+
+    The vectors' length must not grow with the data; only their sum reaches the driver.
+    """
+    first = parts.withColumn("part", F.col("part") % fan).groupBy("part", "block").applyInPandas(_added, PARTS)
+    last = first.withColumn("part", F.lit(0)).groupBy("part", "block").applyInPandas(_added, PARTS)
+    rows = sorted(last.collect(), key=lambda r: r["block"])
+    return np.concatenate([np.frombuffer(r["data"], dtype=np.float64) for r in rows]) if rows else np.zeros(0)
