@@ -146,3 +146,13 @@ def decide(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with their measures and the verdict ``kept``."""
     return decide(measure(df, text), rules)
+
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that pass, with their own columns.
+
+    A filter on the verdict alone would be pushed below the projections, with every intermediate value written out
+    again in the condition; the row number, which cannot be moved, holds it above them.
+    """
+    judged = apply_rules(df, text, rules).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*df.columns)

@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 def follow_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
