@@ -50,6 +50,7 @@ def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(PROBE_TEXT).alias("text"),
     )
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    rows = rows.withColumn("role", F.coalesce("role", F.lit("")))  # so that a row without any value is a turn, too
     made = chat.format_conversations(rows, "conv_id")
     made = made.withColumn("turns", chat.read_turns(F.col("formatted")))
     made = made.withColumn("trained", chat.trained_text(F.col("formatted"), F.col("loss_spans")))
@@ -174,9 +175,8 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf: str, docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with held_out and score in place of the text, learned from the folder's labelled documents."""
     held_out = remainder("doc_id", 4) == 2
-    labels = table(spark, sf, "labels").select("doc_id", "quality").where("quality is not null")
-    labelled = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
-    model = subwords.fit(labelled, "text", F.col("quality"), ~held_out, "doc_id")
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    model = subwords.fit(table(spark, sf, "documents"), labels, "quality", ~held_out, "doc_id")
     return subwords.score(docs.withColumn("held_out", held_out), model, text)
 
 
@@ -190,8 +190,8 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
-    labels = table(spark, sf, "labels").select("doc_id", "toxic").where("toxic is not null")
-    scored = toxicity.score(docs.withColumn("held_out", held_out), docs.join(labels, "doc_id"), "toxic", ~held_out, "doc_id")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    scored = toxicity.score(docs.withColumn("held_out", held_out), labels, "toxic", ~held_out, "doc_id")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

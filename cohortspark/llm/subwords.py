@@ -130,13 +130,18 @@ def _scored(weights: bytes, bias: float, s: Settings, text: str):
     return run
 
 
-def fit(docs: DataFrame, text: str, label: Column, learn: Column, key: str, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Train on the ``s.sample`` rows with the smallest key hashes among those with a label that ``learn`` admits."""
-    rows = docs.where(F.coalesce(learn, F.lit(False)) & label.isNotNull()).select(
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), label.cast("int").alias("label"), F.xxhash64(f"`{key}`").alias("order")
-    )
-    some = rows.orderBy("order", "text").limit(s.sample).collect()
-    return train([r["text"] for r in some], np.array([int(r["label"] != 0) for r in some], dtype=np.int64), s)
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str, text: str = "text", s: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Train on the ``s.sample`` rows of ``labels`` (key, label) with the smallest key hashes among those that ``learn`` admits.
+
+    Only those keys, a fixed number, are sent to the tasks that read the texts.
+    """
+    some = labels.where(F.coalesce(learn, F.lit(False)) & F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull())
+    some = some.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") != 0).cast("int").alias("label"))
+    some = some.orderBy(F.xxhash64("key"), "label").limit(s.sample)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(some), "key").collect()
+    rows.sort(key=lambda r: (str(r["key"]), r["text"]))
+    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), s)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", s: Settings = Settings()) -> DataFrame:
