@@ -50,7 +50,8 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("turn_rows", ("turn", "role"), ("turn", "role", "text"), "row", ("text",), roles=False),
+    Mapping("turn_rows", ("turn",), ("turn", "role", "text"), "row", ("role", "text"), roles=False),
+    Mapping("role_rows", ("role",), ("turn", "role", "text"), "row", ("text",), roles=False),
     Mapping("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content"), "list"),
     Mapping("from_value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value"), "list"),
     Mapping("instruction", ("instruction", "output"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), "fields", ("input", "system")),
@@ -119,8 +120,8 @@ def _turn(number: Column, role: Column, text: Column) -> Column:
 def _turns(mapping: Mapping, there: set[str]) -> Column:
     if mapping.kind == "row":
         number, role, text = mapping.turns
-        body = _column(text) if text in there else F.lit(None)
-        return F.array(_turn(_column(number), _role(_column(role), mapping.roles), body))
+        number, role, body = (_column(p) if p in there else F.lit(None) for p in (number, role, text))
+        return F.array(_turn(number, _role(role, mapping.roles), body))
     if mapping.kind == "list":
         items, role, text = mapping.turns
         return F.transform(
