@@ -60,11 +60,12 @@ MAIN_WORDS = frozenset("article articlebody post entry story main content".split
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: a word of a label; a number of up to two digits names a kind, a longer one a single element
+WORD = re.compile(r"(?:[a-z]+|[A-Z][a-z]*)(?:\d{1,2}(?!\d))?")
 
 
 def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's name in a path, digits left out, and whether it marks text that is not the page's own."""
+    """An element's name in a path, long numbers left out, and whether it marks text that is not the page's own."""
     if not attributes.strip():
         return tag, tag in ASIDE_TAGS
     given = {}
@@ -72,7 +73,7 @@ def _name(tag: str, attributes: str) -> tuple[str, bool]:
         given.setdefault(key.lower(), "".join(values))
     label = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop"))
     words = [w.lower() for w in WORD.findall(label)]
-    aside = tag in ASIDE_TAGS or "hidden" in given or any(w in ASIDE_WORDS for w in words)
+    aside = tag in ASIDE_TAGS or "hidden" in given or any(w.rstrip("0123456789") in ASIDE_WORDS for w in words)
     return (f"{tag}.{'-'.join(words)}" if words else tag), aside and tag not in ("html", "body")
 
 
