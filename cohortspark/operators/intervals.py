@@ -15,8 +15,9 @@ from cohortspark.functions.dates import epoch_day
 from cohortspark.functions.nulls import not_isin_safe
 from cohortspark.operators.relational import keep_first, lookup, union_distinct
 
-#: cell widths in days; an interval is stored at the first width that covers it with few cells
-CELL_WIDTHS = (64, 4096)
+#: cell widths in days; an interval is stored at the first width that covers it with few cells, and the
+#: last covers the whole calendar with few
+CELL_WIDTHS = (64, 4096, 131_072)
 CELLS_PER_INTERVAL = 32
 
 
@@ -44,11 +45,16 @@ def interval_join(
     level = F.lit(len(widths) - 1)
     for i in reversed(range(len(widths) - 1)):
         level = F.when(length <= widths[i] * CELLS_PER_INTERVAL, F.lit(i)).otherwise(level)
-    per_level = F.array(*[F.sequence(_cell(F.col(start), w), _cell(F.col(end), w)) for w in widths])
+    # only the chosen level's cells are made
+    own = F.sequence(_cell(F.col(start), widths[-1]), _cell(F.col(end), widths[-1]))
+    for i in reversed(range(len(widths) - 1)):
+        own = F.when(
+            F.col("_level") == i, F.sequence(_cell(F.col(start), widths[i]), _cell(F.col(end), widths[i]))
+        ).otherwise(own)
     stored = (
         intervals.filter(F.col(start) <= F.col(end))
         .withColumn("_level", level)
-        .withColumn("_cell", F.explode(F.element_at(per_level, F.col("_level") + 1)))
+        .withColumn("_cell", F.explode(own))
     )
     cells = [
         F.struct(F.lit(i).alias("_level"), _cell(F.col(day), w).alias("_cell"))
@@ -190,4 +196,4 @@ def select_in_period(
 
     Periods last months, so one level of cells is enough.
     """
-    return interval_join(events, periods, [key], event_day, oldest, newest, widths=(256,)).distinct()
+    return interval_join(events, periods, [key], event_day, oldest, newest).distinct()

@@ -27,15 +27,14 @@ def category_map(
 ) -> DataFrame:
     """One row per key with a map ``cells``: category -> struct of sums.
 
-    A map holds at most one entry per listed category, whatever the number of facts. ``extra``
-    aggregates run over the per-category sums.
+    Every key of the facts stays, with an empty map if none of its categories is listed. A map holds at
+    most one entry per listed category, whatever the number of facts. ``extra`` aggregates run over the
+    sums of all categories, listed or not.
     """
-    sums = (
-        facts.filter(isin_safe(F.col(category), categories))
-        .groupBy(*keys, category)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    )
-    cells = F.map_from_entries(F.collect_list(F.struct(category, F.struct(*measures))))
+    sums = facts.groupBy(*keys, category).agg(*[F.sum(m).alias(m) for m in measures])
+    listed = isin_safe(F.col(category), categories)
+    cell = F.when(listed, F.struct(category, F.struct(*measures)))  # nulls are not collected
+    cells = F.map_from_entries(F.collect_list(cell))
     more = [c.alias(n) for n, c in (extra or {}).items()]
     return sums.groupBy(*keys).agg(cells.alias("cells"), *more)
 
@@ -64,7 +63,8 @@ def balanced_panel(
     ``units`` has one row per key; its other columns are kept. ``drop_empty`` names a measure: units
     whose total of it is zero are left out before the rows are unrolled.
     """
-    total = {"_total": F.sum(drop_empty)} if drop_empty else None
+    listed = isin_safe(F.col(category), categories)
+    total = {"_total": F.sum(F.when(listed, F.col(drop_empty)))} if drop_empty else None
     cells = category_map(facts, keys, category, categories, measures, total)
     how = "left"
     if drop_empty:
@@ -128,8 +128,11 @@ def daily_rollup(
     duration: str,
     unseen: str = "Out of sight",
 ) -> DataFrame:
-    """Per day key and behaviour: count, duration, share of the time seen, and frequency per hour."""
-    seen = F.sum(F.when(F.col(behaviour) != unseen, F.col(duration)))
+    """Per day key and listed behaviour: count, duration, share of the time seen, and frequency per hour.
+
+    The time seen is that of all behaviours but ``unseen``, listed or not, and every observed day stays.
+    """
+    seen = F.sum(F.when(F.col(behaviour) != unseen, F.col(duration)).otherwise(F.lit(0)))
     per_day = category_map(facts, keys, behaviour, categories, [count, duration], {"seen": seen})
     return unroll(per_day, behaviour, categories, [count, duration]).withColumns(
         {

@@ -67,15 +67,16 @@ CATEGORY = {
 }
 
 
-def _instant(events: DataFrame, keys: Sequence[str], behaviour: str, count: str):
-    """One row per unit with its map of sums, and the count expression of every behaviour."""
-    wide = category_map(events, keys, behaviour, INSTANT, [count])
+def _instant(events: DataFrame, keys: Sequence[str], behaviour: str, count: str, listed: Sequence[str]):
+    """One row per unit seen, whatever it did, with its map of sums, and the count of every listed behaviour."""
+    wide = category_map(events, keys, behaviour, listed, [count])
     at = {
         syntactic(b): F.coalesce(F.try_element_at("cells", F.lit(b))[count], F.lit(0)).cast("bigint")
-        for b in INSTANT
+        for b in listed
     }
-    # plain locomotion excludes locomotion while working
-    at["Locomotion"] = at["Locomotion"] - at["LocoWork"]
+    if "Locomotion" in at and "LocoWork" in at:
+        # plain locomotion excludes locomotion while working
+        at["Locomotion"] = at["Locomotion"] - at["LocoWork"]
     return wide, at
 
 
@@ -84,7 +85,8 @@ def _total(at: dict[str, Column], parts: Sequence[str]) -> Column:
 
 
 def _instant_rows(at: dict[str, Column], behaviour: str, count: str) -> Column:
-    rows = {**at, **{n: _total(at, parts) for n, parts in TOTALS.items()}}
+    totals = {n: [p for p in parts if p in at] for n, parts in TOTALS.items()}
+    rows = {**at, **{n: _total(at, parts) for n, parts in totals.items() if parts}}
     return F.array(
         *[
             F.struct(F.lit(n).alias(behaviour), F.lit("G").alias("received"), c.alias(count))
@@ -94,13 +96,18 @@ def _instant_rows(at: dict[str, Column], behaviour: str, count: str) -> Column:
 
 
 def scan_instant_counts(
-    events: DataFrame, keys: Sequence[str], behaviour: str, count: str
+    events: DataFrame,
+    keys: Sequence[str],
+    behaviour: str,
+    count: str,
+    listed: Sequence[str] = INSTANT,
 ) -> DataFrame:
-    """Zero-filled instantaneous counts per (session, individual) with four totals, in long form.
+    """Zero-filled instantaneous counts per (session, individual) with the totals, in long form.
 
-    ``total_scans`` sums all seventeen behaviours.
+    Everyone seen stays, with zeros if none of the ``listed`` behaviours was shown. ``total_scans`` sums
+    the listed behaviours.
     """
-    wide, at = _instant(events, keys, behaviour, count)
+    wide, at = _instant(events, keys, behaviour, count, listed)
     rows = _instant_rows(at, behaviour, count)
     return wide.select(*keys, _total(at, list(at)).alias("total_scans"), F.inline(rows))
 
@@ -155,6 +162,7 @@ def scan_behaviour_counts(
     behaviour: str,
     behaviours: Sequence[str],
     count: str,
+    listed: Sequence[str] = INSTANT,
 ) -> DataFrame:
     """Instantaneous and directed counts in one long table, the scan total on every row.
 
@@ -162,7 +170,7 @@ def scan_behaviour_counts(
     they are already partitioned by, and only then unroll.
     """
     keys = [session, actor]
-    wide, at = _instant(instant_events, keys, behaviour, count)
+    wide, at = _instant(instant_events, keys, behaviour, count, listed)
     sides = _sides(directed_events, session, actor, partner, behaviour, count)
     directed = category_map(sides, keys, behaviour, behaviours, ["_g", "_r"]).withColumnRenamed(
         "cells", "directed"
@@ -190,10 +198,15 @@ def scan_behaviour_counts(
 
 
 def scan_categories(
-    events: DataFrame, roster: DataFrame, keys: Sequence[str], behaviour: str, count: str
+    events: DataFrame,
+    roster: DataFrame,
+    keys: Sequence[str],
+    behaviour: str,
+    count: str,
+    listed: Sequence[str] = INSTANT,
 ) -> DataFrame:
     """Count and share of scans per category; roster members never seen keep one empty row."""
-    wide, at = _instant(events, keys, behaviour, count)
+    wide, at = _instant(events, keys, behaviour, count, listed)
     members: dict[str, list[str]] = {}
     for name in at:
         short = SHORT_NAMES.get(name, name)

@@ -6,13 +6,14 @@ Only feature-by-feature matrices reach the driver; their size is the number of b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,25 +30,35 @@ def behaviour_correlation(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(cells))
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    """No column is missing; models are fitted on such rows, other rows keep NULL results."""
+    return reduce(
+        lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    )
+
+
 def _features(df: DataFrame, columns: Sequence[str], out: str = "_features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep").transform(df)
 
 
 def principal_components(
     df: DataFrame, columns: Sequence[str], k: int, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Scores of every row on the first ``k`` components, as columns ``pc1`` to ``pck``."""
-    rows = _features(df, columns)
-    model = PCA(k=k, inputCol="_features", outputCol="_scores").fit(rows)
-    scores = model.transform(rows).withColumn("_scores", vector_to_array("_scores"))
+    """Scores of every row on the first ``k`` components, as columns ``pc1`` to ``pck``.
+
+    Components are those of the complete rows; a row with a missing value has NULL scores.
+    """
+    rows, whole = _features(df, columns), _complete(columns)
+    model = PCA(k=k, inputCol="_features", outputCol="_scores").fit(rows.filter(whole))
+    scores = model.transform(rows).withColumn("_scores", F.when(whole, vector_to_array("_scores")))
     return scores.select(*keep, *[F.col("_scores")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
 def multinomial(
     df: DataFrame, columns: Sequence[str], label: str, max_iter: int = 50
 ) -> LogisticRegressionModel:
-    """Multinomial logistic regression of an integer label on the columns."""
-    rows = _features(df, columns)
+    """Multinomial logistic regression of an integer label on the columns, fitted on complete rows."""
+    rows = _features(df.filter(_complete([*columns, label])), columns)
     fit = LogisticRegression(
         family="multinomial", featuresCol="_features", labelCol=label, maxIter=max_iter
     )
@@ -55,14 +66,16 @@ def multinomial(
 
 
 def predict(model: LogisticRegressionModel, df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The predicted class of every row, NULL where a column is missing."""
     out = model.transform(_features(df, columns))
-    return out.select(*keep, F.col(model.getPredictionCol()).cast("int").alias("predicted"))
+    guess = F.when(_complete(columns), F.col(model.getPredictionCol()).cast("int"))
+    return out.select(*keep, guess.alias("predicted"))
 
 
 def linear_discriminants(
     df: DataFrame, columns: Sequence[str], label: str, k: int, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Scores on the first ``k`` linear discriminants.
+    """Scores on the first ``k`` linear discriminants; NULL where a column is missing.
 
     Class sizes, means and cross products come from one aggregation; the driver solves the
     between/within problem, a matrix of the number of columns squared.
@@ -71,7 +84,8 @@ def linear_discriminants(
     x = [F.col(c).cast("double") for c in cols]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     stats = (
-        df.groupBy(label)
+        df.filter(_complete(columns) & F.col(label).isNotNull())
+        .groupBy(label)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.array(*[F.avg(c) for c in x]).alias("mean"),

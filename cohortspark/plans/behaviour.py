@@ -37,16 +37,15 @@ _PANEL = f"""SELECT u.source, u.focal_ref, u.animal, u.day, c.behaviour, COALESC
       COALESCE(SUM(s.duration), 0) AS duration
     FROM (SELECT DISTINCT source, focal_ref, animal, day FROM sessions) u
     CROSS JOIN (VALUES {_values(EVENT_TYPES)}) AS c(behaviour)
-    LEFT JOIN (SELECT *, 1 AS n FROM sessions WHERE behaviour = 'click' OR k % 3 > 0) s
+    LEFT JOIN (SELECT *, 1 AS n FROM sessions) s
       ON s.focal_ref = u.focal_ref AND s.source = u.source AND s.behaviour = c.behaviour
     GROUP BY ALL"""
 
 
 def _panel(spark, sf, drop_empty=None):
     facts = _facts(spark, sf)
-    kept = facts.filter((F.col("behaviour") == "click") | (F.col("k") % 3 > 0))
     units = facts.select(*UNIT).distinct()
-    return panel.balanced_panel(units, kept, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"], drop_empty)
+    return panel.balanced_panel(units, facts, UNIT, "behaviour", EVENT_TYPES, ["n", "duration"], drop_empty)
 
 
 @query("balanced_panel", sql(_PANEL, "sessions"),
@@ -125,7 +124,7 @@ def effort_checks(spark, sf):
 
 _DAILY = f"""SELECT d.source, d.animal, d.day, c.behaviour, d.seen,
       COALESCE(SUM(s.n), 0)::BIGINT AS n, COALESCE(SUM(s.duration), 0) AS duration
-    FROM (SELECT source, animal, day, SUM(CASE WHEN behaviour <> 'error' THEN duration END) AS seen
+    FROM (SELECT source, animal, day, SUM(CASE WHEN behaviour <> 'error' THEN duration ELSE 0 END) AS seen
           FROM sessions GROUP BY ALL) d
     CROSS JOIN (VALUES {_values(EVENT_TYPES)}) AS c(behaviour)
     LEFT JOIN (SELECT *, 1 AS n FROM sessions) s ON s.source = d.source AND s.animal = d.animal
@@ -136,8 +135,8 @@ _DAILY = f"""SELECT d.source, d.animal, d.day, c.behaviour, d.seen,
 @query(
     "daily_rollup",
     sql(
-        """SELECT *, ROUND(CAST(duration AS DOUBLE) / CAST(seen AS DOUBLE), 6) AS proportion,
-             ROUND(n / (CAST(seen AS DOUBLE) / 3600), 6) AS per_hour FROM daily""",
+        """SELECT *, ROUND(CAST(duration AS DOUBLE) / NULLIF(CAST(seen AS DOUBLE), 0), 6) AS proportion,
+             ROUND(n / NULLIF(CAST(seen AS DOUBLE) / 3600, 0), 6) AS per_hour FROM daily""",
         "sessions",
         daily=_DAILY,
     ),
@@ -152,6 +151,35 @@ def daily_rollup(spark, sf):
     )
 
 
+_SUBSET = EVENT_TYPES[:3]
+_DAILY_SUBSET = f"""SELECT d.source, d.animal, d.day, c.behaviour, d.seen,
+      COALESCE(SUM(s.n), 0)::BIGINT AS n, COALESCE(SUM(s.duration), 0) AS duration
+    FROM (SELECT source, animal, day, SUM(CASE WHEN behaviour <> 'error' THEN duration ELSE 0 END) AS seen
+          FROM sessions GROUP BY ALL) d
+    CROSS JOIN (VALUES {_values(_SUBSET)}) AS c(behaviour)
+    LEFT JOIN (SELECT *, 1 AS n FROM sessions) s ON s.source = d.source AND s.animal = d.animal
+      AND s.day = d.day AND s.behaviour = c.behaviour
+    GROUP BY ALL"""
+
+
+@query(
+    "daily_rollup_subset",
+    sql(
+        """SELECT *, ROUND(CAST(duration AS DOUBLE) / NULLIF(CAST(seen AS DOUBLE), 0), 6) AS proportion,
+             ROUND(n / NULLIF(CAST(seen AS DOUBLE) / 3600, 0), 6) AS per_hour FROM daily""",
+        "sessions",
+        daily=_DAILY_SUBSET,
+    ),
+    exact=("seen", "duration"),
+)
+def daily_rollup_subset(spark, sf):
+    """Three of the five types are listed; the time seen is that of all."""
+    out = panel.daily_rollup(_facts(spark, sf), DAY, "behaviour", _SUBSET, "n", "duration", unseen="error")
+    return out.withColumns(
+        {"proportion": F.round("proportion", 6), "per_hour": F.round("per_hour", 6)}
+    )
+
+
 _FEMALE_DAYS = """SELECT source, animal, day, seen, sex, age_months, status, lactating, gestation FROM (
       SELECT d.*, CASE WHEN d.animal % 3 < 2 THEN 'F' ELSE 'M' END AS sex,
         CASE WHEN d.animal % 10 > 0
@@ -380,6 +408,32 @@ def scan_instant_counts(spark, sf):
     )
 
 
+_SCAN_SUBSET = ("Dig", "Sweep", "Rest")
+
+
+@query(
+    "scan_counts_unlisted",
+    sql(
+        """SELECT w.obs_ref, w.animal, w.total_scans, 'G' AS received, c.behaviour, CAST(CASE c.behaviour
+             WHEN 'Dig' THEN "Dig" WHEN 'Sweep' THEN "Sweep" WHEN 'Rest' THEN "Rest"
+             ELSE "Dig" + "Sweep" END AS BIGINT) AS n
+           FROM (SELECT obs_ref, animal, COALESCE(SUM(n) FILTER (behaviour = 'Dig'), 0)::BIGINT AS "Dig",
+                   COALESCE(SUM(n) FILTER (behaviour = 'Sweep'), 0)::BIGINT AS "Sweep",
+                   COALESCE(SUM(n) FILTER (behaviour = 'Rest'), 0)::BIGINT AS "Rest",
+                   COALESCE(SUM(n) FILTER (behaviour IN ('Dig', 'Sweep', 'Rest')), 0)::BIGINT AS total_scans
+                 FROM scan_inst GROUP BY ALL) w
+           CROSS JOIN (VALUES ('Dig'), ('Sweep'), ('Rest'), ('Help.Burrow'), ('Help.Total'), ('TotActive'))
+             AS c(behaviour)""",
+        "scan_inst",
+    ),
+)
+def scan_counts_unlisted(spark, sf):
+    """Everyone seen has a row for each listed behaviour and total, whatever else was shown."""
+    return scan.scan_instant_counts(
+        roles.scan_inst(spark, sf), ["obs_ref", "animal"], "behaviour", "n", _SCAN_SUBSET
+    )
+
+
 _DIRECTED = f"""SELECT s.obs_ref, s.animal, b.behaviour, r.received,
       CAST(COALESCE(CASE r.received WHEN 'G' THEN g.n WHEN 'R' THEN p.n
         ELSE COALESCE(g.n, 0) + COALESCE(p.n, 0) END, 0) AS BIGINT) AS n
@@ -728,6 +782,61 @@ def pca(spark, sf):
     return out.select("animal", "day", *[F.round(F.abs(c), 4).alias(c) for c in ("pc1", "pc2")])
 
 
+_TWO = EVENT_TYPES[:2]
+
+
+def _counts(spark, sf):
+    """How often each of two behaviours was shown per individual and day."""
+    return roles.sessions(spark, sf).groupBy("animal", "day").agg(
+        *[F.count(F.when(F.col("behaviour") == b, 1)).cast("double").alias(b) for b in _TWO]
+    )
+
+
+@query(
+    "pca_two",
+    sql(
+        f"""SELECT animal, day, ROUND(ABS(a * v1 + b * v2), 4) AS pc1, ROUND(ABS(b * v1 - a * v2), 4) AS pc2
+           FROM pairs, (
+             SELECT x / SQRT(x * x + y * y) AS v1, y / SQRT(x * x + y * y) AS v2 FROM (
+               SELECT sab AS x, (saa + sbb + SQRT((saa - sbb) * (saa - sbb) + 4 * sab * sab)) / 2 - saa AS y
+               FROM (SELECT VAR_SAMP(a) AS saa, VAR_SAMP(b) AS sbb, COVAR_SAMP(a, b) AS sab FROM pairs)))""",
+        "sessions",
+        pairs=f"""SELECT animal, day, CAST(COUNT(*) FILTER (behaviour = '{_TWO[0]}') AS DOUBLE) AS a,
+             CAST(COUNT(*) FILTER (behaviour = '{_TWO[1]}') AS DOUBLE) AS b FROM sessions GROUP BY ALL""",
+    ),
+)
+def pca_two(spark, sf):
+    """Two columns, whose components have a closed form."""
+    out = stats.principal_components(_counts(spark, sf), _TWO, 2, keep=["animal", "day"])
+    return out.select("animal", "day", *[F.round(F.abs(c), 4).alias(c) for c in ("pc1", "pc2")])
+
+
+@query(
+    "lda_two",
+    sql(
+        f"""SELECT animal, day, label,
+             ROUND(ABS((a - ca) * x + (b - cb) * y) / SQRT(x * x + y * y), 6) AS ld1
+           FROM pairs, (
+             SELECT ca, cb, wbb * da - wab * db AS x, waa * db - wab * da AS y FROM (
+               SELECT SUM(n * saa) AS waa, SUM(n * sbb) AS wbb, SUM(n * sab) AS wab,
+                 SUM(n * ma) / SUM(n) AS ca, SUM(n * mb) / SUM(n) AS cb,
+                 MAX(ma) FILTER (label = 1) - MAX(ma) FILTER (label = 0) AS da,
+                 MAX(mb) FILTER (label = 1) - MAX(mb) FILTER (label = 0) AS db
+               FROM (SELECT label, COUNT(*) AS n, VAR_POP(a) AS saa, VAR_POP(b) AS sbb,
+                       COVAR_POP(a, b) AS sab, AVG(a) AS ma, AVG(b) AS mb FROM pairs GROUP BY label)))""",
+        "sessions",
+        pairs=f"""SELECT animal, day, CAST(animal % 2 AS INTEGER) AS label,
+             CAST(COUNT(*) FILTER (behaviour = '{_TWO[0]}') AS DOUBLE) AS a,
+             CAST(COUNT(*) FILTER (behaviour = '{_TWO[1]}') AS DOUBLE) AS b FROM sessions GROUP BY ALL""",
+    ),
+)
+def lda_two(spark, sf):
+    """Two classes and two columns, whose discriminant has a closed form up to its sign."""
+    rows = _counts(spark, sf).withColumn("label", (F.col("animal") % 2).cast("int"))
+    out = stats.linear_discriminants(rows, _TWO, "label", 1, keep=["animal", "day", "label"])
+    return out.withColumn("ld1", F.round(F.abs("ld1"), 6))
+
+
 def _labelled(spark, sf):
     return _wide(spark, sf).withColumn("label", (F.col("animal") % 3).cast("int"))
 

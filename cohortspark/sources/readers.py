@@ -23,14 +23,17 @@ def read_csv(
     schema: StructType,
     missing: str = "NA",
     text_default: str | None = "",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Headered CSV. ``missing`` is NULL; an empty text cell is empty text unless the default is None.
 
+    ``multi_line`` is for files whose cells hold line breaks; such a file is read by one task.
+
     Spark reads both "NA" and an empty cell as NULL once a null marker is set, so the file is read
     with the marker kept as text and the marker is replaced per column.
     """
     raw = StructType([StructField(f.name, StringType()) for f in schema])
-    text = spark.read.schema(raw).csv(path, header=True, multiLine=True, escape='"')
+    text = spark.read.schema(raw).csv(path, header=True, multiLine=multi_line, escape='"')
     out = []
     for f in schema.fields:
         cell = F.col(f"`{f.name}`")

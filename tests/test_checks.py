@@ -8,6 +8,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as registry
+from cohortspark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="shared tables not available")
@@ -18,7 +19,7 @@ def duck():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(name, spark, duck):
     df = registry.queries()[name](spark, SF)
     check = registry.oracle_sql().get(name)

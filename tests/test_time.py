@@ -220,3 +220,26 @@ def test_day_table(frame, rows):
     assert rows(ordering.day_table(df, ["k"], "d")) == [
         (1, "2020-01-01", 2, 0, 1, None, "2020-01-03"), (1, "2020-01-03", 1, 2, 2, "2020-01-01", None),
     ]
+
+
+def test_interval_cells_are_few(spark):
+    """An interval to the end of the calendar is stored in a bounded number of rows."""
+    from cohortspark.operators import intervals
+
+    spans = spark.sql("SELECT 1 AS k, DATE '1995-01-01' AS a, DATE '9999-12-31' AS b")
+    points = spark.sql("SELECT 1 AS k, DATE '2020-01-01' AS d")
+    joined = intervals.interval_join(points, spans, ["k"], "d", "a", "b")
+    assert joined.count() == 1
+    plan = joined._jdf.queryExecution().executedPlan()
+    made = []
+
+    def walk(node):
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan()
+    walk(plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan)
+    assert all(n <= intervals.CELLS_PER_INTERVAL + 1 for n in made)
