@@ -9,10 +9,6 @@ DAYS_PER_MONTH = 30.4375
 SECONDS_PER_HOUR = 3600
 
 
-def as_day(col) -> Column:
-    return F.to_date(col)
-
-
 def day_diff(later, earlier) -> Column:
     """Signed number of days from ``earlier`` to ``later``."""
     return F.datediff(later, earlier).cast("bigint")

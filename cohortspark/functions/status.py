@@ -31,17 +31,33 @@ def breeding_status(
     return ifelse_na(known, F.lit("Breeder"), F.lit("Helper"))
 
 
+#: fixed values: the stage after the last birth
+AFTER_LAST = "PostLastParturition"
+
+
 def trimester_status(
-    diff: Column, conception: int = 105, first: int = 90, second: int = 60, third: int = 30
+    diff: Column,
+    conception: int = 105,
+    first: int = 90,
+    second: int = 60,
+    third: int = 30,
+    last_birth: Column | None = None,
 ) -> Column:
-    """Gestation stage from the signed day difference to the next birth (zero or negative)."""
-    return (
+    """Gestation stage from the signed day difference to the next birth (zero or negative).
+
+    A difference gets the first stage whose limit it has not passed. With ``last_birth``, the latest birth
+    before the day, a day that has one and no next birth lies after the last one.
+    """
+    stage = (
         F.when(diff < -conception, "NotPregnant")
-        .when((diff >= -conception) & (diff <= -first), "Conception")
-        .when((diff >= -first) & (diff < -second), "FirstTrimester")
-        .when((diff >= -second) & (diff < -third), "SecondTrimester")
-        .when((diff >= -third) & (diff <= 0), "ThirdTrimester")
+        .when(diff <= -first, "Conception")
+        .when(diff < -second, "FirstTrimester")
+        .when(diff < -third, "SecondTrimester")
+        .when(diff <= 0, "ThirdTrimester")
     )
+    if last_birth is None:
+        return stage
+    return stage.when(diff.isNull() & last_birth.isNotNull(), AFTER_LAST)
 
 
 def semester_status(

@@ -110,6 +110,7 @@ def next_event_day(
 def previous_event_day(
     points: DataFrame, events: DataFrame, key: str, day: str, event_day: str, out: str
 ) -> DataFrame:
+    """Last event day at or before each distinct (key, day); NULL when there is none."""
     line = _timeline(points, events.select(key, F.col(event_day).alias(day)), key, day)
     return line.select(key, day, F.col("_prev")["day"].alias(out))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.intervals import interval_join
+from cohortspark.operators.ordering import number_rows
 from cohortspark.session import staged
 
 
@@ -43,20 +44,24 @@ def win_loss(
     actor: str,
     partner: str,
     columns: Sequence[str],
+    group: str,
     order: Sequence[str],
 ) -> DataFrame:
-    """Winner and loser of each contest in one scan; other outcomes are dropped.
+    """Winner and loser of each contest in one scan, numbered per group; other outcomes are dropped.
 
+    ``order`` begins with a day and ends with a unique id, so that the number is the same in every run;
+    whoever needs rows in order sorts by it.
     Submissive calls: received -> actor wins, given -> partner wins. Frontal passes: over -> actor
     wins, under -> partner wins.
     """
     won = F.col(outcome) == F.lit(actor_wins)
     contests = dyads.filter(which & F.col(outcome).isin(actor_wins, partner_wins))
-    return contests.select(
+    out = contests.select(
         *columns,
         F.when(won, F.col(actor)).otherwise(F.col(partner)).alias("winner"),
         F.when(won, F.col(partner)).otherwise(F.col(actor)).alias("loser"),
-    ).orderBy(*order)
+    )
+    return number_rows(out, [group], order, "contest_no")
 
 
 def elo_ratings(

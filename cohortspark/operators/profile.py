@@ -95,14 +95,6 @@ def neighbour_count(
     return _strict(natural_join(out, gaps, "inner", list(partition)), "_gap", thresholds).drop("_gap")
 
 
-def add_rank(
-    rows: DataFrame, partition: Sequence[str], value: str, out: str, width: float
-) -> DataFrame:
-    """Minimum rank from the top (1 = largest); NULL values have no rank."""
-    ranks = value_table(rows, list(partition), value, {}, out, width)
-    return natural_join(rows, ranks, "left", [*partition, value])
-
-
 def _strict(df: DataFrame, gap: str, names) -> DataFrame:
     return df.withColumns({n: F.when(~F.col(gap), F.col(n)) for n in names})
 

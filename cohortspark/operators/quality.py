@@ -76,11 +76,8 @@ def eligible_by_delay(
 ) -> DataFrame:
     """Breeders and solitaries after their start; helpers, and anyone without a start, by age."""
     started = F.col(status).isin(list(by_start)) & (F.col("start_delay") > 0)
-    no_start = (F.col("obs_age") > min_age) & F.col("start_delay").isNull()
-    old_helper = (
-        (F.col("obs_age") > min_age) & (F.col(status) == by_age) & F.col("start_delay").isNotNull()
-    )
-    return df.filter(started | no_start | old_helper)
+    by_years = F.col("start_delay").isNull() | (F.col(status) == by_age)
+    return df.filter(started | (by_years & (F.col("obs_age") > min_age)))
 
 
 def bin_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:

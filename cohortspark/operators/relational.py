@@ -127,11 +127,6 @@ def duplicates(df: DataFrame, keys: Sequence[str] | str, count: str = "n") -> Da
     return natural_join(df, repeated, "inner", keys)
 
 
-def with_categories(units: DataFrame, name: str, values: Sequence) -> DataFrame:
-    """Every unit times a fixed list of categories, generated row by row (no join)."""
-    return units.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-
-
 def contingency(
     df: DataFrame, rows: Sequence[str] | str, column: str, values: Sequence[str]
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from cohortspark.functions.dates import age
 from cohortspark.functions.status import lactation_status, trimester_status
 from cohortspark.operators import dyads as dyadic
 from cohortspark.operators import focal, panel, profile, scan, stats
-from cohortspark.operators.asof import next_event_day
+from cohortspark.operators.asof import next_event_day, previous_event_day
 from cohortspark.operators.focal import POINTS, STATES
 from cohortspark.operators.intervals import interval_join
 from cohortspark.operators.relational import natural_join
@@ -86,6 +86,23 @@ def observation_effort(spark, sf):
     return _effort(spark, sf)
 
 
+@query(
+    "seen_time",
+    sql(
+        """SELECT source, focal_ref, animal, day,
+             SUM(duration) - COALESCE(SUM(duration) FILTER (behaviour = 'error'), 0) AS seen
+           FROM sessions GROUP BY ALL""",
+        "sessions",
+    ),
+    exact=("seen",),
+)
+def seen_time(spark, sf):
+    """Observed time minus time out of sight, sessions without the latter included."""
+    unseen = F.sum(F.when(F.col("behaviour") == "error", F.col("duration")))
+    whole = roles.sessions(spark, sf).groupBy(*UNIT).agg(F.sum("duration").alias("observed"), unseen.alias("unseen"))
+    return whole.select(*UNIT, panel.seen_time(F.col("observed"), F.col("unseen")).alias("seen"))
+
+
 @query(
     "given_state_totals",
     sql(
@@ -190,15 +207,14 @@ _FEMALE_DAYS = """SELECT source, animal, day, seen, sex, age_months, status, lac
           CASE WHEN d.animal % 5 = 1 THEN 'Lactating' ELSE 'NotLactating' END ELSE '' END AS lactating,
         CASE WHEN diff < -105 THEN 'NotPregnant' WHEN diff <= -90 THEN 'Conception'
              WHEN diff < -60 THEN 'FirstTrimester' WHEN diff < -30 THEN 'SecondTrimester'
-             WHEN diff <= 0 THEN 'ThirdTrimester' WHEN d.animal % 6 = 1 THEN 'PostLastParturition' END
-          AS gestation
+             WHEN diff <= 0 THEN 'ThirdTrimester' WHEN had THEN 'PostLastParturition' END AS gestation
       FROM (SELECT source, animal, day, SUM(duration) AS seen FROM sessions WHERE behaviour <> 'error'
             GROUP BY ALL) d
-      LEFT JOIN (SELECT d.animal, d.day, MAX(date_diff('day', b.born, d.day)) AS diff
+      LEFT JOIN (SELECT d.animal, d.day, MAX(date_diff('day', b.born, d.day)) FILTER (b.born >= d.day) AS diff,
+            BOOL_OR(b.born <= d.day) AS had
           FROM (SELECT DISTINCT animal, day FROM sessions) d
-          JOIN (SELECT animal, day + CAST(animal * 13 % 140 AS INTEGER) AS born FROM sessions
-                WHERE event_id % 50 = 0) b
-            ON b.animal = d.animal AND b.born >= d.day GROUP BY ALL) n
+          JOIN (SELECT DISTINCT animal, day + CAST(animal * 13 % 140 AS INTEGER) - 70 AS born FROM sessions) b
+            ON b.animal = d.animal GROUP BY ALL) n
         ON n.animal = d.animal AND n.day = d.day)"""
 _CATEGORY = """SELECT *, CASE WHEN status = 'Helper' THEN 'Helper'
       WHEN lactating = 'NotLactating' AND gestation IN ('Conception', 'NotPregnant') THEN 'NotPreg'
@@ -213,22 +229,24 @@ _CATEGORY = """SELECT *, CASE WHEN status = 'Helper' THEN 'Helper'
 def _female_days(spark, sf):
     rows = roles.sessions(spark, sf)
     seen = panel.observation_effort(rows, DAY, "behaviour", "duration", unseen="error")
-    births = rows.filter(F.col("event_id") % 50 == 0).select(
-        "animal", F.date_add("day", (F.col("animal") * 13 % 140).cast("int")).alias("born")
-    )
+    # births of every session row, up to 70 days before or after it
+    shift = (F.col("animal") * 13 % 140 - 70).cast("int")
+    births = rows.select("animal", F.date_add("day", shift).alias("born"))
     upcoming = next_event_day(rows, births, "animal", "day", "born", "next_day")
+    before = previous_event_day(rows, births, "animal", "day", "born", "last_day")
     out = natural_join(seen, upcoming, "left", ["animal", "day"])
+    out = natural_join(out, before, "left", ["animal", "day"])
     a = F.col("animal")
     born = F.date_add(F.lit("2022-06-01").cast("date"), (a * 7 % 400).cast("int"))
-    stage = trimester_status(F.datediff("day", "next_day"))
+    stage = trimester_status(F.datediff("day", "next_day"), last_birth=F.col("last_day"))
     out = out.withColumns(
         {
             "sex": F.when(a % 3 < 2, "F").otherwise("M"),
             "age_months": F.when(a % 10 > 0, age(F.col("day"), born, "months")),
             "status": F.when(a % 4 == 0, "Helper").otherwise("Breeder"),
-            "gestation": F.coalesce(stage, F.when(a % 6 == 1, "PostLastParturition")),
+            "gestation": stage,
         }
-    ).drop("next_day")
+    ).drop("next_day", "last_day")
     young = F.when(a % 5 == 1, 1).otherwise(0)
     return out.withColumn("lactating", lactation_status(F.col("sex"), F.col("status"), young))
 
@@ -647,17 +665,19 @@ def _calls(spark, sf):
         "animal",
         "partner",
         _KEEP,
-        ["grp", "day", "event_time"],
+        "grp",
+        ["day", "event_time", "event_id"],
     )
 
 
 @query(
     "win_loss_call",
     sql(
-        """SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
+        """SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY day, event_time, event_id) AS contest_no FROM (
+           SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
            WHERE behaviour = 'click' AND received = 0
            UNION ALL SELECT event_id, day, event_time, grp, partner, animal FROM valid
-           WHERE behaviour = 'click' AND received = 1""",
+           WHERE behaviour = 'click' AND received = 1)""",
         "valid",
     ),
 )
@@ -668,10 +688,11 @@ def win_loss_call(spark, sf):
 @query(
     "win_loss_pass",
     sql(
-        """SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
+        """SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY day, event_time, event_id) AS contest_no FROM (
+           SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
            WHERE behaviour = 'view' AND way = 'NoseToNose' AND location = 'Over'
            UNION ALL SELECT event_id, day, event_time, grp, partner, animal FROM valid
-           WHERE behaviour = 'view' AND way = 'NoseToNose' AND location = 'Under'""",
+           WHERE behaviour = 'view' AND way = 'NoseToNose' AND location = 'Under')""",
         "valid",
     ),
 )
@@ -685,7 +706,8 @@ def win_loss_pass(spark, sf):
         "animal",
         "partner",
         _KEEP,
-        ["grp", "day", "event_time"],
+        "grp",
+        ["day", "event_time", "event_id"],
     )
 
 

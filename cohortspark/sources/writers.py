@@ -16,13 +16,3 @@ def write_parquet(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> None:
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
-
-
-def write_bucketed(
-    df: DataFrame, table: str, key: str, buckets: int, sort_by: Sequence[str] = (), mode: str = "errorifexists"
-) -> None:
-    """Table bucketed by the individual's id, so later joins on it need no shuffle."""
-    writer = df.write.mode(mode).bucketBy(buckets, key)
-    if sort_by:
-        writer = writer.sortBy(*sort_by)
-    writer.saveAsTable(table)

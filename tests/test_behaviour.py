@@ -128,8 +128,8 @@ def test_dyads(frame, rows):
     spans = frame("who string, g string, since date, until date", [("b", "x", "2020-01-01", "2020-02-01")])
     valid = dyads.valid_dyads(pairs, spans, "who", "p", "d", "g", "st", "OUT", "since", "until")
     assert rows(valid, "i") == [(1,), (2,)]
-    won = dyads.win_loss(valid, F.lit(True), "r", 0, 1, "who", "p", ["i"], ["i"])
-    assert rows(won) == [(1, "a", "b"), (2, "b", "a")]
+    won = dyads.win_loss(valid, F.lit(True), "r", 0, 1, "who", "p", ["i", "g", "d"], "g", ["d", "i"])
+    assert rows(won, "i", "winner", "loser", "contest_no") == [(1, "a", "b", 1), (2, "b", "a", 2)]
 
 
 def test_elo(frame):

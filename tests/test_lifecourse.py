@@ -275,3 +275,17 @@ def test_samples(frame, rows):
     sent = frame("no int, at date, lab string", [(9, "2021-01-01", "L")])
     out = periods.export_status(chosen.select("id").distinct(), sent, "id", "no", "at")
     assert rows(out, "id", "exported") == [(1, "No"), (2, "No"), (9, "Yes")]
+
+
+def test_stage_after_the_last_birth(spark):
+    from cohortspark.functions.status import trimester_status
+
+    df = spark.sql(
+        "SELECT * FROM VALUES (-106, NULL), (-105, NULL), (-90, NULL), (-60, NULL), (-30, NULL), (0, NULL),"
+        " (NULL, DATE '2020-01-01'), (NULL, NULL), (-5, DATE '2020-01-01') AS t(d, last)"
+    )
+    got = [r[0] for r in df.select(trimester_status(F.col("d"), last_birth=F.col("last"))).collect()]
+    assert got == [
+        "NotPregnant", "Conception", "Conception", "SecondTrimester", "ThirdTrimester", "ThirdTrimester",
+        "PostLastParturition", None, "ThirdTrimester",
+    ]
