@@ -109,11 +109,12 @@ def group_profile(
     thresholds: Sequence = (5, 10, 15, 20),
     weight_width: float = 20,
     age_width: float = 365,
+    young_days: int = 14,
 ) -> DataFrame:
     """Group and same-sex queue composition attached to every row.
 
     Group: size, weight and age rank, competitors within each weight threshold, newborns (age < 1),
-    newborn presence, minimum age. Queue (group, day, sex): size, weight rank, competitors.
+    young (age of at most ``young_days``), newborn presence, minimum age. Queue (group, day, sex): size, weight rank, competitors.
     """
     place = [group, day]
     queue = [group, day, sex]
@@ -123,6 +124,7 @@ def group_profile(
     sizes = rows.groupBy(*place).agg(
         F.count(F.lit(1)).alias("group_size"),
         count_where(F.col(age_col) < 1).alias("pup_count"),
+        count_where((F.col(age_col) >= 0) & (F.col(age_col) <= young_days)).alias("young_count"),
         F.min(age_col).alias("min_age"),
         gap.alias("_gap"),
     ).withColumn("pup_presence", F.when(F.col("pup_count") == 0, "No").otherwise("Yes"))

@@ -458,13 +458,14 @@ _COMP = ",\n".join(
 @query(
     "group_profile",
     sql(
-        f"""SELECT animal, grp, day, sex, age, weight, group_size, pup_count, pup_presence, min_age,
+        f"""SELECT animal, grp, day, sex, age, weight, group_size, pup_count, young_count, pup_presence, min_age,
               queue_size, weight_rank, weight_rank_queue, age_rank,
               {", ".join(f"CAST(CASE WHEN weight IS NOT NULL THEN comp_{t}{q} END AS BIGINT) AS comp_{t}{q}"
                          for q in ("", "_queue") for t in (50, 100, 150, 200))}
             FROM (SELECT h.animal, h.grp, h.day, h.sex, h.age, h.weight,
               COUNT(*) OVER g AS group_size,
               CAST(SUM(CASE WHEN age < 1 THEN 1 ELSE 0 END) OVER g AS BIGINT) AS pup_count,
+              CAST(SUM(CASE WHEN age BETWEEN 0 AND 14 THEN 1 ELSE 0 END) OVER g AS BIGINT) AS young_count,
               CASE WHEN SUM(CASE WHEN age < 1 THEN 1 ELSE 0 END) OVER g = 0 THEN 'No' ELSE 'Yes' END
                 AS pup_presence,
               MIN(age) OVER g AS min_age, COUNT(*) OVER q AS queue_size,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cohortspark-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]
 
 
+#: paths of staged tables, oldest first
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame that is used several times to the shared folder once, and read it back.
 
@@ -59,4 +68,22 @@ def staged(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the staged tables written inside it.
+
+    Frames that read them must have been written or collected by then.
+    """
+    first = len(_STAGED)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _STAGED[first:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _STAGED[first:]

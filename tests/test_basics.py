@@ -99,3 +99,16 @@ def test_unions_fill_missing_columns(frame, rows):
 def test_names(frame):
     df = frame("a int", [(1,)]).select(F.col("a").alias("ng/ul"), F.col("a").alias("2nd one"))
     assert rel.make_names(df).columns == ["ng.ul", "X2nd.one"]
+
+
+def test_staging_leaves_no_table(spark):
+    from pathlib import Path
+
+    from cohortspark.session import shared_folder, staged, staging
+
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    with staging(spark):
+        assert staged(spark.range(5)).count() == 5
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
