@@ -22,10 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.llm.common import PARTS, added, blocks
 from cohortspark.llm.textnum import Texts, pieces
 from cohortspark.session import staged
 
@@ -203,7 +205,7 @@ def _sums(model: LabelModel, pairs: bool, guess: float):
     n = len(model.yes) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        single, double = np.zeros((2, n + 2)), np.zeros((n, n))
+        single, double = np.zeros((2, n + 2)), np.zeros((n, n) if pairs else (0, 0))
         for batch in batches:
             p = _clamped(model.posterior(batch["votes"].tolist()), batch["known"])
             # a guessed row weighs less than a known one, so that guesses do not confirm themselves
@@ -215,11 +217,7 @@ def _sums(model: LabelModel, pairs: bool, guess: float):
                 single[1, at] += w * (1 - x)
                 if pairs and len(v):
                     double[np.ix_(at, at)] += 1
-        k, x = np.arange(2 * (n + 2)), single.ravel()
-        if pairs:
-            i, j = np.nonzero(double)
-            k, x = np.concatenate([k, 2 * (n + 2) + i * n + j]), np.concatenate([x, double[i, j]])
-        yield pd.DataFrame({"k": k, "x": x})
+        yield blocks(np.concatenate([single.ravel(), double.ravel()]), TaskContext.get().partitionId())
 
     return run
 
@@ -233,10 +231,9 @@ def label_model(votes: DataFrame, yes: np.ndarray, no: np.ndarray, prior: float,
     yes0, no0 = np.append(yes, 0.1).clip(1e-4, 0.95), np.append(no, 0.9).clip(1e-6, 0.95)
     model = LabelModel(yes0, no0, prior, np.eye(n))
     for turn in range(s.rounds + 1):
-        sums = votes.select("votes", "known").mapInPandas(_sums(model, turn == 0, s.guess), "k bigint, x double")
-        got = sums.groupBy("k").agg(F.sum("x").alias("x")).toPandas()
-        total = np.zeros(2 * (n + 2) + n * n)
-        total[got["k"].to_numpy(dtype=np.int64)] = got["x"]
+        total = added(votes.select("votes", "known").mapInPandas(_sums(model, turn == 0, s.guess), PARTS))
+        if not len(total):
+            break
         single = total[: 2 * (n + 2)].reshape(2, n + 2)
         toxic, clean = single[:, n + 1]
         if toxic + clean == 0:
@@ -281,21 +278,27 @@ def _scored(weights: np.ndarray, bias: float):
 
 
 def score(
-    docs: DataFrame, labelled: DataFrame, label: str, learn: Column, key: str, text: str = "text", s: Settings = Settings()
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str, text: str = "text", s: Settings = Settings()
 ) -> DataFrame:
-    """``docs`` with ``score`` in place of the text. ``labelled`` holds key, text and label; ``learn`` says which rows of either may teach."""
+    """``docs`` with ``score`` in place of the text. ``labels`` holds key and label; ``learn`` says which keys may teach.
+
+    The sample's keys, a fixed number, are sent to the tasks that read the texts; no text is shuffled.
+    """
     may = F.coalesce(learn, F.lit(False))
     order = F.xxhash64(f"`{key}`")
-    teach = labelled.where(may & F.col(label).isNotNull()).select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (F.col(label) != 0).cast("int").alias("y"), order.alias("order"))
-    sample = []
-    for y, most in ((1, s.toxic), (0, s.clean)):
-        sample += [(r["text"], y) for r in teach.where(F.col("y") == y).orderBy("order", "text").limit(most).collect()]
+    teach = labels.where(may & F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull())
+    teach = teach.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") != 0).cast("int").alias("y"))
+    picked = [teach.where(F.col("y") == y).orderBy(F.xxhash64("key")).limit(most) for y, most in ((1, s.toxic), (0, s.clean))]
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "key").collect()
+    sample = sorted((r["text"], r["y"]) for r in rows)
     voters, yes, no = mine(sample, s)
     rates = teach.agg(F.avg("y")).first()[0]
     prior = float(np.clip(0.05 if rates is None else rates, 1e-3, 0.5))
-    known = labelled.where(may).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max((F.col(label) != 0).cast("double")).alias("known"))
+    known = teach.groupBy(F.col("key").alias("__key")).agg(F.max("y").cast("double").alias("known"))
     votes = staged(vote(docs.withColumn("__learn", may).withColumn("__order", order), voters, text, s))
     usable = votes.where("__learn").select("votes", "__order", F.col(f"`{key}`").alias("__key")).join(known, "__key", "left")
+    usable = staged(usable.drop("__key"))  # read in every round
     model = label_model(usable, yes, no, prior, s)
     # the classifier's rows: half with votes, half of any kind, by id hash
     picked = []
