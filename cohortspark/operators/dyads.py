@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.intervals import interval_join
 from cohortspark.operators.ordering import number_rows
-from cohortspark.session import staged
+from cohortspark.session import discard, last_staged, staged
 
 
 def valid_dyads(
@@ -64,27 +64,32 @@ def win_loss(
     return number_rows(out, [group], order, "contest_no")
 
 
-def elo_ratings(
+def periodic_ratings(
     contests: DataFrame,
     group: str,
     winner: str,
     loser: str,
     day: str,
-    period_days: int = 7,
+    period_days: int = 1,
     k: float = 100.0,
     start: float = 1000.0,
     scale: float = 400.0,
+    most: float = 200.0,
 ) -> DataFrame:
-    """Elo ratings per group, updated once per rating period.
+    """Ratings per group with the odds of Elo's system, updated once per rating period.
 
     All contests of a period are rated against the ratings at its start, so a period is a join and an
-    aggregation instead of a walk through a group's rows. The loop runs over calendar periods; its
-    length does not depend on the number of rows. Ratings are staged each period.
+    aggregation instead of a walk through a group's rows; a period with one contest per player is the
+    sequential rating. A player's move in a period is bounded by ``most``, so that a busy pair does not run
+    away. The loop runs over calendar periods; its length does not depend on the number of rows. Contests
+    are written by day and each is read once; only the latest ratings are kept.
     """
+    spark = contests.sparkSession
     results = staged(
         contests.groupBy(
             group, F.col(day).alias("_day"), F.col(winner).alias("_w"), F.col(loser).alias("_l")
-        ).agg(F.count(F.lit(1)).alias("_n"))
+        ).agg(F.count(F.lit(1)).alias("_n")),
+        by=["_day"],
     )
     span = results.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
     sides = F.array(
@@ -97,6 +102,7 @@ def elo_ratings(
         .agg(F.sum("won").cast("bigint").alias("wins"), F.sum("lost").cast("bigint").alias("losses"))
     )
     ratings = staged(tally.withColumn("rating", F.lit(float(start))))
+    kept = last_staged()
     if span["a"] is None:
         return ratings
     for offset in range(0, (span["b"] - span["a"]).days + 1, period_days):
@@ -114,9 +120,12 @@ def elo_ratings(
             F.struct(F.col("_l").alias("player"), (-gain).alias("_d")),
         )
         change = round_.select(group, F.inline(moves)).groupBy(group, "player").agg(F.sum("_d").alias("_d"))
+        move = F.least(F.lit(most), F.greatest(F.lit(-most), F.coalesce(F.col("_d"), F.lit(0.0))))
         ratings = staged(
             ratings.join(change, [group, "player"], "left")
-            .withColumn("rating", F.col("rating") + F.coalesce(F.col("_d"), F.lit(0.0)))
+            .withColumn("rating", F.col("rating") + move)
             .drop("_d")
         )
+        discard(spark, kept)
+        kept = last_staged()
     return ratings

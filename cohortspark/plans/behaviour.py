@@ -727,38 +727,38 @@ def partner_info(spark, sf):
     return profile.partner_info(pairs, info, "animal", "partner", "who", ["sex", "status"])
 
 
-def _elo_sql(periods: int) -> str:
-    """One pair of WITH clauses per rating period, all contests against the period's first ratings."""
-    both = """SELECT grp, winner AS player, 1 AS won FROM contests
-              UNION ALL SELECT grp, loser, 0 FROM contests"""
-    parts = {
-        "contests": """SELECT grp, day, animal AS winner, partner AS loser FROM valid
-            WHERE behaviour = 'click' AND received = 0
-            UNION ALL SELECT grp, day, partner, animal FROM valid
-            WHERE behaviour = 'click' AND received = 1""",
-        "r0": f"""SELECT grp, player, CAST(SUM(won) AS BIGINT) AS wins,
-            CAST(SUM(1 - won) AS BIGINT) AS losses, 1000.0::DOUBLE AS rating FROM ({both}) GROUP BY ALL""",
-    }
-    for p in range(periods):
-        parts[f"g{p}"] = f"""SELECT c.grp, c.winner, c.loser,
-              100.0::DOUBLE * (1 - 1 / (1 + POWER(10.0::DOUBLE, (l.rating - w.rating) / 400.0::DOUBLE)))
-                AS gain
-            FROM contests c JOIN r{p} w ON w.grp = c.grp AND w.player = c.winner
-            JOIN r{p} l ON l.grp = c.grp AND l.player = c.loser
-            WHERE date_diff('day', (SELECT MIN(day) FROM contests), c.day) // 7 = {p}"""
-        parts[f"r{p + 1}"] = f"""SELECT r.grp, r.player, r.wins, r.losses, r.rating + COALESCE(d.d, 0) AS rating
-            FROM r{p} r LEFT JOIN (SELECT grp, player, SUM(d) AS d FROM (
-                SELECT grp, winner AS player, gain AS d FROM g{p}
-                UNION ALL SELECT grp, loser, -gain FROM g{p}) GROUP BY ALL) d
-              ON d.grp = r.grp AND d.player = r.player"""
-    return sql(
-        f"SELECT grp, player, wins, losses, ROUND(rating, 6) AS rating FROM r{periods}", "valid", **parts
-    )
-
-
-@query("elo_rating", _elo_sql(5))
+_GAMES = """SELECT grp, day, animal AS winner, partner AS loser FROM valid
+      WHERE behaviour = 'click' AND received = 0
+      UNION ALL SELECT grp, day, partner, animal FROM valid WHERE behaviour = 'click' AND received = 1"""
+#: each contest from both sides, with its period; a recursion over the periods, however many there are
+_RATINGS = """SELECT 0 AS p, grp, player, 1000.0::DOUBLE AS rating FROM sides GROUP BY grp, player
+    UNION ALL
+    SELECT p + 1, grp, player, ANY_VALUE(rating) + LEAST(200, GREATEST(-200, COALESCE(SUM(
+        100.0::DOUBLE * (won - 1 / (1 + POWER(10.0::DOUBLE, (other - rating) / 400.0::DOUBLE)))), 0)))
+    FROM (
+      SELECT r.p, r.grp, r.player, r.rating, s.won, o.rating AS other
+      FROM ratings r
+      LEFT JOIN sides s ON s.p = r.p AND s.grp = r.grp AND s.player = r.player
+      LEFT JOIN ratings o ON o.p = r.p AND o.grp = s.grp AND o.player = s.opponent
+      WHERE r.p <= (SELECT MAX(p) FROM sides))
+    GROUP BY p, grp, player"""
+_ELO = sql(
+    """SELECT grp, player, wins, losses, ROUND(rating, 6) AS rating FROM ratings
+       JOIN (SELECT grp, player, CAST(SUM(won) AS BIGINT) AS wins, CAST(SUM(1 - won) AS BIGINT) AS losses
+             FROM sides GROUP BY ALL) USING (grp, player)
+       WHERE p = (SELECT MAX(p) FROM ratings)""",
+    "valid",
+    games=_GAMES,
+    sides="""SELECT grp, winner AS player, loser AS opponent, 1 AS won,
+        date_diff('day', (SELECT MIN(day) FROM games), day) // 7 AS p FROM games
+      UNION ALL SELECT grp, loser, winner, 0, date_diff('day', (SELECT MIN(day) FROM games), day) // 7 FROM games""",
+    ratings=_RATINGS,
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("elo_rating", _ELO)
 def elo_rating(spark, sf):
-    out = dyadic.elo_ratings(_calls(spark, sf), "grp", "winner", "loser", "day", period_days=7)
+    out = dyadic.periodic_ratings(_calls(spark, sf), "grp", "winner", "loser", "day", period_days=7)
     return out.withColumn("rating", F.round("rating", 6))
 
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,17 +61,31 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write a frame that is used several times to the shared folder once, and read it back.
 
-    Cuts the lineage, survives lost executors, and later reads prune columns and know the size.
+    Cuts the lineage, survives lost executors, and later reads prune columns and know the size. ``by``
+    partitions the files, for readers that want a few values of these columns at a time.
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def last_staged() -> str:
+    """Where the latest staged table is."""
+    return _STAGED[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _STAGED:
+        _STAGED.remove(path)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Deletes, at the end of the block, the staged tables written inside it.
@@ -82,8 +96,5 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _STAGED[first:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
-        del _STAGED[first:]
+            discard(spark, path)

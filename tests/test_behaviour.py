@@ -134,7 +134,7 @@ def test_dyads(frame, rows):
 
 def test_elo(frame):
     games = frame("g string, w string, l string, d date", [("x", "a", "b", "2020-01-01"), ("x", "a", "b", "2020-01-02"), ("x", "b", "a", "2020-01-09"), ("y", "a", "b", "2020-01-01")])
-    got = {(r.g, r.player): (r.wins, r.losses, r.rating) for r in dyads.elo_ratings(games, "g", "w", "l", "d", 7).collect()}
+    got = {(r.g, r.player): (r.wins, r.losses, r.rating) for r in dyads.periodic_ratings(games, "g", "w", "l", "d", 7).collect()}
     # first week: two wins at even odds, +50 each; second week: the loser at 900 beats the winner at 1100
     swing = 100 * (1 - 1 / (1 + 10 ** (200 / 400)))
     assert got["x", "a"][:2] == (2, 1) and got["x", "a"][2] == pytest.approx(1100 - swing)
