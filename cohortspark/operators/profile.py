@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,10 +166,17 @@ def partner_info(
     partner: str,
     key: str,
     columns: Sequence[str],
+    dated: Callable[[Callable[[str], Column]], dict[str, Column]] | None = None,
 ) -> DataFrame:
-    """Profile columns of actor and partner, prefixed, on every dyad."""
+    """Profile columns of actor and partner, prefixed, on every dyad.
+
+    ``dated`` makes further columns that depend on the dyad's own ones, such as age or status on its
+    day; it gets a function that gives a side's profile column. Both sides stay one join each.
+    """
     out = dyads
     for role in (actor, partner):
         side = info.select(F.col(key).alias(role), *[F.col(c).alias(f"{role}_{c}") for c in columns])
         out = natural_join(out, side, "left", role)
+        made = dated(lambda c, role=role: F.col(f"{role}_{c}")) if dated else {}
+        out = out.withColumns({f"{role}_{n}": c for n, c in made.items()}) if made else out
     return out

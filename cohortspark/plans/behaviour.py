@@ -727,6 +727,36 @@ def partner_info(spark, sf):
     return profile.partner_info(pairs, info, "animal", "partner", "who", ["sex", "status"])
 
 
+_DATED = ", ".join(
+    f"""ROUND(date_diff('day', {t}.birth_date, d.day) / 30.4375, 6) AS {r}_age,
+        CASE WHEN {t}.start_date IS NULL THEN NULL WHEN d.day >= {t}.start_date THEN 'Started' ELSE 'Before' END
+          AS {r}_stage"""
+    for r, t in (("animal", "a"), ("partner", "p"))
+)
+
+
+@query(
+    "partner_on_day",
+    sql(
+        f"""SELECT d.event_id, d.animal, d.partner, d.day, a.sex AS animal_sex, p.sex AS partner_sex, {_DATED}
+           FROM dyads d LEFT JOIN entity a ON a.animal = d.animal LEFT JOIN entity p ON p.animal = d.partner""",
+        "dyads",
+        "entity",
+    ),
+)
+def partner_on_day(spark, sf):
+    """Age and stage of both sides on the day of the dyad."""
+    pairs = roles.dyads(spark, sf).select("event_id", "animal", "partner", "day")
+    info = roles.entity(spark, sf).select(F.col("animal").alias("who"), "sex", "birth_date", "start_date")
+
+    def dated(side):
+        started = F.when(F.col("day") >= side("start_date"), "Started").when(F.col("day") < side("start_date"), "Before")
+        return {"age": F.round(age(F.col("day"), side("birth_date"), "months"), 6), "stage": started}
+
+    out = profile.partner_info(pairs, info, "animal", "partner", "who", ["sex", "birth_date", "start_date"], dated)
+    return out.drop(*[f"{r}_{c}" for r in ("animal", "partner") for c in ("birth_date", "start_date")])
+
+
 _GAMES = """SELECT grp, day, animal AS winner, partner AS loser FROM valid
       WHERE behaviour = 'click' AND received = 0
       UNION ALL SELECT grp, day, partner, animal FROM valid WHERE behaviour = 'click' AND received = 1"""
