@@ -44,8 +44,16 @@ def day_table(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     )
 
 
-def _buckets(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
+def id_slice(df: DataFrame, column: str, rows: int | None = None) -> int:
+    """A slice width that holds about ``rows`` rows where ids are spread evenly, such as hashes; one pass."""
+    rows = rows or ID_SLICE
+    r = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    return 1 if not r[2] else max(1, -(-(r[1] - r[0] + 1) * rows // r[2]))
+
+
+def _buckets(df: DataFrame, order: Sequence[str], width: int | None = None) -> dict[str, Column]:
     """Coarse sort keys: days as they are, then the first integer column in slices."""
+    width = width or ID_SLICE
     out = {}
     for i, c in enumerate(order):
         kind = df.schema[c].dataType
@@ -53,7 +61,7 @@ def _buckets(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
             out[f"_b{i}"] = F.col(c)
             continue
         if isinstance(kind, T.IntegralType):
-            out[f"_b{i}"] = F.floor(F.col(c) / ID_SLICE)
+            out[f"_b{i}"] = F.floor(F.col(c).cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)"))
         break
     if not out:
         raise ValueError("the order must begin with a date or an integer column")
@@ -61,16 +69,22 @@ def _buckets(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, counted: DataFrame | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    out: str,
+    counted: DataFrame | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """``row_number`` over ``keys`` ordered by ``order``, NULLs last.
 
+    ``width`` is that of an id slice: the default suits consecutive ids, ``id_slice`` gives one for sparse ids.
     The order begins with days and unique integer ids; these cut a hot group into buckets. When
     several numbers are attached in a row, ``counted`` is the common starting frame (same rows), so
     that the plan grows by one branch per number instead of doubling.
     """
     keys, order = list(keys), list(order)
-    buckets = _buckets(df, order)
+    buckets = _buckets(df, order, width)
     names = list(buckets)
     # one non-null key per bucket: the window and the join below share its partitioning
     key = F.struct(*keys, *[c.alias(b) for b, c in buckets.items()])
@@ -175,14 +189,18 @@ def value_table(
 
 
 def summary_stats(
-    df: DataFrame, value: str, by: Sequence[str] = (), width: float = 1000.0
+    df: DataFrame, value: str, by: Sequence[str] = (), width: float | None = None, slices: int = 1024
 ) -> DataFrame:
     """Minimum, quartiles (linear interpolation), mean, maximum and NULL count, exact.
 
+    Without a ``width`` the value range is cut into ``slices`` slices, which takes one more pass.
     Works on value counts: ranks come from slice totals plus ranks inside a slice, so no task ever
     holds all values of a group.
     """
     by = list(by) or ["_all"]
+    if width is None:
+        low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+        width = (high - low) / slices if low is not None and high > low else 1.0
     base = df if by != ["_all"] else df.withColumn("_all", F.lit(1))
     # the only pass over the rows; everything below works on distinct values
     every = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -196,9 +214,9 @@ def summary_stats(
     )
     # NULLs stay as a last slice: a filter would be pushed below the aggregate and scan the rows again
     counts = every.withColumn("_slice", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
-    slices = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
+    sizes = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_m"))
     lower = Window.partitionBy(*by).orderBy(F.col("_slice").asc_nulls_last())
-    offsets = slices.select(*by, "_slice", _before(lower, "_m").alias("_offset"))
+    offsets = sizes.select(*by, "_slice", _before(lower, "_m").alias("_offset"))
     inside = Window.partitionBy(*by, "_slice").orderBy(value)
     placed = natural_join(
         counts.withColumn("_in", _before(inside, "_n")), offsets, "inner", [*by, "_slice"]

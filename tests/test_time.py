@@ -243,3 +243,18 @@ def test_interval_cells_are_few(spark):
     plan = joined._jdf.queryExecution().executedPlan()
     walk(plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan)
     assert all(n <= intervals.CELLS_PER_INTERVAL + 1 for n in made)
+
+
+def test_slices_follow_the_data(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select((F.rand(3) * F.lit(1.0)).alias("v"))
+    values = sorted(r.v for r in df.collect())
+    got = ordering.summary_stats(df, "v").first()
+    assert got.median == pytest.approx((values[1499] + values[1500]) / 2)
+    ids = spark.range(2000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("i"))
+    width = ordering.id_slice(ids, "i", rows=50)
+    buckets = ids.groupBy(ordering._buckets(ids, ["i"], width)["_b0"]).count()
+    assert buckets.agg(F.max("count")).first()[0] < 150
+    numbered = ordering.number_rows(ids, ["k"], ["i"], "n", width=width)
+    assert [r.n for r in numbered.orderBy("i").collect()] == list(range(1, 2001))
