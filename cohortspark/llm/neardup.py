@@ -3,17 +3,19 @@
 A text is the weighted set of its five-word shingles: term frequency times a damped inverse document frequency (1 to 2). Document
 frequencies are counted over all documents in hashed buckets, so what reaches the driver is bounded by the number
 of buckets (one per document, 2^16 to 2^22). Each text draws ``bands * rows`` consistent samples; texts that agree on all samples of a band
-are candidates. Exact copies are found by their digest and need no candidates.
+share a bucket and are candidates. Exact copies are found by their digest and need no candidates.
 
-Candidates are never expanded to all pairs of a bucket. Each round compares a bucket's texts with one leader (its smallest text
-outside the leaders' classes so far), verifies by weighted Jaccard similarity on the whole texts, and merges classes. When few enough
-pairs across classes are left, all of them are verified. So no candidate link between two classes stays
-untested, while a bucket of thousands of copies costs a few comparisons per text. Pairs whose total weights already rule the similarity
-out are skipped. Classes are connected components, by label propagation with pointer jumping over written tables.
+Candidates are not expanded to all pairs of a bucket. First each text is compared with the smallest text of its bucket, and classes are
+merged; a bucket of thousands of copies then is one class and done. In buckets that still hold several classes, all texts of different
+classes are compared in tiles of bounded size inside tasks, by a sketch that bounds the similarity from above: weights summed in hashed
+groups. Only pairs that pass the bound become rows. Every passing pair is verified by weighted Jaccard similarity on the whole texts, so no
+candidate link between two classes stays untested. Classes are connected components, by label propagation with pointer jumping over
+written tables.
 
 Defined results: null texts count as empty; copies (repeated rows, too) share a class; a text without words equals only
-its copies; a text of fewer than five words is one shingle; a row without id gets no class; an id should stand for one text, else its
-smallest digest is compared and all its rows share that class; other columns are ignored; an empty table gives no rows.
+its copies; a text of fewer than five words is one shingle; a row without id gets the class of its copies with ids, else null; an id should
+stand for one text, else its smallest digest is compared and all its rows share that class; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -22,25 +24,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.common import PARTS, added, blocks
 from cohortspark.llm.textnum import Texts, mix, pieces
 from cohortspark.session import staged
 
+_PARTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 16
-    rows: int = 4
+    bands: int = 20
+    rows: int = 5
     seed: int = 5
-    #: leaders per bucket before the pairs across classes are listed, and how many of those a text may have on average
-    rounds: int = 6
-    pairs_per_text: float = 2.0
+    #: entries of the random tables of the samples, groups of a sketch, texts of a tile
     table: int = 1 << 14
+    groups: int = 256
+    tile: int = 256
+    #: ids of texts to read again are sent to all tasks up to this number, else joined
+    sent: int = 2_000_000
 
 
 def shingles(texts: Texts, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +82,7 @@ def _counted(bits: int, s: Settings):
             for a, b in pieces(column):
                 _, found, _ = shingles(Texts.of(column.slice(a, b - a)), s)
                 total += np.bincount(_bucket(found, bits), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_pandas(blocks(total, TaskContext.get().partitionId()), _PARTS, preserve_index=False)
 
     return run
 
@@ -82,10 +90,8 @@ def _counted(bits: int, s: Settings):
 def idf_table(docs: DataFrame, text: str, documents: int, s: Settings = Settings()) -> np.ndarray:
     """1 + ln((N+1)/(n+1)) / ln(N+1) per bucket, at least 1: the shingle's documents n of N, in hashed buckets."""
     bits = int(np.clip(np.ceil(np.log2(max(documents, 1) + 1)), 16, 22))
-    counts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(_counted(bits, s), "bucket int, n bigint")
-    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << bits)
-    total[got["bucket"].to_numpy(dtype=np.int64)] = got["n"]
+    total = added(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(_counted(bits, s), PARTS))
+    total = total if len(total) else np.zeros(1 << bits)
     idf = 1 + (np.log(documents + 1) - np.log(total + 1)) / max(np.log(documents + 1), 1e-9)
     return idf.clip(1, 2).astype(np.float32)
 
@@ -104,8 +110,10 @@ def _tables(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def sample(text: np.ndarray, found: np.ndarray, weight: np.ndarray, tables, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(texts with shingles, their band keys): consistent samples (shingle, quantised weight), hashed per band."""
     odd, r, lnc, beta = tables
-    first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, dtype=np.int64)
-    owner = np.cumsum(np.append(True, text[1:] != text[:-1])) - 1 if len(text) else text
+    if not len(text):
+        return np.zeros(0, dtype=np.int64), np.zeros((0, s.bands), dtype=np.uint64)
+    begins = np.append(True, text[1:] != text[:-1])
+    first, owner = np.flatnonzero(begins), np.cumsum(begins) - 1
     lnw = np.log(weight).astype(np.float32)
     shift = np.uint64(64 - int(s.table).bit_length() + 1)
     keys = np.zeros((len(first), s.bands), dtype=np.uint64)
@@ -129,22 +137,113 @@ def _signed(idf: bytes, s: Settings):
         weights, tables = np.frombuffer(idf, dtype=np.float32), _tables(s)
         bits = len(weights).bit_length() - 1
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
+            column = batch.column(2)
             for a, b in pieces(column, 1_500_000):
                 text, found, tf = shingles(Texts.of(column.slice(a, b - a)), s)
-                weight = tf * weights[_bucket(found, bits)]
-                rows, keys = sample(text, found, weight, tables, s)
-                size = np.bincount(text, weight, b - a)[rows]
+                rows, keys = sample(text, found, tf * weights[_bucket(found, bits)], tables, s)
+                sizes = np.zeros(b - a, dtype=np.int32)
+                sizes[rows] = s.bands
                 bands = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, s.bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))
+                    pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys.ravel().view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).take(pa.array(rows)), pa.array(size.astype(np.float32)), bands], names=["id", "size", "bands"]
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), bands], names=["id", "digest", "bands"]
                 )
 
     return run
 
 
+def _sketched(idf: bytes, s: Settings):
+    """Per text: shingle weights summed in hashed groups, rounded up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.frombuffer(idf, dtype=np.float32)
+        bits = len(weights).bit_length() - 1
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            for a, b in pieces(column):
+                text, found, tf = shingles(Texts.of(column.slice(a, b - a)), s)
+                at = text * s.groups + (found % np.uint64(s.groups)).astype(np.int64)
+                total = np.bincount(at, tf * weights[_bucket(found, bits)], (b - a) * s.groups).clip(0, 60_000)
+                low = total.astype(np.float16)
+                up = np.where(low < total, np.nextafter(low, np.float16(np.inf)), low).reshape(b - a, s.groups)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array([r.tobytes() for r in up], pa.binary())], names=["id", "sketch"]
+                )
+
+    return run
+
+
+def _may(one: np.ndarray, many: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the similarity can reach the bound: common weight is at most the sum of the groups' smaller weights.
+
+    A group at the sketch's ceiling says nothing, so it passes.
+    """
+    common = np.minimum(one, many).sum(axis=-1)
+    whole = one.sum(axis=-1) + many.sum(axis=-1) - common
+    # sums of rounded-up weights overstate the whole by one part in a thousand at most
+    return (common >= similarity * whole * (1 - 2e-3)) | (one.max(axis=-1) >= 60_000) | (many.max(axis=-1) >= 60_000)
+
+
+def _vectors(column: pa.Array, s: Settings) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, s.groups).astype(np.float32)
+
+
+def _bounded(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = _may(_vectors(batch.column(2), s), _vectors(batch.column(3), s), s.similarity)
+                yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
+def _tiled(s: Settings):
+    """Pairs of different classes that pass the bound, per group of rows with one ``tiles`` value; groups come sorted.
+
+    A pair is returned in the first band that it shares, so a pair of many shared buckets is one row. (If one of the two leads that
+    bucket, the pair has been compared already.)
+    """
+
+    def pairs(rows: pd.DataFrame) -> tuple[list, list]:
+        vectors = np.frombuffer(b"".join(rows["sketch"]), dtype=np.float16).reshape(-1, s.groups).astype(np.float32)
+        ids, label, leads, side = (rows[c].to_numpy() for c in ("id", "label", "leads", "side"))
+        mixed = bool(rows["mixed"].iloc[0])  # two tiles, or one tile with itself
+        band, bands = int(rows["band"].iloc[0]), np.stack(rows["bands"].to_numpy())
+        left = np.flatnonzero(~leads & (side == 0)) if mixed else np.flatnonzero(~leads)
+        right = np.flatnonzero(~leads & (side == 1)) if mixed else left
+        a, b = [], []
+        for i in left:
+            others = right[label[right] != label[i]]
+            if not mixed:
+                others = others[others > i]
+            if band and len(others):
+                others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+            if len(others):
+                others = others[_may(vectors[i], vectors[others], s.similarity)]
+                a += np.minimum(ids[i], ids[others]).tolist()
+                b += np.maximum(ids[i], ids[others]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            cut = batch["tiles"].to_numpy()
+            first = np.flatnonzero(np.append(True, cut[1:] != cut[:-1]))
+            for x, y in zip(first[:-1], first[1:], strict=True):
+                if y - x > 1:
+                    yield pd.DataFrame(dict(zip("ab", pairs(batch.iloc[x:y]), strict=True)))
+            rest = batch.iloc[first[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest) > 1:
+            yield pd.DataFrame(dict(zip("ab", pairs(rest), strict=True)))
+
+    return run
+
+
 def _similar(idf: bytes, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(idf, dtype=np.float32)
@@ -192,87 +291,84 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole texts."""
+    """The pairs (a, b) that are similar, by their whole texts; a written table."""
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     held = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return held.mapInArrow(_similar(idf.tobytes(), s), held.select("a", "b").schema)
+    return staged(held.mapInArrow(_similar(idf.tobytes(), s), held.select("a", "b").schema))
+
+
+def _star(entries: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Each text with the smallest of its bucket, where the bound allows it."""
+    pairs = entries.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
+    held = pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b")
+    return held.mapInArrow(_bounded(s), held.select("a", "b").schema)
+
+
+def _across(entries: DataFrame, labels: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of different classes inside the buckets, but for those with the leader, where the bound allows it."""
+    placed = staged(entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    tiles = F.ceil(F.col("n") / s.tile).cast("int")
+    open_ = open_.where("low <> high and n > 2").select("key", tiles.alias("t"))
+    own = F.pmod(F.xxhash64("id"), F.col("t")).cast("int")
+    rows = placed.join(open_, "key").join(sketches, "id").withColumn("own", own)
+    # a text meets its own tile and every other one; a pair of tiles is one group of rows
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(
+        F.xxhash64("key", low, high).alias("tiles"),
+        "id",
+        "label",
+        (F.col("id") == F.col("leader")).alias("leads"),
+        (F.col("own") > low).cast("int").alias("side"),
+        (low < high).alias("mixed"),
+        "band",
+        "bands",
+        "sketch",
+    )
+    sorted_ = rows.repartition("tiles").sortWithinPartitions("tiles")
+    kind = entries.schema["id"].dataType.simpleString()
+    return sorted_.mapInPandas(_tiled(s), f"a {kind}, b {kind}").distinct()
 
 
-def links(nodes: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame | None:
-    """(id, label) of all texts that have a similar other text; ``nodes`` holds (id, text), each text once."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    signed = staged(nodes.select("id", "text").mapInArrow(_signed(idf.tobytes(), s), f"id {kind}, size float, bands array<bigint>"))
-    entries = signed.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
-        F.xxhash64("band", "key").alias("key"), "id", "size"
-    )
+def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame | None:
+    """(id, label) of all ids with a similar other text; ``signed`` holds (id, bands), ``docs`` (id, text)."""
+    entries = signed.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "id")
     # only buckets with several texts matter from here on
-    shared = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    entries = staged(entries.join(shared.select("key"), "key"))
-    n = signed.count()
-    # texts that are compared at all
-    texts = nodes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "text")
-    texts = staged(texts)
-    labels = entries.select("id").distinct().withColumn("label", F.col("id"))
-    edges, tested = None, None
-    ratio = s.similarity
-    for turn in range(s.rounds + 1):
-        placed = entries.join(labels, "id") if edges is not None else entries.withColumn("label", F.col("id"))
-        placed = staged(placed)
-        counts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-        counts = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        open_ = counts.where("own < n * n")
-        left = open_.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
-        if left == 0:
-            break
-        last = turn == s.rounds or left <= s.pairs_per_text * n
-        of_open = placed.join(open_.select("key"), "key")
-        if last:
-            other = of_open.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-            pairs = of_open.withColumnRenamed("id", "a").join(other, "key").where("a < b and label <> label_b")
-        else:
-            # the next leader of a bucket: its smallest text outside the classes of its earlier leaders
-            if turn == 0:
-                led = of_open
-            else:
-                before = staged(chosen.select("key", "leader").join(labels.withColumnRenamed("id", "leader"), "leader").select("key", "label").distinct())
-                led = of_open.join(before, ["key", "label"], "left_anti")
-            new = led.groupBy("key").agg(F.min(F.struct("id", "size", "label")).alias("x"))
-            new = staged(new.select("key", F.col("x.id").alias("leader"), F.col("x.size").alias("size_b"), F.col("x.label").alias("label_b")))
-            chosen = new if turn == 0 else staged(chosen.unionByName(new))
-            pairs = of_open.join(new, "key").where("label <> label_b").select(
-                F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "size", "size_b"
-            )
-        # weights that differ too much rule the similarity out
-        pairs = pairs.where((F.col("size") >= ratio * 0.999 * F.col("size_b")) & (F.col("size_b") >= ratio * 0.999 * F.col("size")))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        found = _verified(pairs, texts, idf, s)
-        edges = staged(found if edges is None else edges.unionByName(found))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        known = components(edges)
-        labels = staged(
-            entries.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        )
-        if last:
-            break
-    return None if edges is None else labels
+    shared = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    entries = staged(entries.join(shared.select("key", "leader"), "key").distinct())
+    ids = staged(entries.select("id").distinct())
+    n = ids.count()
+    if not n:
+        return None
+    wanted = docs.join(F.broadcast(ids) if n <= s.sent else ids, "id", "left_semi")
+    texts = staged(wanted.groupBy("id").agg(F.min("text").alias("text")))
+    kind = ids.schema["id"].dataType.simpleString()
+    sketches = staged(texts.mapInArrow(_sketched(idf.tobytes(), s), f"id {kind}, sketch binary"))
+    edges = _verified(_star(entries, sketches, s), texts, idf, s)
+    labels = components(edges)
+    wider = sketches.join(signed.select("id", "bands").groupBy("id").agg(F.first("bands").alias("bands")), "id")
+    more = _verified(_across(entries, labels, wider, s), texts, idf, s)
+    return components(staged(edges.unionByName(more))) if more.limit(1).count() else labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """(key, class_id) per row: the smallest id among the copies and near-copies a row is connected with."""
-    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    ids = staged(docs.select(F.col(f"`{key}`").alias("id"), digest.alias("digest")))
-    copies = ids.groupBy("digest").agg(F.min("id").alias("first"))
-    members = staged(ids.join(copies, "digest").select("id", "digest", "first"))
-    node = members.where("id = first").groupBy("id").agg(F.min("digest").alias("digest"))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # one row per distinct text; repeated rows of an id are dropped by the aggregate
-    nodes = rows.join(node.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    idf = idf_table(docs, text, ids.count(), s)
-    found = links(nodes, idf, s)
+    idf = idf_table(rows, "text", rows.count(), s)
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = rows.select("id", F.md5("text").alias("digest"), "text").mapInArrow(
+        _signed(idf.tobytes(), s), f"id {kind}, digest string, bands array<bigint>"
+    )
+    signed = staged(signed)
+    copies = signed.groupBy("digest").agg(F.min("id").alias("first"))
+    members = staged(signed.select("id", "digest").join(copies, "digest"))
+    # one text per id and one id per text is compared
+    node = members.where("id = first").groupBy("id").agg(F.min("digest").alias("digest"))
+    found = links(signed.join(node, ["id", "digest"], "left_semi"), rows, idf, s)
     out = members.select(F.col("id").alias(key), F.col("first").alias("class_id"))
     if found is None:
         return out
