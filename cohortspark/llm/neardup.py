@@ -97,7 +97,7 @@ def idf_table(docs: DataFrame, text: str, documents: int, s: Settings = Settings
 
 
 def _tables(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per sample: multipliers, and r, ln c and beta by hashed shingle."""
+    """Per sample: multipliers, and tables of r, ln c and beta, each read by bits of its own of the hashed shingle."""
     rng = np.random.default_rng(s.seed)
     shape = (s.bands * s.rows, s.table)
     r = rng.gamma(2, 1, shape).astype(np.float32).clip(1e-3)
@@ -108,23 +108,30 @@ def _tables(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def sample(text: np.ndarray, found: np.ndarray, weight: np.ndarray, tables, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(texts with shingles, their band keys): consistent samples (shingle, quantised weight), hashed per band."""
+    """(texts with shingles, their band keys): consistent samples (shingle, quantised weight), hashed per band.
+
+    r, ln c and beta come from three tables by separate bits, so shingles of a long text hardly ever tie; a tie goes to the smallest hash,
+    since the order of the shingles depends on where the text stands.
+    """
     odd, r, lnc, beta = tables
     if not len(text):
         return np.zeros(0, dtype=np.int64), np.zeros((0, s.bands), dtype=np.uint64)
     begins = np.append(True, text[1:] != text[:-1])
     first, owner = np.flatnonzero(begins), np.cumsum(begins) - 1
     lnw = np.log(weight).astype(np.float32)
-    shift = np.uint64(64 - int(s.table).bit_length() + 1)
+    width = int(s.table).bit_length() - 1
+    shifts, mask = [np.uint64(64 - width * i) for i in (1, 2, 3)], np.uint64(s.table - 1)
     keys = np.zeros((len(first), s.bands), dtype=np.uint64)
     for k in range(s.bands * s.rows):
-        at = ((found * odd[k]) >> shift).astype(np.int32)
-        rk = r[k][at]
-        bk = beta[k][at]
+        bits = found * odd[k]
+        rk = r[k][(bits >> shifts[0]).astype(np.int32)]
+        bk = beta[k][((bits >> shifts[1]) & mask).astype(np.int32)]
         t = np.floor(lnw / rk + bk)
-        a = lnc[k][at] - rk * (t - bk + 1)
+        a = lnc[k][((bits >> shifts[2]) & mask).astype(np.int32)] - rk * (t - bk + 1)
         least = np.minimum.reduceat(a, first)
         hit = np.flatnonzero(a == least[owner])
+        if len(hit) > len(first):
+            hit = hit[np.lexsort((found[hit], owner[hit]))]
         hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]
         drawn = mix(found[hit] + t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         band = k // s.rows

@@ -155,3 +155,23 @@ def test_neardup_tiles_find_what_leaders_miss(spark):
     s = neardup.Settings(tile=8)
     out = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), s=s).collect()
     assert {r["class_id"] for r in out} == {0}
+
+
+def test_neardup_finds_long_near_copies_anywhere(spark):
+    """Near copies of 50,000-word texts, at different places of a batch."""
+    rng = np.random.default_rng(11)
+    base = [" ".join(f"w{x}" for x in rng.integers(1 << 20, size=50_000)) for _ in range(4)]
+    texts = [*base, *(near(b, 0.005, rng) for b in reversed(base))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert got == {i: min(i, 7 - i) for i in range(8)}
+
+
+def test_neardup_sample_ignores_the_order_of_shingles():
+    """Also where hardly any random values are left, so that most minima tie."""
+    s = neardup.Settings(table=2)
+    rng = np.random.default_rng(12)
+    found = rng.integers(1 << 63, size=500, dtype=np.uint64)
+    text, weight = np.zeros(500, dtype=np.int64), np.ones(500)
+    one = neardup.sample(text, found, weight, neardup._tables(s), s)[1]
+    assert (one == neardup.sample(text, found[::-1], weight, neardup._tables(s), s)[1]).all()
