@@ -173,3 +173,20 @@ def test_lm_beats_its_base(spark):
     learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     out = [r for r in lm.score(df, learn).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert len(out) > 20 and np.mean([r["score"] > r["base_score"] for r in out]) > 0.9
+
+
+def test_lm_trains_on_whole_documents(spark):
+    """Each word of a long document stands in it once, and nearly all their vectors learn (the last of a window has no successor in it)."""
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000))), (2, "w0")], "doc_id bigint, text string")
+    vocab = lm.vocabulary(lm.count_words(df))
+    model = lm.train(df, vocab)
+    moved = (model.sums["inputs"][: vocab.top] > 1.00001e-7).any(axis=1)
+    assert moved.mean() > 0.9
+
+
+def test_gru_trains_all_tokens_whatever_the_lengths():
+    rng = np.random.default_rng(8)
+    model, _ = small_model(rng)
+    first = np.array([0, 0, 301, 302, 310, 310, 355])
+    assert model.train(rng.integers(0, 23, 355), first) == 355 and all(np.isfinite(v).all() for v in model.p.values())
+    assert model.train(np.zeros(0, np.int64), np.array([0, 0])) == 0
