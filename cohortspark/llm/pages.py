@@ -8,7 +8,8 @@ Classes seen on at least half of a host's pages are valid; each is nested below
 token. The classes nested under the root make the host's template, whose text-bearing tokens are the slots. Slots
 below tokens that mark menus, headers, footers, sidebars, notices, adverts, forms or comments are set aside; the
 main region is the shallowest article-like token with most of the slots' text, or, without one, the deepest token that
-holds most of it, where constant text (itself in a template class) is dropped. The main region's slots are extracted whole.
+holds most of it, where constant text is dropped: text on two and on half of the host's distinct page bodies. A page left with nothing
+keeps the region's whole text. The main region's slots are extracted whole.
 
 Defined results: a null or empty page gives the empty text; a null url is a host of its own; a host with one page is its
 own template; a page that lacks its host's main region is treated as a host of its own; repeated rows are each
@@ -168,7 +169,7 @@ def deduce(rows: list[tuple[str, int, int, int]]) -> dict:
         while main and main.rpartition("/")[2].partition(".")[0] in ("p", "span", "b", "i", "em", "strong", "a"):
             main = main.rpartition("/")[0]
         # text that most pages of the host share is part of the template, not of a page
-        constant = sorted(t for t in valid if "#" in t and pages >= 3)
+        constant = sorted(t for t, support, _, _ in rows if "#" in t and support >= 2 and 2 * support >= pages)
     return {"main": main, "constant": constant}
 
 
@@ -191,7 +192,10 @@ def extract(page: str, template: dict) -> str | None:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, fingerprint, support, chars), combined over the pages a task has read so far."""
+    """(host, token, fingerprint, support, chars), combined over the pages a task has read so far.
+
+    Each of n copies of a body counts as 1 / n, so sums over the host are those of its distinct bodies.
+    """
     def rows(sums: dict) -> pd.DataFrame:
         return pd.DataFrame(
             [(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "print", "support", "chars"]
@@ -199,15 +203,15 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     sums: dict[tuple[str, str], list[int]] = {}
     for pages in batches:
-        for host, page_hash, page in zip(pages["__host"], pages["__hash"], pages["__html"], strict=True):
+        for host, page_hash, page, n in zip(pages["__host"], pages["__hash"], pages["__html"], pages["__n"], strict=True):
             found, chars = tokens(page or "")
             for token, count in found.items():
                 mixed = (page_hash ^ (count * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
                 mixed = (mixed ^ (mixed >> 31)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-                old = sums.setdefault((host, token), [0, 0, 0])
+                old = sums.setdefault((host, token), [0, 0.0, 0.0])
                 old[0] ^= (mixed ^ (mixed >> 29)) >> 1
-                old[1] += 1
-                old[2] += chars.get(token, 0)
+                old[1] += 1 / n
+                old[2] += chars.get(token, 0) / n
         if len(sums) > 100_000:
             yield rows(sums)
             sums = {}
@@ -229,6 +233,8 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 read_ = {} if len(read_) > 1000 else read_
                 read_[template] = json.loads(template)
             text = extract(page, read_[template])
+            if text == "" and read_[template]["constant"]:  # nothing of its own, such as many addresses of one article
+                text = extract(page, read_[template] | {"constant": []})
             if text is None:  # not made by this template
                 found, chars = tokens(page)
                 text = extract(page, deduce([(t, 1, 0, chars.get(t, 0)) for t in found]))
@@ -240,27 +246,34 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_pages(df: DataFrame, page: str = "html", url: str = "url", salts: int = 32) -> DataFrame:
+def extract_pages(df: DataFrame, page: str = "html", url: str = "url", salts: int = 32, sent: int = 1_000_000) -> DataFrame:
     """The rows with ``text`` in place of the page column.
 
-    Templates are joined back by host and a salt of the page, so a hot host's pages stay spread.
+    Templates are joined back by host and a salt of the page, so a hot host's pages stay spread. Counts of repeated bodies are sent
+    to all tasks up to the number ``sent``, else joined.
     """
     kept = [f for f in df.schema.fields if f.name not in (page, "text")]
     body = F.coalesce(F.col(f"`{page}`"), F.lit(""))
     pages = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{page}`").alias("__html"), host(url).alias("__host"))
-    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{url}`"), F.lit("")), body), 1)
-    counted = df.select(host(url).alias("__host"), hashed.alias("__hash"), body.alias("__html")).mapInPandas(
-        _counted, "host string, token string, print bigint, support bigint, chars bigint"
-    )
+    own = F.xxhash64(host(url), body)
+    bodies = df.select(host(url).alias("__host"), own.alias("__own"), body.alias("__html"))
+    copies = staged(df.select(own.alias("__own")).groupBy("__own").agg(F.count("*").alias("__n")).where("__n > 1"))
+    held = F.broadcast(copies) if copies.count() <= sent else copies
+    hashed = F.shiftrightunsigned("__own", 1)
+    counted = bodies.join(held, "__own", "left").select("__host", hashed.alias("__hash"), "__html", F.coalesce("__n", F.lit(1)).alias("__n"))
+    counted = counted.mapInPandas(_counted, "host string, token string, print bigint, support double, chars double")
     # read twice below, so written once
     all_ = staged(
         counted.groupBy("host", "token").agg(
-            F.bit_xor("print").alias("print"), F.sum("support").alias("support"), F.sum("chars").alias("chars")
+            F.bit_xor("print").alias("print"),
+            F.round(F.sum("support")).cast("bigint").alias("support"),
+            F.round(F.sum("chars")).cast("bigint").alias("chars"),
         )
     )
     # element tokens are few; of the text tokens only those on half of the pages can be constant
     size = all_.where(F.col("token") == "").select("host", F.col("support").alias("pages"))
-    some = all_.join(size, "host").where(~F.col("token").contains("#") | (2 * F.col("support") >= F.col("pages")))
+    shared = (F.col("support") >= 2) & (2 * F.col("support") >= F.col("pages"))
+    some = all_.join(size, "host").where(~F.col("token").contains("#") | shared)
     templates = some.groupBy("host").applyInPandas(_template, "__host string, __template string")
     salted = templates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64("__html"), F.lit(salts)).cast("int")

@@ -86,6 +86,24 @@ def test_pages_without_semantic_marks(spark):
         assert got[k] == " ".join(f"word{k}x{i}" for i in range(30)) + f" more {k}"
 
 
+def test_pages_keep_articles_with_many_copies(spark):
+    def plain(k):
+        return f'<html><body><div class="c1"><p>own text of story {k} which is long enough</p><p>Printed on paper</p></div></body></html>'
+
+    rows = [(k, f"https://p.example/{k}", plain(k)) for k in range(4)] + [(10 + k, f"https://p.example/0?{k % 3}", plain(0)) for k in range(6)]
+    rows += [(20 + k, f"https://one.example/{k}", plain(7)) for k in range(5)]
+    # addresses of one article whose bodies differ elsewhere
+    rows += [(30 + k, f"https://q.example/{k}", plain(8).replace("<html>", f"<html><head><title>{k}</title></head>")) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(df).collect()}
+    for k in [0, 1, 2, 3, *range(10, 16)]:
+        assert got[k] == f"own text of story {k if k < 10 else 0} which is long enough"
+    assert {got[20 + k] for k in range(5)} == {"own text of story 7 which is long enough Printed on paper"}
+    assert {got[30 + k] for k in range(4)} == {"own text of story 8 which is long enough Printed on paper"}
+    joined = pages.extract_pages(df, sent=0).collect()
+    assert {r["page_id"]: r["text"] for r in joined} == got
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="shared tables not available")
 def test_pages_of_the_table(spark):
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
