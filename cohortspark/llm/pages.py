@@ -1,11 +1,10 @@
-"""HTML extraction by equivalence-class template deduction.
+"""HTML extraction by the tokens that a host's pages share, and by names of tags and classes.
 
 Every page is read as tokens: element tokens (the path of tags and classes from the root) and text tokens
-(path and whole text). Over the pages of a host a token has an occurrence vector, its count on each page. The
-vector is never built: each page adds ``hash(page, count)`` to an XOR fingerprint, so tokens are grouped with
-map-side combine, a hot host included, and tokens of one fingerprint and support form an equivalence class.
-Classes seen on at least half of a host's pages are valid; each is nested below the class of its nearest enclosing
-token. The classes nested under the root make the host's template, whose text-bearing tokens are the slots. Slots
+(path and whole text). Over the pages of a host a token has a support, the number of distinct page bodies with it, summed
+with map-side combine, a hot host included. Equivalence classes of occurrence vectors are not built: order and nesting of
+classes would need the tokens' places, and names decide the region anyway. Element tokens on at least half of the bodies, with all
+their ancestors, make the host's template; those that bear text are the slots. Slots
 below tokens that mark menus, headers, footers, sidebars, notices, adverts, forms or comments are set aside; the
 main region is the shallowest article-like token with most of the slots' text, or, without one, the deepest token that
 holds most of it, where constant text is dropped: text on two and on half of the host's distinct page bodies. A page left with nothing
@@ -22,7 +21,7 @@ import html
 import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,17 +137,12 @@ def tokens(page: str) -> tuple[Counter, Counter]:
     return found, chars
 
 
-def deduce(rows: list[tuple[str, int, int, int]]) -> dict:
-    """The template of a host from (token, support, fingerprint, characters): its main region and constant texts."""
-    pages = max((n for token, n, _, _ in rows if token == ""), default=1)
-    classes = defaultdict(list)
-    for token, support, print_, _ in rows:
-        if 2 * support >= pages:
-            classes[support, print_].append(token)
-    # nest: a valid class hangs below the class of its nearest enclosing token, in the end below the root's
-    valid = {token for members in classes.values() for token in members}
+def deduce(rows: list[tuple[str, int, int]]) -> dict:
+    """The template of a host from (token, support, characters): its main region and constant texts."""
+    pages = max((n for token, n, _ in rows if token == ""), default=1)
+    valid = {token for token, support, _ in rows if 2 * support >= pages}
     template = {t for t in valid if "#" not in t and all(t[:k] in valid for k in range(1, len(t)) if t[k] == "/")}
-    slots = {t: c for t, _, _, c in rows if t in template and c}
+    slots = {t: c for t, _, c in rows if t in template and c}
     below = Counter()
     for path, c in slots.items():
         for k in [i for i in range(1, len(path)) if path[i] == "/"] + [len(path)]:
@@ -169,7 +163,7 @@ def deduce(rows: list[tuple[str, int, int, int]]) -> dict:
         while main and main.rpartition("/")[2].partition(".")[0] in ("p", "span", "b", "i", "em", "strong", "a"):
             main = main.rpartition("/")[0]
         # text that most pages of the host share is part of the template, not of a page
-        constant = sorted(t for t, support, _, _ in rows if "#" in t and support >= 2 and 2 * support >= pages)
+        constant = sorted(t for t, support, _ in rows if "#" in t and support >= 2 and 2 * support >= pages)
     return {"main": main, "constant": constant}
 
 
@@ -192,26 +186,23 @@ def extract(page: str, template: dict) -> str | None:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, fingerprint, support, chars), combined over the pages a task has read so far.
+    """(host, token, support, chars), combined over the pages a task has read so far.
 
     Each of n copies of a body counts as 1 / n, so sums over the host are those of its distinct bodies.
     """
     def rows(sums: dict) -> pd.DataFrame:
         return pd.DataFrame(
-            [(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "print", "support", "chars"]
+            [(h, t, *v) for (h, t), v in sums.items()], columns=["host", "token", "support", "chars"]
         )
 
-    sums: dict[tuple[str, str], list[int]] = {}
+    sums: dict[tuple[str, str], list[float]] = {}
     for pages in batches:
-        for host, page_hash, page, n in zip(pages["__host"], pages["__hash"], pages["__html"], pages["__n"], strict=True):
+        for host, page, n in zip(pages["__host"], pages["__html"], pages["__n"], strict=True):
             found, chars = tokens(page or "")
-            for token, count in found.items():
-                mixed = (page_hash ^ (count * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-                mixed = (mixed ^ (mixed >> 31)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-                old = sums.setdefault((host, token), [0, 0.0, 0.0])
-                old[0] ^= (mixed ^ (mixed >> 29)) >> 1
-                old[1] += 1 / n
-                old[2] += chars.get(token, 0) / n
+            for token in found:
+                old = sums.setdefault((host, token), [0.0, 0.0])
+                old[0] += 1 / n
+                old[1] += chars.get(token, 0) / n
         if len(sums) > 100_000:
             yield rows(sums)
             sums = {}
@@ -219,7 +210,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _template(rows: pd.DataFrame) -> pd.DataFrame:
-    made = deduce(list(zip(rows["token"], rows["support"], rows["print"], rows["chars"], strict=True)))
+    made = deduce(list(zip(rows["token"], rows["support"], rows["chars"], strict=True)))
     return pd.DataFrame({"__host": [rows["host"].iloc[0]], "__template": [json.dumps(made)]})
 
 
@@ -237,7 +228,7 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = extract(page, read_[template] | {"constant": []})
             if text is None:  # not made by this template
                 found, chars = tokens(page)
-                text = extract(page, deduce([(t, 1, 0, chars.get(t, 0)) for t in found]))
+                text = extract(page, deduce([(t, 1, chars.get(t, 0)) for t in found]))
             texts.append(text or "")
         yield pages.drop(columns=["__html", "__template"]).assign(text=texts)
 
@@ -259,13 +250,11 @@ def extract_pages(df: DataFrame, page: str = "html", url: str = "url", salts: in
     bodies = df.select(host(url).alias("__host"), own.alias("__own"), body.alias("__html"))
     copies = staged(df.select(own.alias("__own")).groupBy("__own").agg(F.count("*").alias("__n")).where("__n > 1"))
     held = F.broadcast(copies) if copies.count() <= sent else copies
-    hashed = F.shiftrightunsigned("__own", 1)
-    counted = bodies.join(held, "__own", "left").select("__host", hashed.alias("__hash"), "__html", F.coalesce("__n", F.lit(1)).alias("__n"))
-    counted = counted.mapInPandas(_counted, "host string, token string, print bigint, support double, chars double")
+    counted = bodies.join(held, "__own", "left").select("__host", "__html", F.coalesce("__n", F.lit(1)).alias("__n"))
+    counted = counted.mapInPandas(_counted, "host string, token string, support double, chars double")
     # read twice below, so written once
     all_ = staged(
         counted.groupBy("host", "token").agg(
-            F.bit_xor("print").alias("print"),
             F.round(F.sum("support")).cast("bigint").alias("support"),
             F.round(F.sum("chars")).cast("bigint").alias("chars"),
         )
