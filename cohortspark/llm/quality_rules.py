@@ -39,7 +39,6 @@ class Rule:
 
 #: the verdict on documents that pass the base rules
 RULES = (
-    Rule("words", high=1_000_000),
     Rule("chars_per_word", low=2.0, high=15.0),
     Rule("symbols_per_word", high=0.1),
     Rule("marks_per_word", high=0.7),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, lm, neardup, packing, pages, quality_rules, subwords, topk, toxicity
+from cohortspark.llm import bpe, centroids, chat, lm, neardup, packing, pages, quality_rules, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -95,7 +95,7 @@ counts AS (
 ),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2 AND 15
+       NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15
        AND n_symbols / n_words <= 0.1 AND marks / n_words <= 0.7 AND (n_words < 60 OR stops / n_words >= 0.02)
        AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9 AND cut / n_lines <= 0.5 AS kept
 FROM judged""",
@@ -207,3 +207,48 @@ def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", held_out.alias("held_out"))
     scored = lm.score(docs, ~F.col("held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _clustering_sql(s: centroids.Settings = centroids.Settings()) -> str:
+    """All rounds as a chain of tables: vectors v, centroids c0, c1, ..., assignments a0, a1, ..."""
+    inner = "list_inner_product({0}.v, {0}.v) - 2 * list_inner_product({0}.v, {1}.v) + list_inner_product({1}.v, {1}.v)"
+    far = inner.format("x", "c")
+    chain = []
+    for r in range(s.rounds + 1):
+        chain.append(
+            f"""a{r} AS MATERIALIZED (
+    SELECT rid, x.v, arg_min(k, ({far}) * {s.k} + k) AS k, min({far}) AS d FROM vectors x, c{r} c GROUP BY rid, x.v)"""
+        )
+        if r < s.rounds:
+            mean = "list(floor_mean ORDER BY j)"
+            chain.append(
+                f"""c{r + 1} AS MATERIALIZED (
+    SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+        SELECT k, {mean} AS v FROM (
+            SELECT k, j, (sum(v[j])::BIGINT - ((sum(v[j])::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+            FROM a{r}, range(1, {s.dimension + 1}) AS t(j) GROUP BY k, j) GROUP BY k) m USING (k))"""
+            )
+    last = s.rounds
+    return f"""
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({s.scale} * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE len(embedding) = {s.dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{s.salt}' || vec_id), v) - 1 AS k, v
+    FROM vectors ORDER BY sha256('{s.salt}' || vec_id), v LIMIT {s.k}
+),
+{",".join(chain)}
+SELECT x.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{last} a JOIN vectors x USING (rid) JOIN c{last} c ON a.k = c.k"""
+
+
+@query("op12_centroid_clustering", check=_clustering_sql())
+def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return found.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
