@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.operators.relational import natural_join
+from cohortspark.session import discard, last_staged, staged
 
 #: width of an id slice when a unique integer id breaks ties inside a day; suits consecutively assigned
 #: ids, which then put at most this many rows into one window partition
@@ -104,6 +105,41 @@ def number_rows(
     )
 
 
+def global_order(
+    df: DataFrame, order: Sequence[str | Column], out: str = "row_no", partitions: int | None = None
+) -> DataFrame:
+    """All rows with their place (from 1) in the order over the whole frame, NULLs last unless a given order says else.
+
+    The frame is written once, dealt into ranges of the order and sorted inside each; a row's number is its place in its range plus
+    the rows of the ranges before it. One small count per range reaches the driver, no task holds all rows. The row's place in
+    the written frame is the last key, so equal rows, however many, are spread over ranges as well and every row gets a number of its own.
+    Staged twice in the shared folder; the first copy is deleted.
+    """
+    spark, keys = df.sparkSession, [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    first = staged(df)
+    path = last_staged()
+    # the file scan below reads the same files in the same splits, so this number is the same whenever a task runs again
+    keyed = first.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*keys, F.col("__tie")]
+    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    ranged = dealt.sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()).drop("__tie")
+    held = staged(ranged)
+    discard(spark, path)
+    part = F.shiftright("__place", 33)
+    sizes = {r["part"]: r["n"] for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    if not offsets:
+        return held.withColumn(out, F.lit(1).cast("bigint")).drop("__place")
+    table = spark.createDataFrame(offsets, "__part bigint, __before bigint")
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per range: bounded by the number of partitions
+    numbered = held.withColumn("__part", part).join(F.broadcast(table), "__part")
+    return numbered.withColumn(out, (F.col("__before") + inside + 1).cast("bigint")).drop("__part", "__before", "__place")
+
+
 def number_days(
     df: DataFrame, keys: Sequence[str], day: str, out: str, counted: DataFrame | None = None
 ) -> DataFrame:

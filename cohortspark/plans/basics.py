@@ -30,6 +30,33 @@ def code_list(spark, sf):
     return readers.code_list(codes, "ECONOMY", "ref", "value", "label")
 
 
+@query(
+    "code_list_numbered",
+    """SELECT CAST(row_number() OVER (ORDER BY value, label) AS BIGINT) AS row_no, value, label
+       FROM (SELECT DISTINCT p_size AS value, p_brand AS label FROM part WHERE p_type = 'ECONOMY')""",
+)
+def code_list_numbered(spark, sf):
+    codes = roles.table(spark, sf, "part").select(
+        F.col("p_type").alias("ref"), F.col("p_size").alias("value"), F.col("p_brand").alias("label")
+    )
+    return readers.code_list(codes, "ECONOMY", "ref", "value", "label", row_no="row_no")
+
+
+@query(
+    "sorted_export",
+    """SELECT CAST(row_number() OVER (ORDER BY event_type NULLS LAST, value NULLS LAST, event_id) AS VARCHAR) AS row_name,
+         event_type AS behaviour, value AS amount, event_id AS ref FROM events""",
+)
+def sorted_export(spark, sf):
+    rows = roles.table(spark, sf, "events").select(
+        F.col("event_type").alias("behaviour"), F.col("value").alias("amount"), F.col("event_id").alias("ref")
+    )
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    writers.write_csv(rows, path, order=["behaviour", "amount", "ref"], row_names="row_name")
+    kinds = StructType.fromDDL("row_name string, behaviour string, amount double, ref bigint")
+    return readers.read_csv(spark, path, kinds)
+
+
 @query(
     "csv_round_trip",
     """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_name

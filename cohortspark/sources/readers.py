@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortspark.functions.nulls import not_isin_safe
+from cohortspark.operators.ordering import global_order
 from cohortspark.operators.relational import union_rows
 
 
@@ -69,9 +70,17 @@ def read_jdbc(
     )
 
 
-def code_list(codes: DataFrame, code_ref: str, ref: str = "CodeRef", value: str = "Value", label: str = "Label") -> DataFrame:
-    """Labels of one code list, ordered by value."""
-    return codes.filter(F.col(ref) == code_ref).select(value, label).distinct().orderBy(value)
+def code_list(
+    codes: DataFrame,
+    code_ref: str,
+    ref: str = "CodeRef",
+    value: str = "Value",
+    label: str = "Label",
+    row_no: str | None = None,
+) -> DataFrame:
+    """Labels of one code list, ordered by value (then label); ``row_no`` names a column for the place in that order."""
+    found = codes.filter(F.col(ref) == code_ref).select(value, label).distinct()
+    return global_order(found, [value, label], row_no) if row_no else found.orderBy(value, label)
 
 
 def without(df: DataFrame, column: str, values: Sequence) -> DataFrame:
