@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, centroids, chat, lm, neardup, packing, pages, quality_rules, subwords, topk, toxicity
+from cohortspark.llm import bpe, centroids, chat, lm, neardup, packing, pages, quality_rules, resampling, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -252,3 +252,64 @@ def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
+
+
+#: CRC-32 of the words of a table ``distinct_words`` (word), by the register's table of 256 steps
+_CRC_SQL = """
+crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+digits AS (SELECT word, hex(word) AS x FROM distinct_words),
+crcs AS MATERIALIZED (
+    SELECT word, xor(list_reduce([4294967295] || list_transform(range(1, length(x), 2),
+               lambda p: 16 * (strpos('0123456789ABCDEF', x[p]) - 1) + strpos('0123456789ABCDEF', x[p + 1]) - 1),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+    FROM digits, crc_table
+)"""
+
+_PLAIN_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op13_importance_resampling",
+    check=f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+doc_words AS MATERIALIZED (SELECT rid, unnest(w) AS word FROM docs),
+goal_words AS MATERIALIZED (SELECT unnest({_PLAIN_WORDS}) AS word FROM benchmark),
+distinct_words AS (SELECT word FROM doc_words UNION SELECT word FROM goal_words),
+{_CRC_SQL},
+buckets AS (SELECT word, crc % 10000 AS b FROM crcs),
+have AS (SELECT b, count(*) AS n FROM doc_words JOIN buckets USING (word) GROUP BY b),
+want AS (SELECT b, count(*) AS n FROM goal_words JOIN buckets USING (word) GROUP BY b),
+gain AS (
+    SELECT r.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM doc_words) + 10000) AS DOUBLE)
+           / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM goal_words) + 10000) AS DOUBLE))) AS BIGINT) AS g
+    FROM range(10000) AS r(b) LEFT JOIN have s USING (b) LEFT JOIN want t USING (b)
+),
+sums AS (
+    SELECT rid, CAST(sum(g) AS BIGINT) AS g, count(*) AS n
+    FROM doc_words JOIN buckets USING (word) JOIN gain USING (b) GROUP BY rid
+),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features,
+           CASE WHEN n > 0 THEN (g - (g % n + n) % n) // n ELSE 0 END AS weight,
+           CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE)
+               / 4294967296))) AS BIGINT) AS noise
+    FROM docs LEFT JOIN sums USING (rid)
+),
+placed AS (
+    SELECT *, weight + noise AS score, n_features >= 20 AS able,
+           row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN able AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed""",
+)
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
