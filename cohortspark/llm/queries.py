@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, centroids, chat, lm, neardup, packing, pages, quality_rules, resampling, subwords, topk, toxicity
+from cohortspark.llm import bpe, centroids, chat, lm, neardup, packing, pages, quality_rules, repeats, resampling, subwords, topk, toxicity
 from cohortspark.llm.common import remainder, table
 from cohortspark.llm.registry import query
 from cohortspark.session import staged
@@ -313,3 +313,11 @@ FROM placed""",
 def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return resampling.resample(docs, table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256"
+    )
