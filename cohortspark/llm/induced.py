@@ -7,14 +7,12 @@ is a tuple (place, common prefix with the entry before it under its key): the va
 that key's last entry, so prefixes are carried along and never compared again. Recursion works on the names of the seeds' stretches;
 names beyond ``base`` are written as several digits, so each level walks a small alphabet and handles whole buckets with numpy.
 
-Queue entries beyond ``memory`` are written as a run sorted by key to an unnamed temporary file and merged when their key comes up; large
-result arrays are mapped files as well. These files are private scratch of one task, like a spill, and vanish with it, also if it fails;
-nothing is passed on by them. ``depth`` bounds the common prefixes: longer ones are reported as ``depth``.
+A queue beyond ``array`` bytes lies in an unnamed mapped file, each key's entries together, so it is written and read in sequence key by
+key. These files are private scratch of one task, like a spill, and vanish with it, also if it fails; nothing is passed on by them. ``depth`` bounds the common prefixes: longer ones are reported as ``depth``.
 """
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 from dataclasses import dataclass
 
@@ -25,8 +23,7 @@ _FAR = np.int64(1) << 40
 
 @dataclass(frozen=True)
 class Plan:
-    #: queue entries kept in memory, bytes of an array kept in memory, largest alphabet of a level
-    memory: int = 4_000_000
+    #: bytes of a queue kept in memory, largest alphabet of a level
     array: int = 256 << 20
     base: int = 2048
 
@@ -39,58 +36,30 @@ def empty(n: int, plan: Plan) -> np.ndarray:
 
 
 class Queue:
-    """A priority queue of (place, common prefix) by key, first in first out inside a key; spills sorted runs to disk."""
+    """A priority queue of (place, common prefix) by key, first in first out inside a key.
 
-    def __init__(self, plan: Plan):
-        self.plan, self.held, self.heap, self.size = plan, {}, [], 0
-        self.runs: list[dict] = []
+    How many entries each key will have is known beforehand, so every key has its own stretch of one array, in memory or on disk; what was
+    popped stays there, so the stretches in order of keys are the result. Keys must be popped in rising order.
+    """
+
+    def __init__(self, sizes: np.ndarray, plan: Plan):
+        self.begin = np.append(0, np.cumsum(sizes))
+        self.head, self.tail = self.begin[:-1].copy(), self.begin[:-1].copy()
+        self.places, self.prefixes = empty(int(self.begin[-1]), plan), empty(int(self.begin[-1]), plan)
 
-    def push(self, keys: np.ndarray, places: np.ndarray, prefixes: np.ndarray) -> None:
+    def push(self, keys: np.ndarray, places: np.ndarray, prefixes: np.ndarray | int) -> None:
         """Entries sorted by key."""
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        first = [0, *cut.tolist()]
-        for key, a, b in zip(keys[first].tolist(), first, [*first[1:], len(keys)], strict=True):
-            if key not in self.held:
-                self.held[key] = []
-                heapq.heappush(self.heap, key)
-            self.held[key].append((places[a:b], prefixes[a:b]))
-        self.size += len(keys)
-        if self.size > self.plan.memory:
-            self._spill()
-
-    def _spill(self) -> None:
-        file, index, at = tempfile.TemporaryFile(), {}, 0
-        for key in sorted(k for k, parts in self.held.items() if parts):
-            places, prefixes = (np.concatenate(x).astype(np.int64) for x in zip(*self.held[key], strict=True))
-            file.write(places.tobytes())
-            file.write(prefixes.tobytes())
-            index[key] = (at, len(places))
-            at += 16 * len(places)
-        self.runs.append({"file": file, "index": index})
-        for key in self.held:
-            self.held[key] = []
-        self.size = 0
-
-    def least(self) -> int | None:
-        return self.heap[0] if self.heap else None
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        many, own = np.diff(np.append(first, len(keys))), keys[first]
+        at = np.arange(len(keys)) + np.repeat(self.tail[own] - first, many)
+        self.places[at], self.prefixes[at] = places, prefixes
+        self.tail[own] += many
 
     def pop(self, key: int) -> tuple[np.ndarray, np.ndarray]:
-        """All entries of the least key: those of older runs first."""
-        heapq.heappop(self.heap)
-        parts = []
-        for run in self.runs:
-            if key in run["index"]:
-                at, n = run["index"].pop(key)
-                run["file"].seek(at)
-                data = np.frombuffer(run["file"].read(16 * n), dtype=np.int64)
-                parts.append((data[:n], data[n:]))
-        own = self.held.pop(key)
-        self.size -= sum(len(p) for p, _ in own)
-        parts += own
-        for run in [r for r in self.runs if not r["index"]]:
-            run["file"].close()
-            self.runs.remove(run)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        """All entries that wait under a key."""
+        a, b = self.head[key], self.tail[key]
+        self.head[key] = b
+        return self.places[a:b], self.prefixes[a:b]
 
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -113,13 +82,11 @@ def _induced(
     keys: np.ndarray, wanted: np.ndarray, run: np.ndarray, places: np.ndarray, prefixes: np.ndarray | None, plan: Plan
 ) -> tuple[np.ndarray, np.ndarray]:
     """The wanted suffixes in order of ``keys``, induced from ``places`` (sorted, after the wanted ones of their key), with prefixes."""
-    total = int(wanted.sum())
-    out, common, filled = empty(total, plan), empty(total, plan), 0
-    queue, size = Queue(plan), int(keys.max()) + 1
+    size = int(keys.max()) + 1
+    sizes = np.bincount(keys[wanted], minlength=size)
+    queue = Queue(sizes, plan)
     since = np.full(size, -1, dtype=np.int64)  # smallest prefix since a key's last entry; -1: none yet
-    own = keys[places]
-    cut = np.searchsorted(own, np.arange(size + 1))
-    waiting = np.flatnonzero(np.diff(cut)).tolist()[::-1]
+    cut = np.searchsorted(keys[places], np.arange(size + 1))
 
     def pass_on(at: np.ndarray, prefix: np.ndarray | None) -> None:
         left = at - 1
@@ -128,7 +95,7 @@ def _induced(
             if len(hit):
                 key = keys[left[hit]]
                 order = np.argsort(key, kind="stable")
-                queue.push(key[order], left[hit][order], np.zeros(len(hit), dtype=np.int64))
+                queue.push(key[order], left[hit][order], 0)
             return
         before = since.copy()
         np.minimum(since, prefix.min(), out=since)
@@ -147,27 +114,23 @@ def _induced(
         since[key[last]] = after[hit[last] + 1]
         queue.push(key, left[hit], value + 1)
 
-    while (key := queue.least()) is not None or waiting:
-        if key is None or (waiting and waiting[-1] < key):
-            key = waiting[-1]
+    for key in np.flatnonzero((sizes > 0) | (np.diff(cut) > 0)).tolist():
         latest = -1
-        while queue.least() == key:
+        while True:
             at, prefix = queue.pop(key)
-            out[filled : filled + len(at)], common[filled : filled + len(at)] = at, prefix
-            filled += len(at)
+            if not len(at):
+                break
             pass_on(at, None if prefixes is None else prefix)
             latest = int(at[-1])
-        if waiting and waiting[-1] == key:
-            waiting.pop()
-            a, b = cut[key], cut[key + 1]
-            if prefixes is None:
-                pass_on(places[a:b], None)
-            else:
-                prefix = prefixes[a:b].copy()
-                # two suffixes of one first character and different types differ where the shorter run ends
-                prefix[0] = min(run[latest], run[places[a]]) if latest >= 0 else 0
-                pass_on(places[a:b], prefix)
-    return out, common
+        a, b = cut[key], cut[key + 1]
+        if a < b and prefixes is None:
+            pass_on(places[a:b], None)
+        elif a < b:
+            prefix = prefixes[a:b].copy()
+            # two suffixes of one first character and different types differ where the shorter run ends
+            prefix[0] = min(run[latest], run[places[a]]) if latest >= 0 else 0
+            pass_on(places[a:b], prefix)
+    return queue.places, queue.prefixes
 
 
 def _both(text: np.ndarray, rising: np.ndarray, run: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray | None, plan: Plan):
