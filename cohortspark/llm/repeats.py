@@ -26,6 +26,8 @@ after all others; other columns are ignored; an empty table gives no rows; a rem
 from __future__ import annotations
 
 import hashlib
+import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -61,6 +63,8 @@ class Settings:
     #: ids sent to all tasks up to this number, else joined
     sent: int = 2_000_000
     plan: Plan = field(default_factory=Plan)
+    #: classes of a region's windows
+    classes: int = 4
 
 
 def _random_bytes() -> np.ndarray:
@@ -99,11 +103,11 @@ def _avoided(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def regions(raw: np.ndarray, valid: np.ndarray, rolling: Rolling, hot: np.ndarray, s: Settings):
-    """(anchor, region hash, first window, windows) of a piece; ``valid`` marks the starts of windows that lie in one text."""
+    """(anchor, region hash, first window, windows, bytes before the anchor) of a piece; ``valid`` marks the starts of windows that lie in one text."""
     starts = len(raw) - s.length + 1
     if starts <= 0 or not valid[:starts].any():
         none = np.zeros(0, dtype=np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none, *[none.astype(np.int64)] * 3
     total = rolling.read(raw)
     h = mix(rolling.all(total, s.gram)) >> _U(1)
     key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -125,7 +129,7 @@ def regions(raw: np.ndarray, valid: np.ndarray, rolling: Rolling, hot: np.ndarra
     ends[:-1] &= ~ok[1:] | new[1:]
     many = np.flatnonzero(ends) - first + 1
     anchor = h[at[first]]
-    return anchor, mix(rolling.some(total, first, many + s.length - 1)), first, many
+    return anchor, mix(rolling.some(total, first, many + s.length - 1)), first, many, at[first] - first
 
 
 def _segments(texts: list[bytes], s: Settings) -> Iterator[list[tuple[int, int, int]]]:
@@ -144,7 +148,7 @@ def _segments(texts: list[bytes], s: Settings) -> Iterator[list[tuple[int, int,
 
 
 def _scanned(batch: pa.RecordBatch, rolling: Rolling, hot: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, region, id, tie, start, windows) of the rows (id, tie, text) of a batch."""
+    """(anchor, region, id, tie, start, windows, lead) of the rows (id, tie, text) of a batch."""
     ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
     for group in _segments(texts, s):
@@ -156,13 +160,13 @@ def _scanned(batch: pa.RecordBatch, rolling: Rolling, hot: np.ndarray, s: Settin
         stop = begin + sizes - s.length + 1
         np.subtract.at(valid, stop[stop < len(raw)], 1)
         valid = np.cumsum(valid, dtype=np.int8).astype(bool)
-        anchor, region, first, many = regions(raw, valid, rolling, hot, s)
+        anchor, region, first, many, lead = regions(raw, valid, rolling, hot, s)
         part = np.searchsorted(begin, first, side="right") - 1
         row, at = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        yield anchor, region, ids[row[part]], ties[row[part]], first - begin[part] + at[part], many
+        yield anchor, region, ids[row[part]], ties[row[part]], first - begin[part] + at[part], many, lead
 
 
-FIELDS = (("anchor", np.uint64), ("region", np.uint64), ("id", np.int64), ("tie", np.int64), ("start", np.int64), ("many", np.uint8))
+FIELDS = (("anchor", np.uint64), ("region", np.uint64), ("id", np.int64), ("tie", np.int64), ("start", np.int64), ("many", np.uint8), ("lead", np.uint8))
 PACKED = np.dtype(list(FIELDS))
 #: kind 0: places for a shard; 1: repeated windows of a document; 2: regions of a document to be sorted
 MADE = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("data", pa.binary())])
@@ -188,7 +192,7 @@ def _by_document(kind: int, rows: np.ndarray) -> pa.RecordBatch:
     return _rows(kind, np.zeros(len(first)), rows["id"][first], rows["tie"][first], data)
 
 
-ENTRY = np.dtype({"names": ["anchor", "start", "many"], "formats": [np.uint64, np.int64, np.uint8]})
+ENTRY = np.dtype({"names": ["anchor", "start", "many", "lead"], "formats": [np.uint64, np.int64, np.uint8, np.uint8]})
 
 
 def _entries(rows: np.ndarray) -> np.ndarray:
@@ -305,9 +309,9 @@ def _cut_out(shards: int, s: Settings):
                 text = batch.column(2)[i].as_buffer().to_pybytes()
                 place = np.array([batch.column(0)[i].as_py(), batch.column(1)[i].as_py()], dtype=np.int64).tobytes()
                 seen = np.unique(np.concatenate([np.frombuffer(d.as_buffer(), dtype=ENTRY) for d in batch.column(3)[i].values]))
-                for anchor, start, many in zip(*(seen[n].tolist() for n in ENTRY.names), strict=True):
+                for anchor, start, many, lead in zip(*(seen[n].tolist() for n in ENTRY.names), strict=True):
                     # the anchor's other bits; all its regions go to one shard
-                    entry = place + np.array([start, many], dtype=np.int64).tobytes() + text[start : start + many + s.length - 1]
+                    entry = place + np.array([start, many, lead], dtype=np.int64).tobytes() + text[start : start + many + s.length - 1]
                     held.setdefault((anchor >> 20) % shards, []).append(len(entry).to_bytes(4, "little") + entry)
             if held:
                 yield pa.RecordBatch.from_arrays(
@@ -317,6 +321,41 @@ def _cut_out(shards: int, s: Settings):
     return run
 
 
+def shared(places: list[tuple], parts: list[bytes], s: Settings) -> tuple[list[tuple], list[bytes], np.ndarray]:
+    """The regions cut to what can repeat: (places, bytes) to be sorted, and repeats found on the way.
+
+    A region's windows fall into ``classes`` by the bytes before their anchor; all windows of a class hold the same middle. A class whose
+    middle no other region has repeats nothing. Of classes with equal bytes the first stays and the others are repeats.
+    """
+    wide = s.length - s.gram
+    step = -(-(wide + 1) // s.classes)
+    own, times = [], Counter()
+    for k, ((_, _, _, many, lead), part) in enumerate(zip(places, parts, strict=True)):
+        for least in range(0, wide + 1, step):
+            # the class holds the windows with least..full bytes before the anchor, this region those with low..most
+            full = min(least + step - 1, wide)
+            low, most = max(least, lead - many + 1), min(full, lead)
+            if low <= most:
+                middle = (least, part[lead - least : lead + s.gram + wide - full])
+                own.append((k, low, most, middle))
+                times[middle] += 1
+    first: dict = {}
+    cut = []
+    for k, low, most, middle in own:
+        if times[middle] > 1:
+            doc, tie, start, _, lead = places[k]
+            a = lead - most
+            cut.append(((doc, tie, start + a), most - low + 1, parts[k][a : lead - low + s.length]))
+    for place, many, part in cut:
+        if (many, part) not in first or place < first[many, part]:
+            first[many, part] = place
+    repeats = [(*place, many) for place, many, part in cut if place != first[many, part]]
+    out = np.zeros(len(repeats), dtype=PACKED)
+    for i, name in enumerate(("id", "tie", "start", "many")):
+        out[name] = [r[i] for r in repeats]
+    return [(*place, many, 0) for (many, _), place in first.items()], [part for _, part in first], out
+
+
 def _sorted(s: Settings):
     """Repeated windows of a shard's regions by document."""
 
@@ -326,10 +365,13 @@ def _sorted(s: Settings):
             at = 0
             while at < len(data):
                 size = int.from_bytes(data[at : at + 4], "little")
-                places.append(np.frombuffer(data, dtype=np.int64, count=4, offset=at + 4))
-                parts.append(data[at + 36 : at + 4 + size])
+                places.append(struct.unpack_from("<5q", data, at + 4))
+                parts.append(data[at + 44 : at + 4 + size])
                 at += 4 + size
-        place = np.array(places)
+        places, parts, found = shared(places, parts, s)
+        if not parts:
+            return pa.Table.from_batches([_by_document(1, found)]).to_pandas()
+        place = np.array(places, dtype=np.int64)
         sizes = np.array([len(p) + 1 for p in parts])
         first = np.cumsum(sizes) - sizes
         raw = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).astype(np.int64) + 2
@@ -354,7 +396,7 @@ def _sorted(s: Settings):
         out = np.zeros(int(repeat.sum()), dtype=PACKED)
         out["id"], out["tie"] = place[who[repeat], 0], place[who[repeat], 1]
         out["start"], out["many"] = begin[repeat], 1
-        return pa.Table.from_batches([_by_document(1, out)]).to_pandas()
+        return pa.Table.from_batches([_by_document(1, np.concatenate([found, out]))]).to_pandas()
 
     return run
 
