@@ -85,8 +85,10 @@ def _induced(
     size = int(keys.max()) + 1
     sizes = np.bincount(keys[wanted], minlength=size)
     queue = Queue(sizes, plan)
-    since = np.full(size, -1, dtype=np.int64)  # smallest prefix since a key's last entry; -1: none yet
     cut = np.searchsorted(keys[places], np.arange(size + 1))
+    if size <= 1 << 16:
+        keys = keys.astype(np.uint16)  # sorted by radix
+    since = np.full(size, -1, dtype=np.int64)  # smallest prefix since a key's last entry; -1: none yet
 
     def pass_on(at: np.ndarray, prefix: np.ndarray | None) -> None:
         left = at - 1

@@ -53,7 +53,7 @@ class Settings:
     gram: int = 32
     #: bytes of text behind a shard of places, of regions in a shard to sort, and of one numpy step
     shard: int = 48 << 20
-    sorted: int = 2 << 20
+    sorted: int = 6 << 20
     step: int = 1 << 20
     #: places held by a task before they are sent
     held: int = 1_500_000
