@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.intervals import interval_join
 from cohortspark.operators.ordering import number_rows
+from cohortspark.operators.relational import natural_join
 from cohortspark.session import discard, last_staged, staged
 
 
@@ -129,3 +132,92 @@ def periodic_ratings(
         discard(spark, kept)
         kept = last_staged()
     return ratings
+
+
+def dependency_layers(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Per contest of a sequence (players by number): one more than the latest earlier contest of either player."""
+    last: dict[int, int] = {}
+    out = np.empty(len(one), dtype=np.int64)
+    for i, (a, b) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+        out[i] = last[a] = last[b] = max(last.get(a, 0), last.get(b, 0)) + 1
+    return out
+
+
+def _rated(k: float, start: float, scale: float):
+    """Ratings after a block's contests: those of one layer share no player, so a layer is one vector step."""
+
+    def run(contests: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        contests = contests.sort_values("_n")
+        sides = pd.concat([contests["_w"], contests["_l"]], ignore_index=True)
+        number, players = pd.factorize(sides, use_na_sentinel=False)
+        one, two = number[: len(contests)], number[len(contests) :]
+        now = pd.Series(known["rating"].to_numpy(), index=pd.Index(known["player"].to_numpy(), dtype=players.dtype))
+        rating = now.reindex(players).fillna(start).to_numpy(dtype=np.float64, copy=True)
+        layer = dependency_layers(one, two)
+        order = np.argsort(layer, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(layer[order])) + 1):
+            a, b = one[part], two[part]
+            move = k * (1 - 1 / (1 + 10.0 ** ((rating[b] - rating[a]) / scale)))
+            move[a == b] = 0  # nobody wins against themselves
+            rating[a] += move
+            rating[b] -= move
+        group = contests["_g"].iloc[0] if len(contests) else None
+        return pd.DataFrame({"_g": [group] * len(players), "player": players, "rating": rating})
+
+    return run
+
+
+def sequential_ratings(
+    contests: DataFrame,
+    group: str,
+    winner: str,
+    loser: str,
+    number: str,
+    k: float = 100.0,
+    start: float = 1000.0,
+    scale: float = 400.0,
+    block: int = 100_000,
+) -> DataFrame:
+    """(group, player, wins, losses, rating): Elo's system, one contest after the other as ``number`` (from 1 per group) says.
+
+    A contest depends on the latest earlier contests of its two players, so a group's sequence cannot be cut at will. It is walked in
+    blocks of ``block`` contests per group: a step is one join of a block's contests with its players' ratings, all groups side by
+    side, and a task holds one group's block, never a group. Inside a block contests fall into dependency layers; a layer's
+    contests share no player and are rated together. Ratings are written after each step. The number of steps is the
+    largest group's contests over ``block``. Contests without a winner or loser are left out.
+    """
+    spark = contests.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in contests.schema.fields}
+    if kinds[winner] != kinds[loser]:
+        raise ValueError("winner and loser must be of one type")
+    whole = contests.filter(F.col(winner).isNotNull() & F.col(loser).isNotNull()).select(
+        F.col(group).alias("_g"),
+        F.col(number).cast("bigint").alias("_n"),
+        F.col(winner).alias("_w"),
+        F.col(loser).alias("_l"),
+    )
+    held = staged(whole.withColumn("_b", F.floor((F.col("_n") - 1) / block)), by=["_b"])
+    sides = F.array(
+        F.struct(F.col("_w").alias("player"), F.lit(1).alias("won")), F.struct(F.col("_l").alias("player"), F.lit(0).alias("won"))
+    )
+    both = held.select("_g", "_b", F.inline(sides))
+    tally = both.groupBy("_g", "player").agg(
+        F.sum("won").cast("bigint").alias("wins"), F.sum(1 - F.col("won")).cast("bigint").alias("losses")
+    )
+    ratings = staged(tally.withColumn("rating", F.lit(float(start))))
+    kept = last_staged()
+    made = f"_g {kinds[group]}, player {kinds[winner]}, rating double"
+    blocks = [r["_b"] for r in held.select("_b").distinct().orderBy("_b").collect()]
+    for b in blocks:
+        now = held.filter(F.col("_b") == b)
+        players = both.filter(F.col("_b") == b).select("_g", "player").distinct()
+        known = natural_join(ratings.select("_g", "player", "rating"), players, "left_semi", ["_g", "player"])
+        new = now.groupBy("_g").cogroup(known.groupBy("_g")).applyInPandas(_rated(float(k), float(start), float(scale)), made)
+        ratings = staged(
+            natural_join(ratings, new.withColumnRenamed("rating", "_new"), "left", ["_g", "player"])
+            .withColumn("rating", F.coalesce("_new", "rating"))
+            .drop("_new")
+        )
+        discard(spark, kept)
+        kept = last_staged()
+    return ratings.withColumnRenamed("_g", group)

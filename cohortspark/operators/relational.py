@@ -53,6 +53,43 @@ def natural_join(
     return joined.drop(*[_RIGHT + k for k in keys])
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """(keys, __parts) of the keys with more than ``limit`` rows, into so many parts they are cut; at most rows / limit keys."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.filter(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__parts"))
+
+
+def heavy_join(
+    left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[str] | str | None = None, limit: int | None = None
+) -> DataFrame:
+    """``natural_join`` where a key, NULL too, may hold any share of the left rows.
+
+    Keys with more than ``limit`` left rows (default: a quarter of a shuffle partition's even share) are counted first, with map-side
+    combine. Their left rows are dealt over several salts by a hash of the whole row, their right rows are repeated once per salt, all
+    others keep salt 0: one shuffle of each side as before, and no task gets much more than ``limit`` rows of one key. ``how`` is inner,
+    left, left_semi, left_anti or full; a full join adds the right rows whose key the left side lacks.
+    """
+    keys = _as_list(on) if on is not None else common_columns(left, right)
+    if how in ("full", "outer", "full_outer"):
+        lone = natural_join(right, left.select(*keys).distinct(), "left_anti", keys)
+        return heavy_join(left, right, "left", keys, limit).unionByName(lone, allowMissingColumns=True)
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"not a kind of heavy join: {how}")
+    if limit is None:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        limit = max(1, left.count() // (4 * partitions))
+    # bounded: rows / limit keys, so a broadcast is safe
+    heavy = F.broadcast(heavy_keys(left, keys, limit))
+    parts = F.coalesce("__parts", F.lit(1))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    dealt = natural_join(left, heavy, "left", keys).withColumn("__salt", F.pmod(row, parts).cast("int")).drop("__parts")
+    salts = F.explode(F.sequence(F.lit(0), parts - 1))
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*keys).distinct()
+    copied = natural_join(right, heavy, "left", keys).withColumn("__salt", salts).drop("__parts")
+    return natural_join(dealt, copied, how, [*keys, "__salt"]).drop("__salt")
+
+
 def join_on(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner") -> DataFrame:
     """Null-safe join on differently named keys (left name -> right name); right keys are dropped."""
     renamed = right.withColumnsRenamed({r: _RIGHT + r for r in pairs.values()})

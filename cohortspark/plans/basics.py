@@ -373,3 +373,37 @@ def scalars(spark, sf):
         F.col("grp").try_cast("int").alias("no_code"),
     )
     return rel.make_names(rows)
+
+
+_HALF_NULL = "SELECT event_id, value, CASE WHEN event_id % 2 = 1 THEN user_id END AS animal FROM events"
+_NAMES = "SELECT animal, COUNT(*) AS n, MIN(event_id) AS first_event FROM half GROUP BY animal HAVING animal IS NULL OR animal % 3 > 0"
+
+
+def _half_null(spark, sf):
+    rows = roles.table(spark, sf, "events").select(
+        "event_id", "value", F.when(F.col("event_id") % 2 == 1, F.col("user_id")).alias("animal")
+    )
+    names = rows.groupBy("animal").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+    return rows, names.filter(F.col("animal").isNull() | (F.col("animal") % 3 > 0))
+
+
+@query(
+    "heavy_key_join",
+    f"""WITH half AS ({_HALF_NULL}), names AS ({_NAMES})
+        SELECT event_id, value, half.animal, n, first_event FROM half LEFT JOIN names
+        ON half.animal IS NOT DISTINCT FROM names.animal""",
+)
+def heavy_key_join(spark, sf):
+    rows, names = _half_null(spark, sf)
+    return rel.heavy_join(rows, names, "left", "animal")
+
+
+@query(
+    "heavy_key_anti",
+    f"""WITH half AS ({_HALF_NULL}), names AS ({_NAMES})
+        SELECT event_id, value, animal FROM half
+        WHERE NOT EXISTS (SELECT 1 FROM names WHERE names.animal IS NOT DISTINCT FROM half.animal)""",
+)
+def heavy_key_anti(spark, sf):
+    rows, names = _half_null(spark, sf)
+    return rel.heavy_join(rows, names, "left_anti", "animal")

@@ -792,6 +792,30 @@ def elo_rating(spark, sf):
     return out.withColumn("rating", F.round("rating", 6))
 
 
+_IN_ORDER = sql(
+    """SELECT grp, player, wins, losses, ROUND(rating, 6) AS rating FROM ratings
+       JOIN (SELECT grp, player, CAST(SUM(won) AS BIGINT) AS wins, CAST(SUM(1 - won) AS BIGINT) AS losses
+             FROM sides GROUP BY ALL) USING (grp, player)
+       WHERE p = (SELECT MAX(p) FROM ratings)""",
+    "valid",
+    games="""SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY day, event_time, event_id) - 1 AS p FROM (
+        SELECT event_id, day, event_time, grp, animal AS winner, partner AS loser FROM valid
+        WHERE behaviour = 'click' AND received = 0
+        UNION ALL SELECT event_id, day, event_time, grp, partner, animal FROM valid
+        WHERE behaviour = 'click' AND received = 1)""",
+    sides="""SELECT grp, winner AS player, loser AS opponent, 1 AS won, p FROM games
+        UNION ALL SELECT grp, loser, winner, 0, p FROM games""",
+    # a period is one contest here, and nothing bounds its move
+    ratings=_RATINGS.replace("LEAST(200, GREATEST(-200, COALESCE(SUM(", "COALESCE(SUM(").replace(")), 0)))", ")), 0)"),
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("elo_sequential", _IN_ORDER)
+def elo_sequential(spark, sf):
+    out = dyadic.sequential_ratings(_calls(spark, sf), "grp", "winner", "loser", "contest_no", block=200)
+    return out.withColumn("rating", F.round("rating", 6))
+
+
 # ---------------------------------------------------------------------------------- multivariate
 
 
