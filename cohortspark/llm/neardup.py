@@ -5,17 +5,17 @@ frequencies are counted over all documents in hashed buckets, so what reaches th
 of buckets (one per document, 2^16 to 2^22). Each text draws ``bands * rows`` consistent samples; texts that agree on all samples of a band
 share a bucket and are candidates. Exact copies are found by their digest and need no candidates.
 
-Candidates are not expanded to all pairs of a bucket. First each text is compared with the smallest text of its bucket, and classes are
-merged; a bucket of thousands of copies then is one class and done. In buckets that still hold several classes, all texts of different
-classes are compared in tiles of bounded size inside tasks, by a sketch that bounds the similarity from above: weights summed in hashed
+Candidates are not expanded to all pairs of a bucket. First each text is compared with one leader, the smallest text of all its buckets,
+and classes are merged; a bucket of thousands of copies then is one class and done. Then come the leaders of its other buckets, as far as the
+classes still differ. In buckets that still hold several classes, all texts of different classes are compared in tiles of bounded
+size inside tasks, by a sketch that bounds the similarity from above: weights summed in hashed
 groups. Only pairs that pass the bound become rows. Every passing pair is verified by weighted Jaccard similarity on the whole texts, so no
 candidate link between two classes stays untested. Classes are connected components, by label propagation with pointer jumping over
 written tables.
 
 Defined results: null texts count as empty; copies (repeated rows, too) share a class; a text without words equals only
-its copies; a text of fewer than five words is one shingle; a row without id gets the class of its copies with ids, else null; an id should
-stand for one text, else its smallest digest is compared and all its rows share that class; other columns are ignored; an empty table gives
-no rows.
+its copies; a text of fewer than five words is one shingle; a row without id gets the smallest id of its class, if any; an id may stand for
+several texts, each of which is compared; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import PARTS, added, blocks
 from cohortspark.llm.textnum import Texts, mix, pieces
+from cohortspark.operators.relational import heavy_join
 from cohortspark.session import staged
 
 _PARTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
@@ -48,6 +49,8 @@ class Settings:
     table: int = 1 << 14
     groups: int = 256
     tile: int = 256
+    #: texts that meet one copy of their partner
+    group: int = 32
     #: ids of texts to read again are sent to all tasks up to this number, else joined
     sent: int = 2_000_000
 
@@ -251,30 +254,48 @@ def _tiled(s: Settings):
     return run
 
 
-def _similar(idf: bytes, s: Settings):
+def _similar_sets(text: np.ndarray, found: np.ndarray, weight: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """Whether the two weighted sets of each pair are similar; entries are (pair, shingle, weight), a shingle at most once a side."""
+    order = np.lexsort((found, text))
+    text, found, weight = text[order], found[order], weight[order]
+    both = np.flatnonzero((text[1:] == text[:-1]) & (found[1:] == found[:-1]))
+    common = np.bincount(text[both], np.minimum(weight[both], weight[both + 1]), n)
+    whole = np.bincount(text, weight, n) - common
+    return (whole > 0) & (common >= similarity * whole * (1 - 1e-6))
+
+
+def _verifying(idf: bytes, s: Settings):
+    """The similar pairs of rows (a, part, id, text) sorted by (a, part, lead first): each text against the last lead before it.
+
+    A lead's shingles are computed once for all the texts that follow it; they are carried over to the next batch.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(idf, dtype=np.float32)
         bits = len(weights).bit_length() - 1
-        for batch in batches:
-            for a, b in pieces(batch.column(2), 2_000_000):
-                part, n = batch.slice(a, b - a), b - a
-                pair, found, weight, side = [], [], [], []
-                for which in (2, 3):
-                    text, h, tf = shingles(Texts.of(part.column(which)), s)
-                    pair.append(text)
-                    found.append(h)
-                    weight.append(tf * weights[_bucket(h, bits)])
-                    side.append(np.full(len(h), which))
-                pair, found, weight = map(np.concatenate, (pair, found, weight))
-                order = np.lexsort((found, pair))
-                pair, found, weight = pair[order], found[order], weight[order]
-                both = np.flatnonzero((pair[1:] == pair[:-1]) & (found[1:] == found[:-1]))
-                common = np.bincount(pair[both], np.minimum(weight[both], weight[both + 1]), n)
-                whole = np.bincount(pair, weight, n) - common
-                ok = (whole > 0) & (common >= s.similarity * whole * (1 - 1e-6))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i).filter(pa.array(ok)) for i in (0, 1))], names=["a", "b"]
-                )
+        carried = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
+        for whole in batches:
+            for x, y in pieces(whole.column(whole.schema.get_field_index("text"))):
+                part = whole.slice(x, y - x)
+                a, ids, lead = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("a", "id", "lead"))
+                text, found, tf = shingles(Texts.of(part.column(part.schema.get_field_index("text"))), s)
+                weight = (tf * weights[_bucket(found, bits)]).astype(np.float64)
+                first = np.searchsorted(text, np.arange(len(ids) + 1))
+                # row 0 stands for the carried lead
+                found, weight = np.concatenate([carried[0], found]), np.concatenate([carried[1], weight])
+                begin = np.append(0, first[:-1] + len(carried[0]))
+                many = np.append(len(carried[0]), np.diff(first))
+                own = np.maximum.accumulate(np.where(lead, np.arange(1, len(ids) + 1), 0))
+                rows = np.flatnonzero(~lead)
+                if len(rows):
+                    sides = np.concatenate([rows + 1, own[rows]])
+                    n = many[sides]
+                    at = np.repeat(begin[sides] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    pair = np.repeat(np.tile(np.arange(len(rows)), 2), n)
+                    ok = rows[_similar_sets(pair, found[at], weight[at], len(rows), s.similarity)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(ids[ok], pa.int64())], names=["a", "b"])
+                last = int(own[-1])
+                carried = tuple(v[begin[last] : begin[last] + many[last]].copy() for v in (found, weight))
 
     return run
 
@@ -298,32 +319,83 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole texts; a written table."""
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    held = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return staged(held.mapInArrow(_similar(idf.tobytes(), s), held.select("a", "b").schema))
+    """The pairs (a, b) that are similar, by their whole texts; a written table.
+
+    Texts are dealt to their partner ``a`` in parts of about ``s.group`` texts, so a text travels once per pair and the partner's once
+    per part, and a partner of very many texts is no single group.
+    """
+    pairs = staged(pairs.select("a", "b"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / s.group).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("lead"))
+    leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("lead"))
+    rows = dealt.unionByName(leads).join(texts, "id").select("a", "part", "lead", "id", "text")
+    met = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
+    return staged(met.mapInArrow(_verifying(idf.tobytes(), s), "a bigint, b bigint"))
 
 
-def _star(entries: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Each text with the smallest of its bucket, where the bound allows it."""
-    pairs = entries.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+def _may_match(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
     one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
     two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
     held = pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b")
     return held.mapInArrow(_bounded(s), held.select("a", "b").schema)
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose texts are of different classes."""
+    one = labels.withColumnsRenamed({"id": "a", "label": "label_a"})
+    two = labels.withColumnsRenamed({"id": "b", "label": "label_b"})
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def _with_leaders(entries: DataFrame, texts: DataFrame, sketches: DataFrame, idf: np.ndarray, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(similar pairs, labels) after every text was compared with the leaders of its buckets, as far as their classes differ.
+
+    First each text meets one leader, the smallest of all its buckets, which joins most groups at once. Later rounds only hold pairs
+    whose classes still differ; while a text has many of those left it again meets one at a time.
+    """
+    left = staged(entries.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    edges, labels, turn = None, None, 0
+    while True:
+        n, texts_left = left.agg(F.count("*"), F.countDistinct("b")).first()
+        if not n:
+            break
+        one = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        now = left if turn and n <= 2 * texts_left else staged(one)
+        new = _verified(_may_match(now, sketches, s) if turn else now, texts, idf, s)
+        edges = new if edges is None else edges.unionByName(new)
+        labels = components(edges)
+        if now is left:
+            break
+        left = staged(_apart(left.join(now, ["a", "b"], "left_anti"), labels))
+        turn += 1
+    return edges, labels
+
+
 def _across(entries: DataFrame, labels: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different classes inside the buckets, but for those with the leader, where the bound allows it."""
+    """Pairs of different classes inside the buckets, but for those with the leader, where the bound allows it.
+
+    A class of more than a tile's texts in a bucket has tiles of its own, which meet only tiles of other classes; small classes
+    share tiles. So a stray text in a bucket of one large class meets each of that class's texts once.
+    """
     placed = staged(entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    tiles = F.ceil(F.col("n") / s.tile).cast("int")
-    open_ = open_.where("low <> high and n > 2").select("key", tiles.alias("t"))
-    own = F.pmod(F.xxhash64("id"), F.col("t")).cast("int")
-    rows = placed.join(open_, "key").join(sketches, "id").withColumn("own", own)
-    # a text meets its own tile and every other one; a pair of tiles is one group of rows
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("all")).where("low <> high and all > 2")
+    sizes = staged(sizes.join(mixed.select("key"), "key", "left_semi"))
+    small = F.coalesce(F.sum(F.when(F.col("n") <= s.tile, F.col("n"))), F.lit(0))
+    own_tiles = F.when(F.col("n") > s.tile, F.ceil(F.col("n") / s.tile)).otherwise(0)
+    keys = sizes.groupBy("key").agg(F.ceil(small / s.tile).cast("int").alias("shared"), F.sum(own_tiles).cast("int").alias("owned"))
+    # large classes of a bucket one after the other; there are at most its texts over a tile's
+    large = sizes.where(F.col("n") > s.tile).withColumn("many", F.ceil(F.col("n") / s.tile).cast("int"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = large.select("key", "label", "many", before.cast("int").alias("before"))
+    rows = placed.join(keys, "key").join(large, ["key", "label"], "left").join(sketches, "id")
+    first = F.when(F.col("many").isNull(), 0).otherwise(F.col("shared") + F.col("before"))
+    rows = rows.withColumn("first", first).withColumn("own", F.col("first") + F.pmod(F.xxhash64("id"), F.coalesce("many", "shared")).cast("int"))
+    # a text meets every tile but those of its own large class
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shared") + F.col("owned") - 1)))
+    rows = rows.where(F.col("many").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("many")))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.select(
         F.xxhash64("key", low, high).alias("tiles"),
@@ -337,12 +409,12 @@ def _across(entries: DataFrame, labels: DataFrame, sketches: DataFrame, s: Setti
         "sketch",
     )
     sorted_ = rows.repartition("tiles").sortWithinPartitions("tiles")
-    kind = entries.schema["id"].dataType.simpleString()
-    return sorted_.mapInPandas(_tiled(s), f"a {kind}, b {kind}").distinct()
+    return sorted_.mapInPandas(_tiled(s), "a bigint, b bigint").distinct()
 
 
-def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame | None:
-    """(id, label) of all ids with a similar other text; ``signed`` holds (id, bands), ``docs`` (id, text)."""
+def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame | None:
+    """(id, label) of all nodes with a similar other text; ``nodes`` holds (node, digest, bands), ``docs`` (digest, text)."""
+    signed = nodes.select(F.col("node").alias("id"), "bands")
     entries = signed.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "id")
     # only buckets with several texts matter from here on
     shared = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
@@ -351,33 +423,68 @@ def links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Set
     n = ids.count()
     if not n:
         return None
-    wanted = docs.join(F.broadcast(ids) if n <= s.sent else ids, "id", "left_semi")
-    texts = staged(wanted.groupBy("id").agg(F.min("text").alias("text")))
-    kind = ids.schema["id"].dataType.simpleString()
-    sketches = staged(texts.mapInArrow(_sketched(idf.tobytes(), s), f"id {kind}, sketch binary"))
-    edges = _verified(_star(entries, sketches, s), texts, idf, s)
-    labels = components(edges)
-    wider = sketches.join(signed.select("id", "bands").groupBy("id").agg(F.first("bands").alias("bands")), "id")
+    wanted = nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("digest", F.col("node").alias("id"))
+    held = docs.join(F.broadcast(wanted) if n <= s.sent else wanted, "digest").select("id", "text")
+    texts = staged(held.groupBy("id").agg(F.first("text").alias("text")))
+    sketches = staged(texts.mapInArrow(_sketched(idf.tobytes(), s), "id bigint, sketch binary"))
+    edges, labels = _with_leaders(entries, texts, sketches, idf, s)
+    wider = sketches.join(signed, "id")
     more = _verified(_across(entries, labels, wider, s), texts, idf, s)
     return components(staged(edges.unionByName(more))) if more.limit(1).count() else labels
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(key, class_id) per row: the smallest id among the copies and near-copies a row is connected with."""
+def families(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+    """(id, digest, family, class_id) per row: a number for each group of connected texts, and the smallest id in it.
+
+    Texts, not ids, are connected: every text has a number of its own, so ids may be missing or stand for several texts.
+    """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.md5("text"))
     idf = idf_table(rows, "text", rows.count(), s)
     kind = rows.schema["id"].dataType.simpleString()
-    signed = rows.select("id", F.md5("text").alias("digest"), "text").mapInArrow(
+    signed = rows.select("id", "digest", "text").mapInArrow(
         _signed(idf.tobytes(), s), f"id {kind}, digest string, bands array<bigint>"
     )
     signed = staged(signed)
-    copies = signed.groupBy("digest").agg(F.min("id").alias("first"))
-    members = staged(signed.select("id", "digest").join(copies, "digest"))
-    # one text per id and one id per text is compared
-    node = members.where("id = first").groupBy("id").agg(F.min("digest").alias("digest"))
-    found = links(signed.join(node, ["id", "digest"], "left_semi"), rows, idf, s)
-    out = members.select(F.col("id").alias(key), F.col("first").alias("class_id"))
+    nodes = signed.groupBy("digest").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = links(nodes.select("node", "digest", "bands"), rows.select("digest", "text"), idf, s)
+    known = nodes.select("node", "digest", "low")
     if found is None:
-        return out
-    moved = found.where("id <> label").select(F.col("id").alias("class_id"), F.col("label").alias("__label"))
-    return out.join(moved, "class_id", "left").select(key, F.coalesce("__label", "class_id").alias("class_id"))
+        decided = known.select("digest", F.col("node").alias("family"), F.col("low").alias("class_id"))
+    else:
+        linked = staged(found.withColumnsRenamed({"id": "node", "label": "family"}).join(known, "node"))
+        least = linked.groupBy("family").agg(F.min("low").alias("class_id"))
+        alone = known.join(linked.select("node"), "node", "left_anti").select("digest", F.col("node").alias("family"), F.col("low").alias("class_id"))
+        decided = heavy_join(linked.select("digest", "family"), least, "left", "family").select("digest", "family", "class_id").unionByName(alone)
+    # a text may stand in any share of the rows
+    return heavy_join(signed.select("id", "digest"), staged(decided), "left", "digest").select("id", "digest", "family", "class_id")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+    """(key, class_id) per row: the smallest id among the copies and near-copies a row is connected with."""
+    return families(docs, key, text, s).select(F.col("id").alias(key), "class_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each family the row of the smallest id (none last), then the smallest digest.
+
+    Rows are told apart by id and text, so rows without an id and ids of several texts are decided like others; one of equal rows stays.
+    """
+    found = families(docs, key, text, s).groupBy("id", "digest", "family").agg(F.count("*").alias("n"))
+    found = staged(found)
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("digest"))
+    best = found.groupBy("family").agg(F.min(rank).alias("best"), F.count("*").alias("m"))
+    several = heavy_join(found, best.where("m > 1").select("family", "best"), "inner", "family")
+    gone = staged(several.where(~rank.eqNullSafe(F.col("best"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")))
+    again = staged(found.where("n > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")))
+    marked = docs.withColumn("__own", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+
+    def only(frame: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(few) if few.count() <= s.sent else few
+        return frame.join(few, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), how)
+
+    kept = only(marked, gone, "left_anti")
+    single = only(kept, again, "left_anti")
+    one = only(kept, again, "left_semi").dropDuplicates([key, "__own"])
+    return single.unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
