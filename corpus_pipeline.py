@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of ``documents``, the last one
 the places of all pieces. Stages may meet null texts (empty, so the rules reject them), repeated rows (one stays) and empty tables;
-columns besides doc_id and text are passed on. Rows without a doc_id cannot be told apart and are not taken for duplicates.
+columns besides doc_id and text are passed on. Rows are told apart by id and text, so one of several equal rows stays, rows without
+a doc_id are decided like others, and an id that stands for different texts loses none of them.
 """
 
 from __future__ import annotations
@@ -32,12 +33,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each class of copies and near-copies."""
-    found = staged(neardup.classes(docs.select("doc_id", "text")))
-    first = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    alone = docs.join(first.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(first.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each class of copies and near-copies: that of the smallest id, or of the smallest digest where none has one."""
+    return neardup.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
