@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.llm.common import PARTS, added, blocks
+from cohortspark.llm.common import PARTS, added, blocks, most_frequent
 from cohortspark.llm.textnum import pieces
 from cohortspark.operators.ordering import global_order
 from cohortspark.session import staged
@@ -177,8 +177,8 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dictionary(texts: DataFrame, text: str = "text", s: Settings = Settings()) -> list[bytes]:
     """The ``s.words`` most frequent distinct words of all texts, ties by their bytes."""
     found = texts.select(F.col(f"`{text}`")).mapInArrow(_words_of, "word binary, n bigint")
-    counts = found.groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(s.words).collect()]
+    counts = staged(found.groupBy("word").agg(F.sum("n").alias("n")))
+    return [bytes(r["word"]) for r in most_frequent(counts, "word", "n", s.words)]
 
 
 _PARTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])

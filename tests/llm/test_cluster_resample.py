@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from cohortspark.llm import centroids, resampling
+from cohortspark.llm.common import most_frequent
 
 
 def plain_clusters(vectors: list[tuple], s: centroids.Settings) -> list[tuple]:
@@ -111,3 +112,12 @@ def test_resampling_of_nothing(spark):
     assert resampling.resample(none, none).count() == 0
     few = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert [r["rank"] for r in resampling.resample(few, none).collect()] == [None]
+
+
+@pytest.mark.parametrize("k", [0, 3, 50, 500])
+def test_most_frequent(spark, k):
+    """The top of a count table, also where hundreds of words share one count."""
+    rows = [(f"w{i:03}".encode(), 1) for i in range(400)] + [(b"a", 9), (b"b", 70), (b"c", 70)]
+    df = spark.createDataFrame(rows, "word binary, n bigint")
+    got = [(bytes(r["word"]), r["n"]) for r in most_frequent(df, "word", "n", k)]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
