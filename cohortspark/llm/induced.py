@@ -18,7 +18,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_FAR = np.int64(1) << 40
+#: numbers are 32 bits wide: a shard is far below 2^31 characters
+_KIND = np.int32
+_FAR = _KIND(1 << 30)
 
 
 @dataclass(frozen=True)
@@ -29,10 +31,10 @@ class Plan:
 
 
 def empty(n: int, plan: Plan) -> np.ndarray:
-    if n * 8 <= plan.array:
-        return np.empty(n, dtype=np.int64)
+    if n * 4 <= plan.array:
+        return np.empty(n, dtype=_KIND)
     with tempfile.TemporaryFile() as f:
-        return np.memmap(f, dtype=np.int64, mode="w+", shape=(n,))
+        return np.memmap(f, dtype=_KIND, mode="w+", shape=(n,))
 
 
 class Queue:
@@ -66,7 +68,7 @@ def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     """The smallest of values[low..high], ends included, for many ranges."""
     span = high - low + 1
     level = np.frexp(span.astype(np.float64))[1] - 1
-    out = np.empty(len(low), dtype=np.int64)
+    out = np.empty(len(low), dtype=_KIND)
     table = values
     for k in range(int(level.max(initial=0)) + 1):
         if k:
@@ -88,7 +90,7 @@ def _induced(
     cut = np.searchsorted(keys[places], np.arange(size + 1))
     if size <= 1 << 16:
         keys = keys.astype(np.uint16)  # sorted by radix
-    since = np.full(size, -1, dtype=np.int64)  # smallest prefix since a key's last entry; -1: none yet
+    since = np.full(size, -1, dtype=_KIND)  # smallest prefix since a key's last entry; -1: none yet
 
     def pass_on(at: np.ndarray, prefix: np.ndarray | None) -> None:
         left = at - 1
@@ -181,14 +183,17 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30, plan: Plan = Plan()) ->
 
     ``text`` holds integers from 0 and must end with its only 0.
     """
-    text, n = np.asarray(text, dtype=np.int64), len(text)
+    text, n = np.asarray(text, dtype=_KIND), len(text)
+    if n >= 1 << 31:
+        raise ValueError("a shard holds 2^31 characters at most")
     if n == 1:
-        return np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=_KIND), np.zeros(1, dtype=_KIND)
     step = np.append(np.diff(text), 1)
-    change = np.where(step != 0, np.arange(n), n)
+    at = np.arange(n, dtype=_KIND)
+    change = np.where(step != 0, at, _KIND(n - 1))
     end = np.minimum.accumulate(change[::-1])[::-1]  # where the run of this character ends
-    rising, run = step[end] > 0, end - np.arange(n) + 1
-    seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
+    rising, run = step[end] > 0, end - at + 1
+    seeds = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(_KIND)
     if len(seeds) > 1:
         ordered, prefixes = _seeds(text, rising, run, seeds, depth, plan)
     else:
