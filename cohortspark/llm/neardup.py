@@ -318,6 +318,33 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def roots(parents: DataFrame, most: int = 60) -> DataFrame:
+    """(id, label): the root of each id of a forest (id, parent), parents being smaller; a written table.
+
+    Pointer jumping halves every way to the root, and a step joins one row per id.
+    """
+    labels = staged(parents.select("id", F.col("parent").alias("label")))
+    for _ in range(most):
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        moved = staged(labels.join(jump, "label", "left").select("id", "label", "far"))
+        going = moved.where("far is not null").limit(1).count()
+        labels = moved.select("id", F.coalesce("far", "label").alias("label"))
+        if not going:
+            return staged(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()))
+    raise RuntimeError("the forest did not settle")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after the classes that ``edges`` (a, b) connect became one; only edges between classes are walked."""
+    between = staged(_apart(edges, labels, True).distinct())
+    if not between.limit(1).count():
+        return labels
+    new = components(between).select(F.col("id").alias("label"), F.col("label").alias("new"))
+    known = labels.join(new, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+    lone = new.join(labels.select(F.col("id").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("new").alias("label"))
+    return staged(known.unionByName(lone))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole texts; a written table.
 
@@ -341,36 +368,39 @@ def _may_match(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     return held.mapInArrow(_bounded(s), held.select("a", "b").schema)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose texts are of different classes."""
+def _apart(pairs: DataFrame, labels: DataFrame, as_labels: bool = False) -> DataFrame:
+    """The pairs whose texts are of different classes, as texts or as their classes."""
     one = labels.withColumnsRenamed({"id": "a", "label": "label_a"})
     two = labels.withColumnsRenamed({"id": "b", "label": "label_b"})
     both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    both = both.withColumns({"label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b")}).where("label_a <> label_b")
+    return both.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")) if as_labels else both.select("a", "b")
 
 
-def _with_leaders(entries: DataFrame, texts: DataFrame, sketches: DataFrame, idf: np.ndarray, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(similar pairs, labels) after every text was compared with the leaders of its buckets, as far as their classes differ.
+def _with_leaders(entries: DataFrame, texts: DataFrame, sketches: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
+    """Labels after every text was compared with the leaders of its buckets, as far as their classes differ.
 
-    First each text meets one leader, the smallest of all its buckets, which joins most groups at once. Later rounds only hold pairs
-    whose classes still differ; while a text has many of those left it again meets one at a time.
+    First each text meets one leader, the smallest of all its buckets, which joins most groups at once; these links are a forest.
+    Later rounds only hold pairs whose classes still differ, and while a text has many of those left it again meets one at a time.
     """
-    left = staged(entries.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    edges, labels, turn = None, None, 0
+    leaders = entries.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    first = staged(leaders.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = roots(_verified(first, texts, idf, s).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    # a bucket whose texts are all of one class asks nothing more, so its pairs are never made
+    placed = entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    left = entries.join(open_, "key", "left_semi").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    left = staged(_apart(left.join(first, ["a", "b"], "left_anti"), labels))
     while True:
         n, texts_left = left.agg(F.count("*"), F.countDistinct("b")).first()
         if not n:
-            break
-        one = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        now = left if turn and n <= 2 * texts_left else staged(one)
-        new = _verified(_may_match(now, sketches, s) if turn else now, texts, idf, s)
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
-        if now is left:
-            break
+            return labels
+        last = n <= 2 * texts_left
+        now = left if last else staged(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        labels = merged(labels, _verified(_may_match(now, sketches, s), texts, idf, s))
+        if last:
+            return labels
         left = staged(_apart(left.join(now, ["a", "b"], "left_anti"), labels))
-        turn += 1
-    return edges, labels
 
 
 def _across(entries: DataFrame, labels: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
@@ -427,10 +457,9 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Sett
     held = docs.join(F.broadcast(wanted) if n <= s.sent else wanted, "digest").select("id", "text")
     texts = staged(held.groupBy("id").agg(F.first("text").alias("text")))
     sketches = staged(texts.mapInArrow(_sketched(idf.tobytes(), s), "id bigint, sketch binary"))
-    edges, labels = _with_leaders(entries, texts, sketches, idf, s)
+    labels = _with_leaders(entries, texts, sketches, idf, s)
     wider = sketches.join(signed, "id")
-    more = _verified(_across(entries, labels, wider, s), texts, idf, s)
-    return components(staged(edges.unionByName(more))) if more.limit(1).count() else labels
+    return merged(labels, _verified(_across(entries, labels, wider, s), texts, idf, s))
 
 
 def families(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
