@@ -164,26 +164,43 @@ def duplicates(df: DataFrame, keys: Sequence[str] | str, count: str = "n") -> Da
     return natural_join(df, repeated, "inner", keys)
 
 
+def levels(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The values of a column in order, without NULL; more than ``most`` are an error, so what reaches the driver is bounded."""
+    found = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    return sorted(r["v"] for r in found)
+
+
 def contingency(
-    df: DataFrame, rows: Sequence[str] | str, column: str, values: Sequence[str]
+    df: DataFrame, rows: Sequence[str] | str, column: str, values: Sequence | None = None, most: int = 1000
 ) -> DataFrame:
-    """Counts of ``column`` values as columns, zero-filled; the value list fixes the column order.
+    """Counts of ``column`` values as columns, zero-filled; the value list fixes the column order (default: ``levels``).
 
     Conditional aggregates need one shuffle where ``pivot`` needs two.
     """
+    values = levels(df, column, most) if values is None else values
     cells = [F.count(F.when(F.col(column) == v, 1)).alias(str(v)) for v in values]
-    return df.groupBy(*_as_list(rows)).agg(*cells)
+    # a column without values has no cells
+    return df.groupBy(*_as_list(rows)).agg(*cells) if cells else df.select(*_as_list(rows)).distinct()
 
 
 def to_wide(
-    df: DataFrame, rows: Sequence[str] | str, column: str, values: Sequence[str], value: str, default=0
+    df: DataFrame,
+    rows: Sequence[str] | str,
+    column: str,
+    values: Sequence | None,
+    value: str,
+    default=0,
+    most: int = 1000,
 ) -> DataFrame:
-    """Sum of ``value`` per category as columns."""
+    """Sum of ``value`` per category as columns; without a value list (None) for all ``levels`` of the column."""
     cells = []
-    for v in values:
+    for v in levels(df, column, most) if values is None else values:
         total = F.sum(F.when(F.col(column) == v, F.col(value)))
         cells.append((total if default is None else F.coalesce(total, F.lit(default))).alias(str(v)))
-    return df.groupBy(*_as_list(rows)).agg(*cells)
+    # a column without values has no cells
+    return df.groupBy(*_as_list(rows)).agg(*cells) if cells else df.select(*_as_list(rows)).distinct()
 
 
 def to_long(

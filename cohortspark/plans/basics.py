@@ -407,3 +407,29 @@ def heavy_key_join(spark, sf):
 def heavy_key_anti(spark, sf):
     rows, names = _half_null(spark, sf)
     return rel.heavy_join(rows, names, "left_anti", "animal")
+
+
+_LEVELS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    "contingency_found_levels",
+    "SELECT user_id % 7 AS part, "
+    + ", ".join(f"COUNT(*) FILTER (event_type = '{v}') AS {v}" for v in _LEVELS)
+    + " FROM events GROUP BY ALL",
+)
+def contingency_found_levels(spark, sf):
+    """The columns come from the data; only the check names them."""
+    rows = roles.table(spark, sf, "events").select((F.col("user_id") % 7).alias("part"), "event_type")
+    return rel.contingency(rows, "part", "event_type")
+
+
+@query(
+    "wide_found_levels",
+    "SELECT user_id % 7 AS part, "
+    + ", ".join(f"CAST(COALESCE(SUM(event_id) FILTER (event_type = '{v}'), 0) AS BIGINT) AS {v}" for v in _LEVELS)
+    + " FROM events GROUP BY ALL",
+)
+def wide_found_levels(spark, sf):
+    rows = roles.table(spark, sf, "events").select((F.col("user_id") % 7).alias("part"), "event_type", "event_id")
+    return rel.to_wide(rows, "part", "event_type", None, "event_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.operators import relational
 from cohortspark.operators.ordering import global_order
 from cohortspark.sources import readers, writers
 
@@ -48,3 +50,16 @@ def test_code_list_in_order(frame):
     codes = frame("CodeRef string, Value int, Label string", [("k", 2, "b"), ("k", 1, "a"), ("k", 2, "b"), ("m", 0, "z"), ("k", None, "c")])
     got = readers.code_list(codes, "k", row_no="n").orderBy("n").collect()
     assert [(r.n, r.Value, r.Label) for r in got] == [(1, 1, "a"), (2, 2, "b"), (3, None, "c")]
+
+
+def test_levels_come_from_the_data(frame):
+    df = frame("g string, v int, n int", [("a", 2, 5), ("a", 10, 1), ("b", 2, 2), ("b", None, 9), (None, 1, 4)])
+    assert relational.levels(df, "v") == [1, 2, 10]
+    got = relational.contingency(df, "g", "v")
+    assert got.columns == ["g", "1", "2", "10"]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"a": (0, 1, 1), "b": (0, 1, 0), None: (1, 0, 0)}
+    wide = relational.to_wide(df, "g", "v", None, "n", default=None)
+    assert {r[0]: tuple(r)[1:] for r in wide.collect()} == {"a": (None, 5, 1), "b": (None, 2, None), None: (4, None, None)}
+    with pytest.raises(ValueError, match="more than 2"):
+        relational.contingency(df, "g", "v", most=2)
+    assert relational.contingency(df.limit(0), "g", "v").columns == ["g"]
