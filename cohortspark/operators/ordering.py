@@ -140,6 +140,41 @@ def global_order(
     return numbered.withColumn(out, (F.col("__before") + inside + 1).cast("bigint")).drop("__part", "__before", "__place")
 
 
+def shifted(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: dict[str, str],
+    how: str = "lead",
+    width: int | None = None,
+) -> DataFrame:
+    """The next (``lead``) or previous (``lag``) row's values within ``keys``; ``columns`` maps a column to its new name.
+
+    The order must be unique within a group, begins like that of ``number_rows`` and has NULLs last. The window runs inside a
+    bucket; the first (last) row of every bucket is found with map-side combine and carried to the end (start) of the
+    bucket before (after) it, so that a group of any size spreads over tasks. No neighbour gives NULL.
+    """
+    if how not in ("lead", "lag"):
+        raise ValueError("how is lead or lag")
+    keys, order, names = list(keys), list(order), list(columns)
+    buckets = _buckets(df, order, width)
+    key = F.struct(*keys, *[c.alias(b) for b, c in buckets.items()])
+    place = F.struct(*[f(c) for c in order for f in (lambda c: F.col(c).isNull(), F.col)])
+    row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
+    edge, move = (F.min_by, F.lead) if how == "lead" else (F.max_by, F.lag)
+    edges = df.groupBy(key.alias("_key")).agg(edge(row, place).alias("_edge"))
+    across = Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy(
+        *[F.col(f"_key.{b}").asc_nulls_last() for b in buckets]
+    )
+    edges = edges.select("_key", move("_edge").over(across).alias("_edge"))
+    inside = Window.partitionBy("_key").orderBy(*_asc(order))
+    near = df.withColumn("_key", key).withColumn("_row", row)
+    near = near.withColumn("_row", move("_row").over(inside)).join(edges, "_key")
+    # a neighbour inside the bucket is never NULL itself, only its values may be
+    near = near.withColumn("_row", F.coalesce("_row", "_edge"))
+    return near.select(*df.columns, *[F.col(f"_row.v{i}").alias(columns[c]) for i, c in enumerate(names)])
+
+
 def number_days(
     df: DataFrame, keys: Sequence[str], day: str, out: str, counted: DataFrame | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from cohortspark.functions.nulls import fill, ifelse_na, n_distinct_na, not_isin_safe, sum_strict
 from cohortspark.operators import relational as rel
-from cohortspark.operators.ordering import day_table
+from cohortspark.operators.ordering import day_table, id_slice, shifted
 from cohortspark.plans import roles
 from cohortspark.plans.registry import query
 from cohortspark.plans.roles import PRIORITIES, sql
@@ -57,6 +57,92 @@ def sorted_export(spark, sf):
     return readers.read_csv(spark, path, kinds)
 
 
+@query(
+    "csv_rejects",
+    """SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS visits, NULL AS line, NULL AS reasons FROM customer WHERE c_custkey % 7 > 3
+       UNION ALL
+       SELECT NULL, NULL, CASE c_custkey % 7 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN c_custkey || ',x' || c_nationkey
+           WHEN 2 THEN c_custkey || ',' || c_nationkey || ',more' ELSE ',NA' END,
+         CASE c_custkey % 7 WHEN 1 THEN 'visits: not bigint: x' || c_nationkey WHEN 3 THEN 'id: missing' ELSE 'wrong number of cells' END
+       FROM customer WHERE c_custkey % 7 <= 3""",
+)
+def csv_rejects(spark, sf):
+    """A file in which four lines of seven are broken, split into accepted rows and rejects."""
+    key, visits, kind = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_custkey") % 7
+    line = (
+        F.when(kind == 0, key)
+        .when(kind == 1, F.concat(key, F.lit(",x"), visits))
+        .when(kind == 2, F.concat(key, F.lit(","), visits, F.lit(",more")))
+        .when(kind == 3, F.lit(",NA"))
+        .otherwise(F.concat(key, F.lit(","), visits))
+    )
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    lines = roles.table(spark, sf, "customer").select(line.alias("id,visits"))
+    lines.write.csv(path, header=True, sep="\x01", quote="\x00")
+    schema = StructType.fromDDL("id bigint not null, visits bigint")
+    accepted, rejected = readers.read_csv_checked(spark, path, schema)
+    none = F.lit(None).cast("string")
+    good = accepted.select("id", "visits", none.alias("line"), none.alias("reasons"))
+    empty = F.lit(None).cast("bigint")
+    bad = rejected.select(empty.alias("id"), empty.alias("visits"), "line", F.array_join("reasons", "; ").alias("reasons"))
+    return rel.union_rows(good, bad)
+
+
+def _classed(spark, sf):
+    """Customers as text under a table of column classes that two imports disagree on."""
+    kind = F.col("c_custkey") % 4
+    text = F.col("c_nationkey").cast("string")
+    raw = roles.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("ref"),
+        F.when(kind == 0, F.concat(text, F.lit(".5"))).otherwise(text).alias("duration"),
+        F.when(kind == 1, F.concat(F.lit("n"), text)).when(kind == 2, F.lit(None)).otherwise(text).alias("total"),
+        F.col("c_mktsegment").alias("observer"),
+    )
+    table = spark.createDataFrame(
+        [("ref", "integer", "integer"), ("duration", "integer", "numeric"), ("total", "integer", "NA"), ("observer", "integer", "character")],
+        "column_name string, first string, second string",
+    )
+    return readers.apply_classes(raw, readers.column_classes(table, "column_name"), ["ref"])
+
+
+@query(
+    "typed_columns",
+    """SELECT c_custkey AS ref, c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS duration,
+         CASE WHEN c_custkey % 4 IN (0, 3) THEN c_nationkey::BIGINT END AS total, c_mktsegment AS observer FROM customer""",
+)
+def typed_columns(spark, sf):
+    return _classed(spark, sf)[0]
+
+
+@query(
+    "failed_casts",
+    """SELECT c_custkey::VARCHAR AS ref, 'total' AS "column", 'n' || c_nationkey AS value, 'integer' AS class
+       FROM customer WHERE c_custkey % 4 = 1""",
+)
+def failed_casts(spark, sf):
+    return _classed(spark, sf)[1]
+
+
+@query(
+    "neighbours_in_order",
+    """SELECT o_orderkey * 1000 AS ref, o_orderstatus AS status,
+         LEAD(o_totalprice) OVER w AS next_amount, LAG(o_totalprice) OVER w AS last_amount, LAG(o_custkey) OVER w AS last_animal
+       FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)""",
+)
+def neighbours_in_order(spark, sf):
+    """Next and previous values in groups that each hold a third of all rows, ordered by sparse ids."""
+    rows = roles.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") * 1000).alias("ref"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("amount"),
+        F.col("o_custkey").alias("animal"),
+    )
+    width = id_slice(rows, "ref", 1 << 12)
+    ahead = shifted(rows, ["status"], ["ref"], {"amount": "next_amount"}, width=width)
+    both = shifted(ahead, ["status"], ["ref"], {"amount": "last_amount", "animal": "last_animal"}, "lag", width)
+    return both.drop("amount", "animal")
+
+
 @query(
     "csv_round_trip",
     """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_name

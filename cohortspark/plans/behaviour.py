@@ -852,8 +852,62 @@ def behaviour_correlation(spark, sf):
     return out.withColumn("r", F.round("r", 6))
 
 
-@query("pca")
+_WIDE_SQL = (
+    "SELECT animal, day, "
+    + ", ".join(f"CAST(COALESCE(SUM(duration) FILTER (behaviour = '{b}'), 0) AS DOUBLE) AS {b}" for b in EVENT_TYPES)
+    + " FROM sessions GROUP BY ALL"
+)
+_EVENTS = f"[{', '.join(EVENT_TYPES)}]"
+_SQUARINGS = 45
+
+
+def _power(matrix: str) -> str:
+    """SQL for the projector onto the first eigenvector: the matrix ``m`` of the table, squared again and again."""
+    return f"""SELECT p FROM (WITH RECURSIVE it(i, m, t) AS (
+          SELECT 0, m, [[r[j] FOR r IN m] FOR j IN range(1, len(m) + 1)] FROM {matrix}
+          UNION ALL SELECT i + 1, [[x / s FOR x IN r] FOR r IN m2], [[x / s FOR x IN r] FOR r IN t2] FROM (
+            SELECT i, m2, t2, list_sum([m2[j][j] FOR j IN range(1, len(m2) + 1)]) AS s FROM (
+              SELECT i, [[list_dot_product(r, c) FOR c IN t] FOR r IN m] AS m2,
+                [[list_dot_product(r, c) FOR r IN m] FOR c IN t] AS t2 FROM it WHERE i < {_SQUARINGS})))
+        SELECT m AS p FROM it WHERE i = {_SQUARINGS})"""
+
+
+def _deflated(matrix: str, projector: str) -> str:
+    """SQL for the matrix without its first eigenvector."""
+    return f"""SELECT [[m[i][j] - list_dot_product(m[i], [q[j] FOR q IN p]) FOR j IN range(1, len(m) + 1)]
+          FOR i IN range(1, len(m) + 1)] AS m FROM {matrix}, {projector}"""
+
+
+def _axis(projector: str) -> str:
+    """SQL for the unit eigenvector of a projector, its largest loading positive."""
+    return f"""SELECT [x / n * g FOR x IN v] AS v FROM (
+          SELECT v, SQRT(list_dot_product(v, v)) AS n,
+            CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END AS g FROM (
+            SELECT UNNEST([[r[j] FOR r IN p] FOR j IN range(1, len(p) + 1)]) AS v FROM {projector})
+          ORDER BY n DESC LIMIT 1)"""
+
+
+def _cells(name: str, of: str = "{a}, {b}") -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{name}({of.format(a=a, b=b)})" for b in EVENT_TYPES) + "]" for a in EVENT_TYPES) + "]"
+
+
+@query(
+    "pca",
+    sql(
+        f"""SELECT animal, day, ROUND(ABS(list_dot_product({_EVENTS}, a1.v)), 4) AS pc1,
+             ROUND(ABS(list_dot_product({_EVENTS}, a2.v)), 4) AS pc2 FROM wide, a1, a2""",
+        "sessions",
+        wide=_WIDE_SQL,
+        m1=f"SELECT {_cells('COVAR_SAMP')} AS m FROM wide",
+        p1=_power("m1"),
+        m2=_deflated("m1", "p1"),
+        p2=_power("m2"),
+        a1=_axis("p1"),
+        a2=_axis("p2"),
+    ),
+)
 def pca(spark, sf):
+    """Scores on two components of all columns, up to their sign; the check squares the covariance matrix."""
     out = stats.principal_components(_wide(spark, sf), EVENT_TYPES, 2, keep=["animal", "day"])
     return out.select("animal", "day", *[F.round(F.abs(c), 4).alias(c) for c in ("pc1", "pc2")])
 
@@ -924,8 +978,99 @@ def multinomial(spark, sf):
     return stats.predict(model, rows, EVENT_TYPES, ["animal", "day", "label"])
 
 
-@query("lda")
+_N = len(EVENT_TYPES)
+_MEANS = f"[{', '.join(f'AVG({b})' for b in EVENT_TYPES)}]"
+
+
+@query(
+    "lda",
+    sql(
+        f"""SELECT animal, day, label,
+             ROUND(list_dot_product({_EVENTS}, a1.v) - list_dot_product(c, a1.v), 6) AS ld1,
+             ROUND(list_dot_product({_EVENTS}, a2.v) - list_dot_product(c, a2.v), 6) AS ld2
+           FROM wide, centre, a1, a2""",
+        "sessions",
+        wide=_WIDE_SQL.replace("animal, day, ", "animal, day, CAST(animal % 3 AS INTEGER) AS label, ", 1),
+        centre=f"SELECT {_MEANS} AS c FROM wide",
+        classes=f"SELECT label, COUNT(*) AS n, {_MEANS} AS mean, {_cells('COVAR_POP')} AS cov FROM wide GROUP BY label",
+        # within and between sums of products, cell by cell, side by side; then Gauss-Jordan leaves W^-1 B on the right
+        cells=f"""SELECT i, j, SUM(n * cov[i][j]) AS w, SUM(n * (mean[i] - c[i]) * (mean[j] - c[j])) AS b
+            FROM classes, centre, range(1, {_N + 1}) AS a(i), range(1, {_N + 1}) AS d(j) GROUP BY i, j""",
+        sides="""SELECT list(row ORDER BY i) AS m FROM (
+            SELECT i, list_concat(list(w ORDER BY j), list(b ORDER BY j)) AS row FROM cells GROUP BY i)""",
+        m1=f"""SELECT [r[{_N + 1}:] FOR r IN m] AS m FROM (WITH RECURSIVE it(k, m) AS (
+              SELECT 1, m FROM sides
+              UNION ALL SELECT k + 1, [[CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END
+                FOR j IN range(1, {2 * _N + 1})] FOR i IN range(1, {_N + 1})] FROM it WHERE k <= {_N})
+            SELECT m FROM it WHERE k = {_N + 1})""",
+        p1=_power("m1"),
+        m2=_deflated("m1", "p1"),
+        p2=_power("m2"),
+        a1=_axis("p1"),
+        a2=_axis("p2"),
+    ),
+)
 def lda(spark, sf):
     rows = _labelled(spark, sf)
     out = stats.linear_discriminants(rows, EVENT_TYPES, "label", 2, keep=["animal", "day", "label"])
     return out.withColumns({c: F.round(c, 6) for c in ("ld1", "ld2")})
+
+
+@query(
+    "multinomial_scores",
+    sql(
+        "SELECT class, term, ROUND(total, 3) AS observed, ROUND(total, 3) AS fitted FROM ("
+        + " UNION ALL ".join(
+            f"SELECT CAST(label AS VARCHAR) AS class, '{t}' AS term, {f'SUM({t})' if t != 'rows' else 'COUNT(*)::DOUBLE'} AS total"
+            " FROM wide GROUP BY label"
+            for t in ("rows", *EVENT_TYPES)
+        )
+        + ")",
+        "sessions",
+        wide=_WIDE_SQL.replace("animal, day, ", "animal, day, CAST(animal % 3 AS INTEGER) AS label, ", 1),
+    ),
+)
+def multinomial_scores(spark, sf):
+    """Observed and fitted totals of every column per class; the likelihood is at its maximum only where they agree."""
+    rows = _labelled(spark, sf)
+    fit = stats.multinomial_fit(rows, EVENT_TYPES, "label")
+    terms = ("rows", *EVENT_TYPES)
+    x = F.array(*[F.lit(1.0) if t == "rows" else F.col(t) for t in terms])
+    share = fit.probabilities(rows).select(F.posexplode("p").alias("k", "p"), "label", x.alias("x"))
+    names = F.array(*[F.lit(str(c)) for c in fit.classes])
+    own = F.when(F.element_at(names, F.col("k") + 1) == F.col("label").cast("string"), 1.0).otherwise(0.0)
+    sums = share.groupBy("k").agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(t).alias("term"),
+                    F.sum(F.col("x")[i] * own).alias("observed"),
+                    F.sum(F.col("x")[i] * F.col("p")).alias("fitted"),
+                )
+                for i, t in enumerate(terms)
+            ]
+        ).alias("cells")
+    )
+    out = sums.select(F.element_at(names, F.col("k") + 1).alias("class"), F.inline("cells"))
+    return out.withColumns({c: F.round(c, 3) for c in ("observed", "fitted")})
+
+
+@query(
+    "multinomial_coefficients",
+    sql(
+        """SELECT class, term, ROUND(estimate, 5) AS estimate, ROUND(std_error, 5) AS std_error FROM (
+             SELECT k.behaviour AS class, t.term,
+               CASE WHEN t.term = 'odd' THEN LN(k.n1 / b.n1) - LN(k.n0 / b.n0) ELSE LN(k.n0 / b.n0) END AS estimate,
+               SQRT(1 / k.n0 + 1 / b.n0 + CASE WHEN t.term = 'odd' THEN 1 / k.n1 + 1 / b.n1 ELSE 0 END) AS std_error
+             FROM counts k, (SELECT * FROM counts ORDER BY behaviour LIMIT 1) b, (VALUES ('(Intercept)'), ('odd')) AS t(term)
+             WHERE k.behaviour > b.behaviour)""",
+        "sessions",
+        counts="""SELECT behaviour, CAST(COUNT(*) FILTER (animal % 2 = 0) AS DOUBLE) AS n0,
+             CAST(COUNT(*) FILTER (animal % 2 = 1) AS DOUBLE) AS n1 FROM sessions GROUP BY behaviour""",
+    ),
+)
+def multinomial_coefficients(spark, sf):
+    """Which behaviour was shown, by a column of two values, where estimates and errors have a closed form."""
+    rows = roles.sessions(spark, sf).select("behaviour", (F.col("animal") % 2).cast("double").alias("odd"))
+    fit = stats.multinomial_fit(rows, ["odd"], "behaviour").table(spark)
+    return fit.select("class", "term", *[F.round(c, 5).alias(c) for c in ("estimate", "std_error")])

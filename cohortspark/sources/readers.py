@@ -48,6 +48,82 @@ def read_csv(
     return text.select(*out)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: StructType, missing: str = "NA", multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of a headered CSV; every line is in exactly one of them.
+
+    A line with too few or too many cells is rejected as it stands, one with a cell that does not fit its column's type with its
+    cells written as CSV again, both as ``line`` and with their ``reasons``, one per fault. ``missing`` and empty cells are NULL and no fault, but in a column
+    that is not nullable. Both frames are projections of one read without a shuffle. Blank lines are skipped, as by ``read_csv``.
+    """
+    kept = "_line"
+    raw = StructType([*[StructField(f.name, StringType()) for f in schema], StructField(kept, StringType())])
+    text = spark.read.schema(raw).csv(
+        path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=kept, enforceSchema=True
+    )
+    cells, faults = [], [F.when(F.col(kept).isNotNull(), F.lit("wrong number of cells"))]
+    for f in schema.fields:
+        cell = F.col(f"`{f.name}`")
+        known = F.when(cell != missing, cell)
+        value = known if isinstance(f.dataType, StringType) else known.try_cast(f.dataType)
+        cells.append(value.alias(f.name))
+        told = F.concat(F.lit(f"{f.name}: not {f.dataType.simpleString()}: "), known)
+        faults.append(F.when(F.col(kept).isNull() & known.isNotNull() & value.isNull(), told))
+        if not f.nullable:
+            faults.append(F.when(F.col(kept).isNull() & known.isNull(), F.lit(f"{f.name}: missing")))
+    reasons = F.array_compact(F.array(*faults))
+    shown = F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))
+    judged = text.withColumns({"_reasons": reasons, "_shown": F.coalesce(kept, shown)})
+    accepted = judged.filter(F.size("_reasons") == 0).select(*cells)
+    rejected = judged.filter(F.size("_reasons") > 0).select(F.col("_shown").alias("line"), F.col("_reasons").alias("reasons"))
+    return accepted, rejected
+
+
+#: column classes from narrow to wide; a column read under several classes takes the widest
+CLASSES = {"integer": "bigint", "numeric": "double", "character": "string"}
+
+
+def column_classes(classes: DataFrame, column: str, imports: Sequence[str] | None = None) -> dict[str, str]:
+    """The widest class of every column over the named imports, from a table with a row per column.
+
+    Missing classes and "NA" are passed over; a column without any class is character; another word is an error. The table has a row
+    per column of a schema, so it is read whole.
+    """
+    imports = list(imports or [c for c in classes.columns if c != column])
+    order, out = list(CLASSES), {}
+    for r in classes.select(column, *imports).collect():
+        given = [r[i] for i in imports if r[i] is not None and r[i] != "NA"]
+        for g in given:
+            if g not in CLASSES:
+                raise ValueError(f"{r[column]}: unknown class {g}")
+        widest = max((order.index(g) for g in given), default=len(order) - 1)
+        out[r[column]] = order[max(widest, order.index(out.get(r[column], order[0])))]
+    return out
+
+
+def apply_classes(df: DataFrame, classes: dict[str, str], key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(typed, ledger): the columns cast to their classes, and a row per cell that could not be.
+
+    A cell that does not fit becomes NULL in the typed frame and stands in the ledger as (key, column, value, class). Columns
+    without a class stay as they are; classes of absent columns are passed over.
+    """
+    named = [c for c in df.columns if c in classes]
+    cast = {c: F.col(f"`{c}`").try_cast(CLASSES[classes[c]]) for c in named}
+    typed = df.select(*[cast[c].alias(c) if c in cast else F.col(f"`{c}`") for c in df.columns])
+    faults = [
+        F.when(
+            F.col(f"`{c}`").isNotNull() & cast[c].isNull(),
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), F.lit(classes[c]).alias("class")),
+        )
+        for c in named
+    ]
+    if not faults:
+        faults = [F.lit(None).cast("struct<column:string,value:string,class:string>")]
+    ledger = df.select(*[F.col(f"`{k}`").alias(f"key_{k}") for k in key], F.explode(F.array_compact(F.array(*faults))).alias("_f"))
+    return typed, ledger.select(*[F.col(f"`key_{k}`").alias(k) for k in key], "_f.*")
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
