@@ -192,6 +192,7 @@ def witness(page: str, of: dict[int, int], sizes: Counter) -> tuple[dict[int, tu
     orders: dict[int, tuple[int, ...]] = {}
     slots: dict[int, str] = {}
     bad: set[int] = set()
+    owed: Counter = Counter()  # tokens of repetitions cut off by another class
     chars: Counter = Counter()
     near: list[str] = [""]
     for t, text, path, n in sequence(page):
@@ -206,7 +207,12 @@ def witness(page: str, of: dict[int, int], sizes: Counter) -> tuple[dict[int, tu
             continue
         if any(open_[0] == c for open_ in stack):
             while stack[-1][0] != c:
-                bad.add(stack.pop()[0])
+                cut, seen = stack.pop()
+                bad.add(cut)
+                owed[cut] += sizes[cut] - len(seen)
+        elif owed[c]:
+            owed[c] -= 1
+            continue
         else:
             slot = f"{stack[-1][0]}.{len(stack[-1][1])}" if stack else ""
             if slots.setdefault(c, slot) != slot:
