@@ -139,8 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str,
     some = some.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") != 0).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("key"), "label").limit(s.sample)
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(some), "key").collect()
-    rows.sort(key=lambda r: (str(r["key"]), r["text"]))
+    # one text of each key, that of the smallest hash: repeated ids do not add rows
+    found = texts.join(F.broadcast(some), "key").groupBy("key", "label")
+    rows = found.agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).collect()
+    rows.sort(key=lambda r: (str(r["key"]), r["text"], r["label"]))
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), s)
 
 

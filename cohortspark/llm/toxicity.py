@@ -201,11 +201,11 @@ class LabelModel:
 
 
 def _sums(model: LabelModel, pairs: bool, guess: float):
-    """Per task: expected votes by class, and the classes' sizes; with ``pairs`` also the counts of co-votes."""
+    """Per task: expected votes by class, and the classes' sizes; with ``pairs`` also the expected co-votes by class."""
     n = len(model.yes) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        single, double = np.zeros((2, n + 2)), np.zeros((n, n) if pairs else (0, 0))
+        single, double = np.zeros((2, n + 2)), np.zeros((2, n, n) if pairs else (2, 0, 0))
         for batch in batches:
             p = _clamped(model.posterior(batch["votes"].tolist()), batch["known"])
             # a guessed row weighs less than a known one, so that guesses do not confirm themselves
@@ -216,12 +216,29 @@ def _sums(model: LabelModel, pairs: bool, guess: float):
                 single[0, at] += w * x
                 single[1, at] += w * (1 - x)
                 if pairs and len(v):
-                    double[np.ix_(at, at)] += 1
+                    double[0][np.ix_(at, at)] += w * x
+                    double[1][np.ix_(at, at)] += w * (1 - x)
         yield blocks(np.concatenate([single.ravel(), double.ravel()]), TaskContext.get().partitionId())
 
     return run
 
 
+def overlap(both: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How much two voters say the same beyond chance, from 0 to 1: found inside each class, then averaged by the classes' co-votes.
+
+    ``both`` holds the expected co-votes of every pair by class, ``sizes`` the expected rows of a class with the same row weights. Voters
+    that are independent inside the classes have none, however often a class makes both speak.
+    """
+    total, seen = np.zeros(both.shape[1:]), np.zeros(both.shape[1:])
+    for votes, size in zip(both, sizes, strict=True):
+        alone = np.maximum(np.diag(votes), 1e-9)
+        chance = np.outer(alone, alone) / max(size, 1e-9)
+        beyond = (votes - chance) / np.maximum(np.sqrt(np.outer(alone, alone)) - chance, 1e-9)
+        total += votes * beyond.clip(0, 1)
+        seen += votes
+    return total / np.maximum(seen, 1e-9)
+
+
 def label_model(votes: DataFrame, yes: np.ndarray, no: np.ndarray, prior: float, s: Settings = Settings()) -> LabelModel:
     """Estimated on ``votes`` (a written table: votes, known label or null), from first guesses of the rates.
 
@@ -239,11 +256,7 @@ def label_model(votes: DataFrame, yes: np.ndarray, no: np.ndarray, prior: float,
         if toxic + clean == 0:
             break
         if turn == 0:  # the co-votes give the overlaps that all rounds use
-            both = total[2 * (n + 2) :].reshape(n, n)
-            alone = np.maximum(np.diag(both), 1e-9)
-            chance = np.outer(alone, alone) / (toxic + clean)
-            overlap = (both - chance) / np.maximum(np.sqrt(np.outer(alone, alone)) - chance, 1e-9)
-            model.overlap = overlap.clip(0, 1)
+            model.overlap = overlap(total[2 * (n + 2) :].reshape(2, n, n), single[:, n + 1])
             np.fill_diagonal(model.overlap, 1)
             continue
         # first guesses count as pseudo-observations, so that a voter that never speaks keeps its rates
@@ -290,7 +303,9 @@ def score(
     teach = teach.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") != 0).cast("int").alias("y"))
     picked = [teach.where(F.col("y") == y).orderBy(F.xxhash64("key")).limit(most) for y, most in ((1, s.toxic), (0, s.clean))]
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "key").collect()
+    # one text of each key, that of the smallest hash: repeated ids do not add rows
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "key").groupBy("key", "y")
+    rows = found.agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).collect()
     sample = sorted((r["text"], r["y"]) for r in rows)
     voters, yes, no = mine(sample, s)
     rates = teach.agg(F.avg("y")).first()[0]

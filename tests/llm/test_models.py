@@ -190,3 +190,27 @@ def test_gru_trains_all_tokens_whatever_the_lengths():
     first = np.array([0, 0, 301, 302, 310, 310, 355])
     assert model.train(rng.integers(0, 23, 355), first) == 355 and all(np.isfinite(v).all() for v in model.p.values())
     assert model.train(np.zeros(0, np.int64), np.array([0, 0])) == 0
+
+
+def test_overlap_is_counted_inside_the_classes():
+    """Voters that only share their class have no overlap, voters that copy each other have all of it."""
+    rng = np.random.default_rng(4)
+    toxic = rng.random(40_000) < 0.2
+    rates = np.where(toxic, 0.6, 0.01)
+    votes = np.column_stack([rng.random(40_000) < rates for _ in range(3)])
+    votes = np.column_stack([votes, votes[:, 0]]).astype(float)
+    both = np.stack([votes[k].T @ votes[k] for k in (toxic, ~toxic)])
+    got = toxicity.overlap(both, np.array([toxic.sum(), (~toxic).sum()], dtype=float))
+    assert got[0, 3] == pytest.approx(1) and got[0, 1] < 0.05 and got[1, 2] < 0.05
+    assert toxicity.overlap(np.zeros((2, 2, 2)), np.zeros(2)).tolist() == [[0, 0], [0, 0]]
+
+
+def test_repeated_ids_add_no_rows_to_the_sample(spark, monkeypatch):
+    """A labelled id on thousands of rows sends one text to the driver."""
+    docs = spark.createDataFrame([(1, f"text {k % 5}") for k in range(3000)] + [(2, "other words"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(subwords, "train", lambda texts, marks, s: seen.append((texts, marks.tolist())))
+    subwords.fit(docs, labels, "quality", F.lit(True), "doc_id")
+    (texts, marks), = seen
+    assert len(texts) == 3 and marks == [1, 0, 0] and texts[0].startswith("text ") and texts[1:] == ["other words", ""]
