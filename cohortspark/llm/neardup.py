@@ -1,8 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the weighted set of its five-word shingles: term frequency times a damped inverse document frequency (1 to 2). Document
-frequencies are counted over all documents in hashed buckets, so what reaches the driver is bounded by the number
-of buckets (one per document, 2^16 to 2^22). Each text draws ``bands * rows`` consistent samples; texts that agree on all samples of a band
+A text is the weighted set of its five-word shingles: term frequency times a damped inverse document frequency. The exact document
+frequency n of every shingle counts that is found in at least a share of the corpus (one part in ``heavy`` of all its shingles, so there are
+at most ``heavy`` such); rarer ones all weigh as if found at that share, ``1 + damping``, and one found in all documents weighs 1. The
+frequencies take two passes without a shuffle of shingles: a sketch of counts from above that leaves none of them out, then the exact counts of
+those that it admits. Each text draws ``bands * rows`` consistent samples; texts that agree on all samples of a band
 share a bucket and are candidates. Exact copies are found by their digest and need no candidates.
 
 Candidates are not expanded to all pairs of a bucket. First each text is compared with one leader, the smallest text of all its buckets,
@@ -36,6 +38,7 @@ from cohortspark.operators.relational import heavy_join
 from cohortspark.session import staged
 
 _PARTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+_COUNTS = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,10 @@ class Settings:
     bands: int = 20
     rows: int = 5
     seed: int = 5
+    #: most shingles that weigh less than the rare ones, entries of the sketch that finds them, weight of a rare shingle over 1
+    heavy: int = 1 << 16
+    counters: int = 1 << 18
+    damping: float = 0.25
     #: entries of the random tables of the samples, groups of a sketch, texts of a tile
     table: int = 1 << 14
     groups: int = 256
@@ -55,48 +62,122 @@ class Settings:
     sent: int = 2_000_000
 
 
-def shingles(texts: Texts, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, term frequency) of the shingles, each once per text, texts in order."""
+def places(texts: Texts, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the shingles at all their places."""
     text, found = texts.windows(s.words)
     short = np.flatnonzero((texts.n_words > 0) & (texts.n_words < s.words))
     if len(short):  # the whole text is one shingle
         words, first = texts.words, texts.first_word
         whole = [mix(np.add.reduce(words[first[i] : first[i + 1]] * np.arange(1, first[i + 1] - first[i] + 1, dtype=np.uint64), keepdims=True) + np.uint64(first[i + 1] - first[i])) for i in short]
         text, found = np.concatenate([text, short]), np.concatenate([found, *whole])
+    return text, found
+
+
+def _once(text: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each shingle of each text stands first, how often it does), texts in order."""
     # one sort by a key that mixes in the text; the keys of a text are put together again after it
     key = mix(found + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     _, at, tf = np.unique(key, return_index=True, return_counts=True)
     order = np.argsort(text[at], kind="stable")
-    at, tf = at[order], tf[order]
+    return at[order], tf[order]
+
+
+def shingles(texts: Texts, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, term frequency) of the shingles, each once per text, texts in order."""
+    text, found = places(texts, s)
+    at, tf = _once(text, found)
     return text[at], found[at], tf
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def _bucket(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places in a table of ``size``, a power of two."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Rarity:
+    """Weights of shingles: those of ``hashes`` (sorted) have their own, all others ``rare``."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    rare: float
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        out = np.full(len(found), self.rare, dtype=np.float32)
+        if len(self.hashes):
+            known = np.zeros(1 << 20, dtype=bool)  # a quick test before the exact search
+            known[_bucket(self.hashes, len(known))] = True
+            may = np.flatnonzero(known[_bucket(found, len(known))])
+            at = np.searchsorted(self.hashes, found[may]).clip(0, len(self.hashes) - 1)
+            hit = self.hashes[at] == found[may]
+            out[may[hit]] = self.weights[at[hit]]
+        return out
 
 
-def _counted(bits: int, s: Settings):
-    """Document frequencies by bucket, summed over what a task reads."""
+def _tallied(s: Settings):
+    """Shingles by bucket at all their places, summed over what a task reads: never less than a shingle's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(s.counters, dtype=np.int64)
         for batch in batches:
             column = batch.column(0)
             for a, b in pieces(column):
-                _, found, _ = shingles(Texts.of(column.slice(a, b - a)), s)
-                total += np.bincount(_bucket(found, bits), minlength=1 << bits)
-        yield pa.RecordBatch.from_pandas(blocks(total, TaskContext.get().partitionId()), _PARTS, preserve_index=False)
+                _, found = places(Texts.of(column.slice(a, b - a)), s)
+                total += np.bincount(_bucket(found, s.counters), minlength=s.counters)
+        yield pa.RecordBatch.from_pandas(blocks(total, TaskContext.get().partitionId(), kind=np.float32), _PARTS, preserve_index=False)
 
     return run
 
 
-def idf_table(docs: DataFrame, text: str, documents: int, s: Settings = Settings()) -> np.ndarray:
-    """1 + ln((N+1)/(n+1)) / ln(N+1) per bucket, at least 1: the shingle's documents n of N, in hashed buckets."""
-    bits = int(np.clip(np.ceil(np.log2(max(documents, 1) + 1)), 16, 22))
-    total = added(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit(""))).mapInArrow(_counted(bits, s), PARTS))
-    total = total if len(total) else np.zeros(1 << bits)
-    idf = 1 + (np.log(documents + 1) - np.log(total + 1)) / max(np.log(documents + 1), 1e-9)
-    return idf.clip(1, 2).astype(np.float32)
+def _counted(admitted: bytes, s: Settings):
+    """Document frequencies of the admitted shingles in what a task reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.unpackbits(np.frombuffer(admitted, dtype=np.uint8)).astype(bool)
+        keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def put_together() -> None:
+            nonlocal keys, n
+            more, count = np.unique(np.concatenate(held), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, count]), len(keys)).astype(np.int64)
+            held.clear()
+
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in pieces(column):
+                text, found = places(Texts.of(column.slice(a, b - a)), s)
+                some = open_[_bucket(found, s.counters)]
+                text, found = text[some], found[some]
+                held.append(found[_once(text, found)[0]])
+                if sum(map(len, held)) > 1_000_000:
+                    put_together()
+        if held:
+            put_together()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], schema=_COUNTS)
+
+    return run
+
+
+def rarity(docs: DataFrame, text: str, documents: int, s: Settings = Settings()) -> Rarity:
+    """1 + damping * ln((N+1)/(n+1)) / ln((N+1)/(m+1)), from 1 to 1 + damping: the shingle's documents n of N, at least the share m.
+
+    ``m`` is the places of all shingles over ``heavy`` (at least 1). At most ``heavy`` shingles have m documents or more; their exact counts
+    reach the driver and all tasks.
+    """
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    total = added(texts.mapInArrow(_tallied(s), PARTS), kind=np.float32)
+    share = max(1.0, float(total.sum(dtype=np.float64)) / s.heavy)
+    # sums of 32-bit numbers may fall short by some parts in ten million
+    admitted = total >= share * (1 - 1e-4) if len(total) else np.zeros(s.counters, dtype=bool)
+    counts = texts.mapInArrow(_counted(np.packbits(admitted).tobytes(), s), "shingle bigint, n bigint")
+    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= share).toPandas()
+    hashes, n = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.float64)
+    order = np.argsort(hashes)
+    most = max(np.log((documents + 1) / (share + 1)), np.log(2))
+    weights = 1 + s.damping * (np.log((documents + 1) / (n + 1)) / most).clip(0, 1)
+    return Rarity(hashes[order], weights[order].astype(np.float32), 1 + s.damping)
 
 
 def _tables(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,15 +223,14 @@ def sample(text: np.ndarray, found: np.ndarray, weight: np.ndarray, tables, s: S
     return text[first], keys
 
 
-def _signed(idf: bytes, s: Settings):
+def _signed(idf: Rarity, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, tables = np.frombuffer(idf, dtype=np.float32), _tables(s)
-        bits = len(weights).bit_length() - 1
+        tables = _tables(s)
         for batch in batches:
             column = batch.column(2)
             for a, b in pieces(column, 1_500_000):
                 text, found, tf = shingles(Texts.of(column.slice(a, b - a)), s)
-                rows, keys = sample(text, found, tf * weights[_bucket(found, bits)], tables, s)
+                rows, keys = sample(text, found, tf * idf.of(found), tables, s)
                 sizes = np.zeros(b - a, dtype=np.int32)
                 sizes[rows] = s.bands
                 bands = pa.ListArray.from_arrays(
@@ -163,18 +243,16 @@ def _signed(idf: bytes, s: Settings):
     return run
 
 
-def _sketched(idf: bytes, s: Settings):
+def _sketched(idf: Rarity, s: Settings):
     """Per text: shingle weights summed in hashed groups, rounded up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.frombuffer(idf, dtype=np.float32)
-        bits = len(weights).bit_length() - 1
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in pieces(column):
                 text, found, tf = shingles(Texts.of(column.slice(a, b - a)), s)
                 at = text * s.groups + (found % np.uint64(s.groups)).astype(np.int64)
-                total = np.bincount(at, tf * weights[_bucket(found, bits)], (b - a) * s.groups).clip(0, 60_000)
+                total = np.bincount(at, tf * idf.of(found), (b - a) * s.groups).clip(0, 60_000)
                 low = total.astype(np.float16)
                 up = np.where(low < total, np.nextafter(low, np.float16(np.inf)), low).reshape(b - a, s.groups)
                 yield pa.RecordBatch.from_arrays(
@@ -264,22 +342,20 @@ def _similar_sets(text: np.ndarray, found: np.ndarray, weight: np.ndarray, n: in
     return (whole > 0) & (common >= similarity * whole * (1 - 1e-6))
 
 
-def _verifying(idf: bytes, s: Settings):
+def _verifying(idf: Rarity, s: Settings):
     """The similar pairs of rows (a, part, id, text) sorted by (a, part, lead first): each text against the last lead before it.
 
     A lead's shingles are computed once for all the texts that follow it; they are carried over to the next batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.frombuffer(idf, dtype=np.float32)
-        bits = len(weights).bit_length() - 1
         carried = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
         for whole in batches:
             for x, y in pieces(whole.column(whole.schema.get_field_index("text"))):
                 part = whole.slice(x, y - x)
                 a, ids, lead = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("a", "id", "lead"))
                 text, found, tf = shingles(Texts.of(part.column(part.schema.get_field_index("text"))), s)
-                weight = (tf * weights[_bucket(found, bits)]).astype(np.float64)
+                weight = (tf * idf.of(found)).astype(np.float64)
                 first = np.searchsorted(text, np.arange(len(ids) + 1))
                 # row 0 stands for the carried lead
                 found, weight = np.concatenate([carried[0], found]), np.concatenate([carried[1], weight])
@@ -345,7 +421,7 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(known.unionByName(lone))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Rarity, s: Settings) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole texts; a written table.
 
     Texts are dealt to their partner ``a`` in parts of about ``s.group`` texts, so a text travels once per pair and the partner's once
@@ -357,7 +433,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings)
     leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("lead"))
     rows = dealt.unionByName(leads).join(texts, "id").select("a", "part", "lead", "id", "text")
     met = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
-    return staged(met.mapInArrow(_verifying(idf.tobytes(), s), "a bigint, b bigint"))
+    return staged(met.mapInArrow(_verifying(idf, s), "a bigint, b bigint"))
 
 
 def _may_match(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
@@ -377,7 +453,7 @@ def _apart(pairs: DataFrame, labels: DataFrame, as_labels: bool = False) -> Data
     return both.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")) if as_labels else both.select("a", "b")
 
 
-def _with_leaders(entries: DataFrame, texts: DataFrame, sketches: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
+def _with_leaders(entries: DataFrame, texts: DataFrame, sketches: DataFrame, idf: Rarity, s: Settings) -> DataFrame:
     """Labels after every text was compared with the leaders of its buckets, as far as their classes differ.
 
     First each text meets one leader, the smallest of all its buckets, which joins most groups at once; these links are a forest.
@@ -442,7 +518,7 @@ def _across(entries: DataFrame, labels: DataFrame, sketches: DataFrame, s: Setti
     return sorted_.mapInPandas(_tiled(s), "a bigint, b bigint").distinct()
 
 
-def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame | None:
+def links(nodes: DataFrame, docs: DataFrame, idf: Rarity, s: Settings = Settings()) -> DataFrame | None:
     """(id, label) of all nodes with a similar other text; ``nodes`` holds (node, digest, bands), ``docs`` (digest, text)."""
     signed = nodes.select(F.col("node").alias("id"), "bands")
     entries = signed.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "id")
@@ -456,7 +532,7 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, s: Settings = Sett
     wanted = nodes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("digest", F.col("node").alias("id"))
     held = docs.join(F.broadcast(wanted) if n <= s.sent else wanted, "digest").select("id", "text")
     texts = staged(held.groupBy("id").agg(F.first("text").alias("text")))
-    sketches = staged(texts.mapInArrow(_sketched(idf.tobytes(), s), "id bigint, sketch binary"))
+    sketches = staged(texts.mapInArrow(_sketched(idf, s), "id bigint, sketch binary"))
     labels = _with_leaders(entries, texts, sketches, idf, s)
     wider = sketches.join(signed, "id")
     return merged(labels, _verified(_across(entries, labels, wider, s), texts, idf, s))
@@ -469,10 +545,10 @@ def families(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settin
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.md5("text"))
-    idf = idf_table(rows, "text", rows.count(), s)
+    idf = rarity(rows, "text", rows.count(), s)
     kind = rows.schema["id"].dataType.simpleString()
     signed = rows.select("id", "digest", "text").mapInArrow(
-        _signed(idf.tobytes(), s), f"id {kind}, digest string, bands array<bigint>"
+        _signed(idf, s), f"id {kind}, digest string, bands array<bigint>"
     )
     signed = staged(signed)
     nodes = signed.groupBy("digest").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))

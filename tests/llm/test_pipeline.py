@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortspark.llm import neardup, queries
+from cohortspark.llm.textnum import Texts
 
 SF = "/root/testdata/sf0.01"
 BASE = "the quick brown fox jumps over the lazy dog and runs far away into the deep green forest of the north today with all of its many good friends"
 
 
-def plain_classes(rows: list[tuple]) -> dict[int, int]:
-    """Smallest connected id by all pairs of weighted Jaccard similarity, every shingle of weight one."""
+def plain_shingles(text: str | None) -> Counter:
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+
+
+def plain_weights(sets: list[Counter], s: neardup.Settings) -> dict[tuple, float]:
+    """The damped inverse document frequency of every shingle, counted one by one."""
+    n = Counter(shingle for x in sets for shingle in x)
+    share = max(1.0, sum(sum(x.values()) for x in sets) / s.heavy)
+    most = max(math.log((len(sets) + 1) / (share + 1)), math.log(2))
+    weight = {k: 1 + s.damping * min(1, math.log((len(sets) + 1) / (m + 1)) / most) for k, m in n.items()}
+    return {k: w if n[k] >= share else 1 + s.damping for k, w in weight.items()}
+
+
+def plain_classes(rows: list[tuple], s: neardup.Settings = neardup.Settings()) -> dict[int, int]:
+    """Smallest connected id by the weighted Jaccard similarity of all pairs that share a shingle."""
     sets, first = {}, {}
     for key, text in sorted(rows):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[key] = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+        sets[key] = plain_shingles(text)
         first.setdefault(text or "", key)
+    weight = plain_weights(list(sets.values()), s)
     root = {key: first[text or ""] for key, text in rows}
 
     def top(x):
@@ -30,32 +48,62 @@ def plain_classes(rows: list[tuple]) -> dict[int, int]:
         return x
 
     holders: dict = {}
-    for key, s in sets.items():
-        for shingle in s:
+    for key, found in sets.items():
+        for shingle in found:
             holders.setdefault(shingle, []).append(key)
-    met = Counter()
+    met = set()
     for keys in holders.values():
         for i, a in enumerate(keys):
-            for b in keys[i + 1 :]:
-                met[a, b] += 1
+            met.update((a, b) for b in keys[i + 1 :])
+    size = {key: sum(weight[k] * n for k, n in found.items()) for key, found in sets.items()}
     for a, b in met:
-        common = sum((sets[a] & sets[b]).values())
-        if common >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - common):
+        common = sum(weight[k] * n for k, n in (sets[a] & sets[b]).items())
+        if common >= 0.8 * (size[a] + size[b] - common):
             x, y = sorted((top(a), top(b)))
             root[y] = x
     return {key: top(key) for key in root}
 
 
 def test_near_duplicates_of_the_table_against_all_pairs(spark):
-    """Recall and precision on the table: pairs clearly over the bound share a class, and classes hold no far texts."""
+    """Recall and precision on the table: similar pairs share a class, and no class joins texts without a chain of them."""
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = plain_classes(rows)
     got = {r.doc_id: r.class_id for r in queries.op8_minhash_neardup(spark, SF).collect()}
     assert got.keys() == want.keys()
     linked = [k for k, c in want.items() if k != c]
-    # the weights differ by the damped document frequency, so single pairs next to the bound may fall either way
-    assert sum(got[k] == got[want[k]] for k in linked) >= 0.95 * len(linked)
-    assert sum(want[k] == want[c] for k, c in got.items() if k != c) >= 0.95 * sum(k != c for k, c in got.items())
+    assert sum(got[k] == got[want[k]] for k in linked) >= 0.99 * len(linked)
+    assert all(want[k] == want[c] for k, c in got.items())
+
+
+@pytest.mark.parametrize("heavy", [1 << 16, 1 << 10, 16])
+def test_document_frequencies_are_exact(spark, documents, heavy):
+    """Every shingle's weight against a plain count, with few and with many shingles above the share, on the table and on odd texts."""
+    s = neardup.Settings(heavy=heavy, counters=1 << 13)
+    for df in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), documents):
+        texts = [r.text for r in df.select("text").collect()]
+        weight = plain_weights([plain_shingles(t) for t in texts], s)
+        got = neardup.rarity(df, "text", len(texts), s)
+        assert len(got.hashes) <= heavy
+        for text in texts:
+            _, found, tf = neardup.shingles(Texts.of(pa.array([text], pa.string())), s)
+            mine = sorted(zip(got.of(found).tolist(), tf.tolist(), strict=True))
+            plain = sorted((weight[k], n) for k, n in plain_shingles(text).items())
+            assert len(mine) == len(plain)
+            assert np.allclose(mine, plain, atol=1e-5) if plain else not mine
+
+
+def test_rarity_without_documents(spark, nothing):
+    got = neardup.rarity(nothing, "text", 0)
+    assert len(got.hashes) == 0 and got.of(np.array([5], dtype=np.uint64)).tolist() == [1.25]
+
+
+def test_near_copies_of_a_hot_group_stay_linked(spark):
+    """Copies that a third of all documents resemble weigh little; the damping keeps a copy with one word in sixty changed."""
+    words = [f"{w}{i}" for i, w in enumerate(BASE.split() * 3)]
+    rows = [(i, " ".join([*words[: 7 + i % 60], f"x{i}", *words[8 + i % 60 :]])) for i in range(1, 101)]
+    rows += [(i, " ".join(f"y{i * 100 + k}" for k in range(60))) for i in range(200, 400)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {got[i] for i in range(1, 101)} == {1} and all(got[i] == i for i in range(200, 400))
 
 
 def test_one_row_of_each_family_stays(spark):
