@@ -86,8 +86,9 @@ def train(docs: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
                 one, count = np.unique(found, return_counts=True)
                 ids.append(one)
                 weights.append(count / len(found))
-        ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-        weights = np.concatenate(weights) if len(ids) else np.zeros(0)
+        # features of two kinds may share a place: its weights are added, so that a step moves it once by both
+        ids, place = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *ids]), return_inverse=True)
+        weights = np.bincount(place, np.concatenate([np.zeros(0), *weights]), len(ids))
         rows.append((ids.astype(np.int32), weights.astype(np.float32)))
     vectors = rng.uniform(-1 / s.width, 1 / s.width, (size, s.width)).astype(np.float32)
     out = np.zeros((2, s.width), dtype=np.float32)
@@ -106,7 +107,6 @@ def train(docs: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
             step = wrong @ out
             out -= rate * (np.outer(wrong, hidden) + s.decay * out)
             bias -= 0.1 * rate * wrong
-            # features of two kinds may share a place: np.add.at would add both; the kinds' places rarely meet
             vectors[ids] -= rate * np.outer(weights, step)
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
