@@ -143,8 +143,8 @@ def dependency_layers(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rated(k: float, start: float, scale: float):
-    """Ratings after a block's contests: those of one layer share no player, so a layer is one vector step."""
+def _rated(k: float, start: float, scale: float, block: int):
+    """Ratings after a step's contests, block by block: those of one layer share no player, so a layer is one vector operation."""
 
     def run(contests: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         contests = contests.sort_values("_n")
@@ -153,14 +153,16 @@ def _rated(k: float, start: float, scale: float):
         one, two = number[: len(contests)], number[len(contests) :]
         now = pd.Series(known["rating"].to_numpy(), index=pd.Index(known["player"].to_numpy(), dtype=players.dtype))
         rating = now.reindex(players).fillna(start).to_numpy(dtype=np.float64, copy=True)
-        layer = dependency_layers(one, two)
-        order = np.argsort(layer, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(layer[order])) + 1):
-            a, b = one[part], two[part]
-            move = k * (1 - 1 / (1 + 10.0 ** ((rating[b] - rating[a]) / scale)))
-            move[a == b] = 0  # nobody wins against themselves
-            rating[a] += move
-            rating[b] -= move
+        for first in range(0, len(contests), block):
+            left, right = one[first : first + block], two[first : first + block]
+            layer = dependency_layers(left, right)
+            order = np.argsort(layer, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(layer[order])) + 1):
+                a, b = left[part], right[part]
+                move = k * (1 - 1 / (1 + 10.0 ** ((rating[b] - rating[a]) / scale)))
+                move[a == b] = 0  # nobody wins against themselves
+                rating[a] += move
+                rating[b] -= move
         group = contests["_g"].iloc[0] if len(contests) else None
         return pd.DataFrame({"_g": [group] * len(players), "player": players, "rating": rating})
 
@@ -177,14 +179,16 @@ def sequential_ratings(
     start: float = 1000.0,
     scale: float = 400.0,
     block: int = 100_000,
+    held_rows: int = 100_000,
 ) -> DataFrame:
     """(group, player, wins, losses, rating): Elo's system, one contest after the other as ``number`` (from 1 per group) says.
 
     A contest depends on the latest earlier contests of its two players, so a group's sequence cannot be cut at will. It is walked in
-    blocks of ``block`` contests per group: a step is one join of a block's contests with its players' ratings, all groups side by
-    side, and a task holds one group's block, never a group. Inside a block contests fall into dependency layers; a layer's
-    contests share no player and are rated together. Ratings are written after each step. The number of steps is the
-    largest group's contests over ``block``. Contests without a winner or loser are left out.
+    blocks of ``block`` contests per group, as many blocks in a step as hold ``held_rows`` contests (one at least): a step is one join of
+    its contests with their players' ratings, all groups side by side, and a task holds one group's step, never a group. Inside a
+    block contests fall into dependency layers; a layer's contests share no player and are rated together. Ratings are written after each
+    step. The number of steps is the largest group's contests over the larger of ``block`` and ``held_rows``, so small blocks do not
+    multiply Spark jobs. Contests without a winner or loser are left out.
     """
     spark = contests.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in contests.schema.fields}
@@ -196,7 +200,9 @@ def sequential_ratings(
         F.col(winner).alias("_w"),
         F.col(loser).alias("_l"),
     )
-    held = staged(whole.withColumn("_b", F.floor((F.col("_n") - 1) / block)), by=["_b"])
+    # whole blocks, so that the cuts inside a step are those of the blocks
+    step = block * max(1, held_rows // block)
+    held = staged(whole.withColumn("_b", F.floor((F.col("_n") - 1) / step)), by=["_b"])
     sides = F.array(
         F.struct(F.col("_w").alias("player"), F.lit(1).alias("won")), F.struct(F.col("_l").alias("player"), F.lit(0).alias("won"))
     )
@@ -212,7 +218,7 @@ def sequential_ratings(
         now = held.filter(F.col("_b") == b)
         players = both.filter(F.col("_b") == b).select("_g", "player").distinct()
         known = natural_join(ratings.select("_g", "player", "rating"), players, "left_semi", ["_g", "player"])
-        new = now.groupBy("_g").cogroup(known.groupBy("_g")).applyInPandas(_rated(float(k), float(start), float(scale)), made)
+        new = now.groupBy("_g").cogroup(known.groupBy("_g")).applyInPandas(_rated(float(k), float(start), float(scale), block), made)
         ratings = staged(
             natural_join(ratings, new.withColumnRenamed("rating", "_new"), "left", ["_g", "player"])
             .withColumn("rating", F.coalesce("_new", "rating"))

@@ -94,3 +94,20 @@ def test_sequential_ratings_of_nothing(frame):
     df = frame("g string, n int, w bigint, l bigint", [])
     out = dyads.sequential_ratings(df, "g", "w", "l", "n")
     assert out.columns == ["g", "player", "wins", "losses", "rating"] and out.count() == 0
+
+
+@pytest.mark.parametrize("held_rows", [1, 30, 100_000])
+def test_small_blocks_share_a_step(frame, held_rows, monkeypatch):
+    """The number of written steps follows the rows a step may hold, not the block; the ratings stay those of the sequence."""
+    rng = random.Random(held_rows)
+    contests = [("a", i + 1, f"p{rng.randrange(9)}", f"p{rng.randrange(9)}") for i in range(90)]
+    written = []
+    real = dyads.staged
+    monkeypatch.setattr(dyads, "staged", lambda df, by=(): written.append(1) or real(df, by))
+    df = frame("g string, n int, w string, l string", contests)
+    more = {} if held_rows == 100_000 else {"held_rows": held_rows}
+    got = {r.player: r.rating for r in dyads.sequential_ratings(df, "g", "w", "l", "n", block=7, **more).collect()}
+    # the contests, the first ratings, and one table a step
+    assert len(written) == 2 + {1: 13, 30: 4, 100_000: 1}[held_rows]
+    want = elo([(w, x) for _, _, w, x in contests])
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
