@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.dates import epoch_day
 from cohortspark.functions.nulls import not_isin_safe
 from cohortspark.operators.relational import keep_first, lookup, union_distinct
+from cohortspark.session import staged
 
 #: cell widths in days; an interval is stored at the first width that covers it with few cells, and the
 #: last covers the whole calendar with few
@@ -25,6 +26,10 @@ def _cell(day: Column, width: int) -> Column:
     return F.floor(epoch_day(day) / F.lit(width)).cast("int")
 
 
+def _code(cell: Column, level: Column, widths: Sequence[int]) -> Column:
+    return cell * F.lit(len(widths)) + level
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -36,10 +41,11 @@ def interval_join(
 ) -> DataFrame:
     """Every (point, interval) pair with equal keys and ``start <= day <= end``.
 
-    The equi key is (keys, level, cell) rather than keys alone: a hot key spreads over its calendar
+    The equi key is (keys, level and cell) rather than keys alone: a hot key spreads over its calendar
     cells, and a point meets only intervals that touch its own cell. Short intervals live at the fine
     level, long or open-ended ones at the coarse level, so an interval never becomes many rows and
-    every pair is found exactly once.
+    every pair is found exactly once. A point becomes one row per level; ``cell_widths`` finds the
+    levels that intervals need.
     """
     length = F.datediff(end, start)
     level = F.lit(len(widths) - 1)
@@ -51,32 +57,64 @@ def interval_join(
         own = F.when(
             F.col("_level") == i, F.sequence(_cell(F.col(start), widths[i]), _cell(F.col(end), widths[i]))
         ).otherwise(own)
-    stored = (
-        intervals.filter(F.col(start) <= F.col(end))
-        .withColumn("_level", level)
-        .withColumn("_cell", F.explode(own))
-    )
-    cells = [
-        F.struct(F.lit(i).alias("_level"), _cell(F.col(day), w).alias("_cell"))
-        for i, w in enumerate(widths)
-    ]
-    probes = points.filter(F.col(day).isNotNull()).select("*", F.inline(F.array(*cells)))
-    on = [*keys, "_level", "_cell"]
+    stored = intervals.filter(F.col(start) <= F.col(end)).withColumn("_level", level).withColumn("_cell", F.explode(own))
+    dated = points.filter(F.col(day).isNotNull())
+    if len(widths) == 1:
+        stored, probes = stored.drop("_level"), dated.withColumn("_cell", _cell(F.col(day), widths[0]))
+    else:
+        # level and cell in one number: shuffled and sorted rows are a column shorter
+        stored = stored.withColumn("_cell", _code(F.col("_cell"), F.col("_level"), widths)).drop("_level")
+        cells = [_code(_cell(F.col(day), w), F.lit(i), widths) for i, w in enumerate(widths)]
+        probes = dated.withColumn("_cell", F.explode(F.array(*cells)))
     return (
-        probes.join(stored, on, "inner")
+        probes.join(stored, [*keys, "_cell"], "inner")
         .filter((F.col(start) <= F.col(day)) & (F.col(day) <= F.col(end)))
-        .drop("_level", "_cell")
+        .drop("_cell")
     )
 
 
+def cell_widths(intervals: DataFrame, start: str, end: str) -> tuple[int, ...]:
+    """Widths for ``interval_join`` that suit these intervals: as few levels as store each in few cells; one pass, 24 counts at most.
+
+    A point becomes one row per level, so levels that no interval needs only cost. The finest cell is about as wide as the middle
+    interval (64 days at least), so most intervals touch one or two cells.
+    """
+    days = F.datediff(end, start) + 1
+    found = intervals.filter(F.col(start) <= F.col(end)).groupBy(F.length(F.bin(days)).alias("bits")).count().collect()
+    counts = sorted((r["bits"], r["count"]) for r in found)
+    total, before, middle = sum(n for _, n in counts), 0, CELL_WIDTHS[0]
+    for bits, n in counts:
+        before += n
+        if 2 * before >= total:
+            middle = max(CELL_WIDTHS[0], 1 << bits)
+            break
+    longest = 1 << (counts[-1][0] if counts else 0)
+    widths = [middle]
+    while longest > widths[-1] * CELLS_PER_INTERVAL:
+        widths.append(64 * widths[-1])
+    return tuple(widths)
+
+
 def interval_membership(
-    points: DataFrame, intervals: DataFrame, key: str, day: str, start: str, end: str, keep: str = "all"
+    points: DataFrame,
+    intervals: DataFrame,
+    key: str,
+    day: str,
+    start: str,
+    end: str,
+    keep: str = "all",
+    unique: bool = False,
 ) -> DataFrame:
     """Attributes of the intervals each distinct (key, day) falls in.
 
-    ``keep='first'|'last'`` leaves one row on a change day: the interval that started earlier or later.
+    ``keep='first'|'last'`` leaves one row on a change day: the interval that started earlier or later. ``unique`` says that
+    the points hold each (key, day) once already, which saves the shuffle that would make them so.
     """
-    found = interval_join(points.select(key, day).distinct(), intervals, [key], day, start, end)
+    # read for its lengths, then joined
+    intervals = staged(intervals)
+    widths = cell_widths(intervals, start, end)
+    wanted = points.select(key, day)
+    found = interval_join(wanted if unique else wanted.distinct(), intervals, [key], day, start, end, widths)
     if keep == "last":
         found = found.withColumn("_late", -epoch_day(F.col(start)))
         found = keep_first(found, [key, day], "_late").drop("_late")
@@ -150,10 +188,11 @@ def change_day_flag(
     points: DataFrame, membership: DataFrame, keys: Sequence[str], group: str, out: str = "change_day"
 ) -> DataFrame:
     """"Yes" where a (key, day) lies in more than one distinct group, else "No"."""
+    # more than one distinct group: the smallest and the largest differ; one shuffle instead of a distinct count's two
     doubled = (
         membership.groupBy(*keys)
-        .agg(F.count_distinct(group).alias("_groups"))
-        .filter(F.col("_groups") > 1)
+        .agg(F.min(group).alias("_least"), F.max(group).alias("_most"))
+        .filter(F.col("_least") != F.col("_most"))
         .select(*keys, F.lit("Yes").alias(out))
     )
     return lookup(points, doubled, list(keys)).fillna("No", subset=[out])

@@ -11,6 +11,7 @@ from cohortspark.operators.relational import lookup, natural_join
 from cohortspark.plans import roles
 from cohortspark.plans.registry import query
 from cohortspark.plans.roles import sql
+from cohortspark.session import staged
 
 SPAN = ("member_from", "member_to")
 
@@ -81,8 +82,9 @@ _CHANGE = """SELECT p.animal, p.day, CASE WHEN g.n > 1 THEN 'Yes' ELSE 'No' END
 
 @query("change_day_flag", sql(_CHANGE, "points", "membership"))
 def change_day_flag(spark, sf):
-    pts = roles.points(spark, sf)
-    where = intervals.interval_membership(pts, roles.membership(spark, sf), "animal", "day", *SPAN)
+    # used twice: written once, so that shipments are joined once
+    pts = staged(roles.points(spark, sf))
+    where = intervals.interval_membership(pts, roles.membership(spark, sf), "animal", "day", *SPAN, unique=True)
     return intervals.change_day_flag(pts, where, ["animal", "day"], "grp")
 
 

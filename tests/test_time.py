@@ -258,3 +258,53 @@ def test_slices_follow_the_data(spark):
     assert buckets.agg(F.max("count")).first()[0] < 150
     numbered = ordering.number_rows(ids, ["k"], ["i"], "n", width=width)
     assert [r.n for r in numbered.orderBy("i").collect()] == list(range(1, 2001))
+
+
+def generators(df) -> int:
+    """Generate nodes in the plan: one stores the intervals, one more would repeat the points."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+
+
+def test_points_become_one_row_for_intervals_of_one_level(spark):
+    """Points are not repeated for levels that no interval needs, and a flag takes one aggregation by day."""
+    from cohortspark.operators import profile
+
+    spans = spark.createDataFrame([("a", day(0), day(30), "g1"), ("a", day(30), day(2000), "g2")], "k string, s date, e date, g string")
+    points = spark.createDataFrame([("a", day(30)), ("a", day(31)), ("b", day(30))], "k string, d date")
+    where = intervals.interval_membership(points, spans, "k", "d", "s", "e", unique=True)
+    assert generators(where) == 1
+    assert sorted((r.d, r.g) for r in where.collect()) == [(day(30), "g1"), (day(30), "g2"), (day(31), "g2")]
+    flags = intervals.change_day_flag(points, where, ["k", "d"], "g")
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+    assert "distinct" not in flags._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.d, r.change_day) for r in flags.collect()) == [("a", day(30), "Yes"), ("a", day(31), "No"), ("b", day(30), "No")]
+    births = spark.createDataFrame([("a", day(20)), ("a", day(16)), ("a", day(15))], "k string, born date")
+    young = profile.young_count(points, births, ["k"], "d", "born")
+    assert generators(young) == 1
+    assert sorted((r.k, r.d, r.young) for r in young.collect()) == [("a", day(30), 2), ("a", day(31), 1), ("b", day(30), 0)]
+
+
+@pytest.mark.parametrize("lengths", [[0, 1, 5], [0, 40, 400, 3000], [1, 300, 90_000, 2_900_000]])
+def test_cell_widths_follow_the_intervals(spark, lengths):
+    rnd = random.Random(len(lengths))
+    least, last = dt.date(2000, 1, 1), dt.date(9999, 12, 31)
+    spans = []
+    for i in range(120):
+        s = least + dt.timedelta(days=rnd.randint(0, 3000))
+        n = rnd.choice(lengths)
+        spans.append(("hot" if i % 3 == 0 else f"k{i % 7}", s, last if n > (last - s).days else s + dt.timedelta(days=n), i))
+    spans += [("hot", least, None, 900), ("hot", least + dt.timedelta(days=9), least, 901)]
+    points = [("hot" if i % 3 == 0 else f"k{i % 7}", least + dt.timedelta(days=rnd.randint(-5, 6000))) for i in range(200)] + [("hot", last), ("hot", None)]
+    stored = spark.createDataFrame(spans, "k string, s date, e date, i int")
+    widths = intervals.cell_widths(stored, "s", "e")
+    longest = max((e - s).days for _, s, e, _ in spans if e and e >= s)
+    assert widths[-1] * intervals.CELLS_PER_INTERVAL >= longest
+    assert len(widths) == 1 or widths[-2] * intervals.CELLS_PER_INTERVAL <= 2 * longest
+    got = intervals.interval_membership(spark.createDataFrame(points, "k string, d date"), stored, "k", "d", "s", "e")
+    want = {(k, d, i) for k, d in points if d for j, s, e, i in spans if j == k and e and s <= d <= e}
+    assert sorted((r.k, r.d, r.i) for r in got.collect()) == sorted(want)
+
+
+def test_cell_widths_of_nothing(spark):
+    nothing = spark.createDataFrame([], "k string, s date, e date")
+    assert intervals.cell_widths(nothing, "s", "e") == intervals.CELL_WIDTHS[:1]
