@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import status
 from cohortspark.functions.dates import age, day_diff
 from cohortspark.functions.nulls import count_where
-from cohortspark.operators.intervals import interval_join
+from cohortspark.operators.intervals import CELL_WIDTHS, interval_join
 from cohortspark.operators.ordering import value_table
 from cohortspark.operators.relational import keep_first, lookup, natural_join
 
@@ -75,7 +75,8 @@ def young_count(
     wanted = points.select(*keys, day).distinct()
     spans = births.select(*keys, F.col(birth).alias("_born"), F.date_add(birth, max_age).alias("_until"))
     found = (
-        interval_join(wanted, spans, keys, day, "_born", "_until")
+        # all spans are of one length, so one level of cells holds them
+        interval_join(wanted, spans, keys, day, "_born", "_until", [max(CELL_WIDTHS[0], max_age)])
         .groupBy(*keys, day)
         .agg(F.count(F.lit(1)).alias(out))
     )

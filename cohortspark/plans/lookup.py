@@ -274,9 +274,9 @@ def _breeding(spark, sf):
     return ids.withColumn("founder", founder).join(firsts, "animal", "left")
 
 
-def _status(spark, sf):
+def _status(spark, sf, points=None):
     return profile.status_at_date(
-        roles.points(spark, sf),
+        roles.points(spark, sf) if points is None else points,
         _breeding(spark, sf),
         "animal",
         "day",
@@ -407,16 +407,19 @@ def semester_status(spark, sf):
     ),
 )
 def lactation_status(spark, sf):
-    states = _status(spark, sf)
+    # used three times: written once, so that shipments are joined once
+    points = staged(roles.points(spark, sf))
+    states = _status(spark, sf, points)
     young = profile.young_count(
-        roles.points(spark, sf),
+        points,
         roles.litters(spark, sf).withColumnRenamed("day", "born"),
         ["animal"],
         "day",
         "born",
     )
+    # both joins by individual first: they share one shuffle
+    states = natural_join(states, roles.entity(spark, sf).select("animal", "sex"), "inner", "animal")
     rows = lookup(states, young, ["animal", "day"], "inner")
-    rows = natural_join(rows, roles.entity(spark, sf).select("animal", "sex"), "inner", "animal")
     label = labels.lactation_status(F.col("sex"), F.col("status"), F.col("young"))
     return rows.select("animal", "day", "young", label.alias("lactating"))
 
