@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.induced import Plan, suffix_array
-from cohortspark.llm.textnum import mix
+from cohortspark.llm.textnum import mix, pieces
 from cohortspark.session import staged
 
 _U = np.uint64
@@ -55,8 +55,11 @@ class Settings:
     shard: int = 48 << 20
     sorted: int = 2 << 20
     step: int = 1 << 20
-    #: places held by a task before they are sent
+    #: places held by a task before they are sent, and places of one row that is sent
     held: int = 1_500_000
+    row: int = 100_000
+    #: bytes of texts copied out of a batch at once
+    read: int = 8_000_000
     #: an anchor with more than this part of a shard's places is avoided; grams counted per task
     hot: float = 0.05
     counted: int = 4096
@@ -138,7 +141,7 @@ def _segments(texts: list[bytes], s: Settings) -> Iterator[list[tuple[int, int,
     for i, t in enumerate(texts):
         for a in range(0, max(len(t) - s.length + 1, 0), s.step):
             b = min(len(t), a + s.step + s.length - 1)
-            if size + b - a > 2 * s.step and group:
+            if size + b - a > s.step + s.length and group:
                 yield group
                 group, size = [], 0
             group.append((i, a, b))
@@ -149,6 +152,11 @@ def _segments(texts: list[bytes], s: Settings) -> Iterator[list[tuple[int, int,
 
 def _scanned(batch: pa.RecordBatch, rolling: Rolling, hot: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, region, id, tie, start, windows, lead) of the rows (id, tie, text) of a batch."""
+    for a, b in pieces(batch.column(2), s.read):
+        yield from _scanned_part(batch.slice(a, b - a), rolling, hot, s)
+
+
+def _scanned_part(batch: pa.RecordBatch, rolling: Rolling, hot: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
     ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
     for group in _segments(texts, s):
@@ -214,21 +222,31 @@ def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[~same], rows[elsewhere]
 
 
+def _taken(held: list[np.ndarray]) -> np.ndarray:
+    """What the list holds as one array; the list is emptied, so that nothing is kept twice."""
+    rows = np.concatenate(held)
+    held.clear()
+    return rows
+
+
 def _sent(shards: int, hot: bytes, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, avoid, held, size = Rolling(2 * s.step + s.length), np.frombuffer(hot, dtype=np.uint64), [], 0
+        rolling, avoid, held, size = Rolling(s.step + s.length), np.frombuffer(hot, dtype=np.uint64), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kept, repeats = combined(np.concatenate(held))
+            kept, repeats = combined(_taken(held))
             yield _by_document(1, repeats)
+            del repeats
             shard = (kept["anchor"] % _U(shards)).astype(np.int64)
             order = np.lexsort((kept["start"], kept["tie"], kept["id"], shard))
-            kept, shard = kept[order], shard[order]
+            shard = shard[order]
             first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-            cut = [*first.tolist(), len(shard)]
-            # column by column: neighbours are alike there, so the shuffle packs them better
-            data = [b"".join(np.ascontiguousarray(kept[n][a:b]).tobytes() for n, _ in FIELDS) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield _rows(0, shard[first], np.zeros(len(first)), np.zeros(len(first)), data)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True):
+                for at in range(a, b, s.row):
+                    part = kept[order[at : min(at + s.row, b)]]
+                    # column by column: neighbours are alike there, so the shuffle packs them better
+                    data = b"".join(np.ascontiguousarray(part[n]).tobytes() for n, _ in FIELDS)
+                    yield _rows(0, shard[a : a + 1], np.zeros(1), np.zeros(1), [data])
 
         for batch in batches:
             for found in _scanned(batch, rolling, avoid, s):
@@ -239,7 +257,7 @@ def _sent(shards: int, hot: bytes, s: Settings):
                 size += len(rows)
                 if size > s.held:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
@@ -273,7 +291,7 @@ def _counted(s: Settings):
     """The most frequent anchors of a task, one count per region that the task finds different."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, none = Rolling(2 * s.step + s.length), np.zeros(0, dtype=np.uint64)
+        rolling, none = Rolling(s.step + s.length), np.zeros(0, dtype=np.uint64)
         keys, counts = none, np.zeros(0, dtype=np.int64)
         for batch in batches:
             for anchor, region, *_ in _scanned(batch, rolling, none, s):

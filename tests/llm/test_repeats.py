@@ -118,3 +118,31 @@ def test_query_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = sorted((tuple(r) for r in op11_suffix_dedup(spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute([tuple(r) for r in rows], 100)
+
+
+def test_a_scan_holds_and_sends_bounded_parts(monkeypatch):
+    """Texts are copied out of a batch in parts, a numpy step stays near its size, and a shard's places go out in several rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(60)] + ["x" * 30_000]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], names=["id", "tie", "text"])
+    read, steps = [], []
+    part, regions = repeats._scanned_part, repeats.regions
+    monkeypatch.setattr(repeats, "_scanned_part", lambda b, *more: read.append(b.num_rows) or part(b, *more))
+    monkeypatch.setattr(repeats, "regions", lambda raw, *more: steps.append(len(raw)) or regions(raw, *more))
+
+    def places(s):
+        sent = list(repeats._sent(2, b"", s)(iter([batch])))
+        rows = [(r["shard"], repeats._unpacked(r["data"])) for b in sent for r in b.to_pylist() if r["kind"] == 0]
+        return sorted((shard, *p) for shard, data in rows for p in data.tolist()), max(len(data) for _, data in rows)
+
+    whole, _ = places(repeats.Settings())
+    read.clear(), steps.clear()
+    s = repeats.Settings(step=4_000, read=5_000, row=50)
+    cut, most = places(s)
+    assert most <= s.row and max(steps) <= s.step + s.length and len(read) > 4
+    # a long text is cut, and its windows stay the same
+    assert len(whole) > 10 * s.row and {p[0] for p in cut} == {0, 1}
+    short = [p for p in whole if p[3] < 60]
+    assert short == [p for p in cut if p[3] < 60]
