@@ -264,27 +264,47 @@ def _sent(shards: int, hot: bytes, s: Settings):
     return run
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    width = sum(np.dtype(t).itemsize for _, t in FIELDS)
-    n = len(data) // width
-    out, at = np.empty(n, dtype=PACKED), 0
+WIDTH = sum(np.dtype(t).itemsize for _, t in FIELDS)
+
+
+def _unpacked(data: bytes | pa.Buffer, keep: np.ndarray | None = None) -> np.ndarray:
+    """The places of a row, or those marked in ``keep``."""
+    n, at = len(data) // WIDTH, 0
+    out = np.empty(n if keep is None else int(keep.sum()), dtype=PACKED)
     for name, kind in FIELDS:
-        out[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
+        column = np.frombuffer(data, dtype=kind, count=n, offset=at)
+        out[name] = column if keep is None else column[keep]
         at += n * np.dtype(kind).itemsize
     return out
 
 
-def _matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's repeats by document, and the regions whose anchors have several."""
-    found = np.concatenate([_unpacked(d) for d in rows["data"]])
-    found = found[np.argsort(found["anchor"], kind="stable")]
-    same = found["anchor"][1:] == found["anchor"][:-1]
-    found = found[np.append(False, same) | np.append(same, False)]  # an anchor found once repeats nothing
-    kept, repeats = combined(found)
+def _several(values: np.ndarray) -> np.ndarray:
+    """Marks values that stand in the array more than once."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    out = np.zeros(len(values), dtype=bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
+def _matched(rows: pa.Table) -> pa.Table:
+    """A shard's repeats by document, and the regions whose anchors have several.
+
+    Anchors come first in a row, so they are read alone; of the places only those of anchors found more than once are unpacked.
+    """
+    data = [d.as_buffer() for chunk in rows.column("data").chunks for d in chunk]
+    anchors = [np.frombuffer(d, dtype=FIELDS[0][1], count=len(d) // WIDTH) for d in data]
+    # an anchor found once repeats nothing
+    often = _several(np.concatenate(anchors))
+    ends = np.cumsum([len(a) for a in anchors])
+    found = [_unpacked(d, often[end - len(a) : end]) for d, a, end in zip(data, anchors, ends.tolist(), strict=True)]
+    kept, repeats = combined(_taken(found))
+    parts = [_by_document(1, repeats)]
+    del repeats
     same = kept["anchor"][1:] == kept["anchor"][:-1]
-    open_ = kept[np.append(False, same) | np.append(same, False)] if len(kept) else kept
-    parts = [_by_document(1, repeats), _by_document(2, open_)]
-    return pa.Table.from_batches(parts).to_pandas()
+    kept = kept[np.append(False, same) | np.append(same, False)] if len(kept) else kept
+    return pa.Table.from_batches([*parts, _by_document(2, kept)])
 
 
 def _counted(s: Settings):
@@ -479,7 +499,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", s:
     shards = max(1, -(-int(total) // s.shard))
     hot = hot_anchors(texts, shards, s).tobytes()
     sent = staged(texts.mapInArrow(_sent(shards, hot, s), MADE_DDL))
-    met = staged(sent.where("kind = 0").select("shard", "data").groupBy("shard").applyInPandas(_matched, MADE_DDL))
+    met = staged(sent.where("kind = 0").select("shard", "data").groupBy("shard").applyInArrow(_matched, MADE_DDL))
     regions_ = met.where("kind = 2").groupBy("id", "tie").agg(F.collect_list("data").alias("found"))
     size_ = F.length("data") / ENTRY.itemsize * (1.5 * s.length)
     parts = max(1, int((met.where("kind = 2").agg(F.sum(size_)).first()[0] or 0) // s.sorted) + 1)

@@ -146,3 +146,21 @@ def test_a_scan_holds_and_sends_bounded_parts(monkeypatch):
     assert len(whole) > 10 * s.row and {p[0] for p in cut} == {0, 1}
     short = [p for p in whole if p[3] < 60]
     assert short == [p for p in cut if p[3] < 60]
+
+
+def test_a_shard_unpacks_places_of_repeated_anchors_only(monkeypatch):
+    import pyarrow as pa
+
+    def row(places):
+        r = np.array(places, dtype=repeats.PACKED)
+        return b"".join(np.ascontiguousarray(r[n]).tobytes() for n, _ in repeats.FIELDS)
+
+    # (anchor, region, id, tie, start, many, lead): 1 twice alike, 2 twice with two regions, 3, 4 and 5 once
+    first = [(1, 10, 0, 0, 0, 3, 1), (2, 20, 0, 0, 50, 3, 1), (3, 30, 0, 0, 90, 3, 1)]
+    second = [(1, 10, 1, 0, 7, 3, 1), (2, 21, 1, 0, 60, 3, 1), (4, 40, 1, 0, 95, 3, 1), (5, 40, 1, 0, 99, 3, 1)]
+    sizes, combined = [], repeats.combined
+    monkeypatch.setattr(repeats, "combined", lambda rows: sizes.append(len(rows)) or combined(rows))
+    out = repeats._matched(pa.table({"shard": [0, 0], "data": pa.array([row(first), row(second)], pa.binary())}))
+    assert sizes == [4]
+    got = [(r["kind"], r["id"], np.frombuffer(r["data"], dtype=repeats.ENTRY)["start"].tolist()) for r in out.to_pylist()]
+    assert sorted(got) == [(1, 1, [7]), (2, 0, [50]), (2, 1, [60])]
