@@ -5,7 +5,8 @@ the order as it grows: every suffix it meets puts its left neighbour, if that is
 neighbour's character; entries of one key keep their order of arrival, which is their order among suffixes. A queue entry
 is a tuple (place, common prefix with the entry before it under its key): the value is one more than the smallest common prefix met since
 that key's last entry, so prefixes are carried along and never compared again. Recursion works on the names of the seeds' stretches;
-names beyond ``base`` are written as several digits, so each level walks a small alphabet and handles whole buckets with numpy.
+names beyond ``base`` are written as several digits, so each level walks a small alphabet and handles whole buckets with numpy. The recursion
+ends where at most ``direct`` names are left: those fit in memory and are ranked by stretches of doubling length.
 
 A queue beyond ``array`` bytes lies in an unnamed mapped file, each key's entries together, so it is written and read in sequence key by
 key. These files are private scratch of one task, like a spill, and vanish with it, also if it fails; nothing is passed on by them. ``depth`` bounds the common prefixes: longer ones are reported as ``depth``.
@@ -28,6 +29,8 @@ class Plan:
     #: bytes of a queue kept in memory, largest alphabet of a level
     array: int = 256 << 20
     base: int = 2048
+    #: names of a level that are ranked in memory instead of by another level
+    direct: int = 1 << 19
 
 
 def empty(n: int, plan: Plan) -> np.ndarray:
@@ -141,13 +144,13 @@ def _both(text: np.ndarray, rising: np.ndarray, run: np.ndarray, seeds: np.ndarr
     """Falling suffixes in order from the sorted seeds, then rising ones from those; each with prefixes."""
     falls, fall_common = _induced(text, ~rising, run, seeds, prefixes, plan)
     turned = text.max() - text
-    back = None if prefixes is None else np.append(0, fall_common[:0:-1])
+    back = None if prefixes is None else np.append(_KIND(0), fall_common[:0:-1])
     wanted = rising.copy()
     wanted[-1] = False  # the sentinel follows nothing
     rises, rise_common = _induced(turned, wanted, run, falls[::-1], back, plan)
-    rises = np.append(rises, len(text) - 1)[::-1]
+    rises = np.append(rises, _KIND(len(text) - 1))[::-1]
     # prefixes of neighbours, read in the other direction
-    rise_common = np.append(0, np.append(rise_common, 0)[:0:-1])
+    rise_common = np.append(_KIND(0), np.append(rise_common, _KIND(0))[:0:-1])
     return falls, fall_common, rises, rise_common
 
 
@@ -178,6 +181,30 @@ def _equal_neighbours(text: np.ndarray, first: np.ndarray, length: np.ndarray) -
     return same
 
 
+def _doubled(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``suffix_array`` returns, for a text that fits in memory: ranks of stretches of 1, 2, 4, ... characters."""
+    n = len(text)
+    rank = np.unique(text, return_inverse=True)[1].astype(_KIND)
+    ranks, width = [rank], 1
+    while int(rank.max()) + 1 < n:
+        key = rank.astype(np.int64) * (n + 1)
+        key[:-width] += rank[width:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, dtype=_KIND)
+        rank[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        ranks.append(rank)
+        width *= 2
+    order = np.empty(n, dtype=_KIND)
+    order[rank] = np.arange(n, dtype=_KIND)
+    common = np.zeros(n, dtype=_KIND)
+    # the ends differ, so equal stretches lie inside the text
+    for k in range(len(ranks) - 2, -1, -1):
+        same = ranks[k][order[1:] + common[1:]] == ranks[k][order[:-1] + common[1:]]
+        common[1:] += same.astype(_KIND) << k
+    return order, np.minimum(common, depth)
+
+
 def suffix_array(text: np.ndarray, depth: int = 1 << 30, plan: Plan = Plan()) -> tuple[np.ndarray, np.ndarray]:
     """(places of all suffixes in order, common prefix of each with the one before it).
 
@@ -188,11 +215,12 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30, plan: Plan = Plan()) ->
         raise ValueError("a shard holds 2^31 characters at most")
     if n == 1:
         return np.zeros(1, dtype=_KIND), np.zeros(1, dtype=_KIND)
-    step = np.append(np.diff(text), 1)
+    step = np.append(np.diff(text), _KIND(1))
     at = np.arange(n, dtype=_KIND)
     change = np.where(step != 0, at, _KIND(n - 1))
     end = np.minimum.accumulate(change[::-1])[::-1]  # where the run of this character ends
     rising, run = step[end] > 0, end - at + 1
+    del step, at, change, end
     seeds = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(_KIND)
     if len(seeds) > 1:
         ordered, prefixes = _seeds(text, rising, run, seeds, depth, plan)
@@ -200,6 +228,7 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30, plan: Plan = Plan()) ->
         ordered, prefixes = seeds, np.zeros(1, dtype=np.int64)
     falls, fall_common, rises, rise_common = _both(text, rising, run, ordered, prefixes, plan)
     places, common = np.concatenate([falls, rises]), np.concatenate([fall_common, rise_common])
+    del falls, rises, fall_common, rise_common
     key = text[places] * 2 + rising[places]
     order = np.argsort(key, kind="stable")
     places, common, key = places[order], common[order], key[order]
@@ -225,6 +254,8 @@ def _seeds(
         return by_stretch, _neighbours(text, by_stretch, np.zeros(len(seeds), dtype=np.int64), depth)
     names = np.empty(len(seeds), dtype=np.int64)
     names[number] = name
+    if len(names) <= plan.direct:
+        return _placed(text, seeds, *_doubled(names, depth), depth)
     most, digits = int(name[-1]), 1
     while plan.base**digits <= most:
         digits += 1
@@ -244,6 +275,11 @@ def _seeds(
         whole = np.flatnonzero(order % digits == 0)
         common = np.minimum.reduceat(common, np.append(0, whole[:-1] + 1)) // digits
         order = order[whole] // digits
+    return _placed(text, seeds, order, common, depth)
+
+
+def _placed(text: np.ndarray, seeds: np.ndarray, order: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seed suffixes in the order of their names, with common prefixes in characters."""
     ends = np.append(seeds, len(text))
     known = ends[np.minimum(order + common, len(seeds))] - seeds[order]
     return seeds[order], _neighbours(text, seeds[order], known, depth)

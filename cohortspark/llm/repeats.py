@@ -52,11 +52,11 @@ class Settings:
     length: int = 100
     gram: int = 32
     #: bytes of text behind a shard of places, of regions in a shard to sort, and of one numpy step
-    shard: int = 48 << 20
+    shard: int = 24 << 20
     sorted: int = 2 << 20
     step: int = 1 << 20
     #: places held by a task before they are sent, and places of one row that is sent
-    held: int = 1_500_000
+    held: int = 400_000
     row: int = 100_000
     #: bytes of texts copied out of a batch at once
     read: int = 8_000_000
@@ -412,16 +412,17 @@ def _sorted(s: Settings):
         place = np.array(places, dtype=np.int64)
         sizes = np.array([len(p) + 1 for p in parts])
         first = np.cumsum(sizes) - sizes
-        raw = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).astype(np.int64) + 2
-        raw[first + sizes - 1] = 1  # between regions
-        text = np.append(raw, 0)
+        text = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
+        text[:-1] = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+        text[:-1] += 2
+        text[first + sizes - 1] = 1  # between regions
         order, common = suffix_array(text, s.length, s.plan)
         # of the suffixes only the windows' starts matter; equal windows stand together
-        owner = np.full(len(text), -1, dtype=np.int64)
+        owner = np.full(len(text), -1, dtype=np.int32)
         n = place[:, 3]
         starts = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         owner[starts] = np.repeat(np.arange(len(parts)), n)
-        group = np.cumsum(common < s.length)
+        group = np.cumsum(common < s.length, dtype=np.int32)
         own = owner[order] >= 0
         at, group = order[own], group[own]
         who = owner[at]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -40,6 +41,36 @@ def test_suffix_array_with_prefixes(seed):
         assert common.tolist() == [min(n, depth) for n in lengths]
 
 
+@pytest.mark.parametrize("direct", [0, 5, 40])
+def test_suffix_array_where_the_recursion_ends(direct):
+    """Levels above and below the size that is ranked in memory give the same order and prefixes."""
+    rng = np.random.default_rng(direct)
+    for trial in range(60):
+        text = rng.integers(1, int(rng.choice([2, 3, 10])) + 1, rng.integers(0, 120)).tolist()
+        if trial % 3 == 0:
+            text = (text[:7] * 30)[: len(text)]
+        text, depth = [*text, 0], int(rng.choice([3, 10, 1 << 30]))
+        plan = Plan(base=int(rng.choice([2, 3, 2048])), direct=direct)
+        order, common = suffix_array(np.array(text), depth, plan)
+        want, lengths = plain_suffixes(text)
+        assert order.tolist() == want
+        assert common.tolist() == [min(n, depth) for n in lengths]
+
+
+def test_suffix_array_holds_few_bytes_a_character():
+    """Passages that come back with small changes: the levels' arrays must not pile up."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(2, 60, 600)
+    text = np.tile(passage, 400)
+    text[rng.integers(0, len(text), len(text) // 300)] = 61
+    text = np.append(text, 0).astype(np.int32)
+    tracemalloc.start()
+    suffix_array(text, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(text)
+
+
 def brute(rows: list[tuple], n: int) -> list[tuple]:
     """Rows (id, text) as the operator reports them; documents in order of id (none last) and of their texts' hash."""
     seen, out = set(), []
