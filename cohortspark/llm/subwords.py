@@ -111,7 +111,7 @@ def train(docs: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def _scored(weights: bytes, bias: float, s: Settings, text: str):
+def _scored(weights: bytes, bias: float, s: Settings, text: str, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(weights, dtype=np.float32)
         for batch in batches:
@@ -124,7 +124,7 @@ def _scored(weights: bytes, bias: float, s: Settings, text: str):
                     logit += texts.sums(table[found], first) / np.maximum(np.diff(first), 1)
                 scores.append(1 / (1 + np.exp(-logit.clip(-30, 30))))
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            rest = [(n, batch.column(j)) for j, n in enumerate(batch.schema.names) if n != text]
+            rest = [(n, batch.column(j)) for j, n in enumerate(batch.schema.names) if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), score], names=[*(n for n, _ in rest), "score"])
 
     return run
@@ -146,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str,
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), s)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows with ``score``, the probability of class 1, in place of the text column."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "score")]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))
-    maker = _scored(model[0].tobytes(), model[1], s, "__text")
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", s: Settings = Settings(), keep_text: bool = False) -> DataFrame:
+    """The rows with ``score``, the probability of class 1, in place of the text column, or beside it, so that a text is sent once."""
+    kept = [f for f in docs.schema.fields if f.name != "score" and (keep_text or f.name != text)]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], *([] if keep_text else [F.col(f"`{text}`").alias("__text")]))
+    maker = _scored(model[0].tobytes(), model[1], s, text if keep_text else "__text", keep_text)
     return rows.mapInArrow(maker, T.StructType([*kept, T.StructField("score", T.DoubleType())]))

@@ -9,7 +9,6 @@ a doc_id are decided like others, and an id that stands for different texts lose
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortspark.llm import neardup, quality_rules
 from cohortspark.llm.common import table
@@ -27,8 +26,7 @@ def follow_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the folder's labels, scores at 0.7 or more."""
-    marked = docs.select("*", F.col("text").alias("__body"))
-    scored = quality_scores(spark, sf_dir, marked, text="__body")
+    scored = quality_scores(spark, sf_dir, docs, keep_text=True)
     return scored.where("score >= 0.7").select(*docs.columns)
 
 

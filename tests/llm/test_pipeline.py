@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import neardup, queries
+from cohortspark.llm import neardup, queries, subwords
 from cohortspark.llm.textnum import Texts
 
 SF = "/root/testdata/sf0.01"
@@ -148,6 +149,28 @@ def test_stages_take_nothing_and_nulls(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() >= 0
 
 
+def test_the_classifier_gets_each_text_once(spark):
+    """What is sent to Python is held there and in the executor: the columns and the mark of held-out rows, no second text."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    node = corpus_pipeline.keep_quality(spark, docs, sf)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().apply(0)
+    assert node.children().apply(0).output().size() == len(docs.columns) + 1
+
+
+def test_scores_hold_little_beside_the_texts():
+    texts = pa.RecordBatch.from_arrays([pa.array([f"{BASE} {i}" * 15 for i in range(2000)])], names=["text"])
+    weights = np.zeros(1 << subwords.Settings().bits, dtype=np.float32).tobytes()
+    scored = subwords._scored(weights, 0.5, subwords.Settings(), "text", keep_text=True)
+    tracemalloc.start()
+    out = list(scored(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0].schema.names == ["text", "score"] and out[0].num_rows == 2000
+    assert peak < 64_000_000
+
+
 def test_run_is_the_chain_of_its_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
