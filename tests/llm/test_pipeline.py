@@ -159,6 +159,34 @@ def test_the_classifier_gets_each_text_once(spark):
     assert node.children().apply(0).output().size() == len(docs.columns) + 1
 
 
+def test_stages_in_python_get_small_batches(spark):
+    name, sf = "spark.sql.execution.arrow.maxRecordsPerBatch", "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(i, f"{BASE} {i}") for i in range(30)], "doc_id bigint, text string").coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            for before, after in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+                spark.conf.set(name, before)
+                made = stage(spark, docs, sf)
+                assert spark.conf.get(name) == after
+            assert made.count() >= 0  # batches of seven rows
+    finally:
+        spark.conf.unset(name)
+
+
+def test_small_batches_change_no_row(spark):
+    """Every stage carries its state over from batch to batch."""
+    name, sf = "spark.sql.execution.arrow.maxRecordsPerBatch", "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = []
+    try:
+        for rows in ("1000", "3"):
+            spark.conf.set(name, rows)
+            got.append(sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    finally:
+        spark.conf.unset(name)
+    assert docs.count() and got[0] == got[1]
+
+
 def test_scores_hold_little_beside_the_texts():
     texts = pa.RecordBatch.from_arrays([pa.array([f"{BASE} {i}" * 15 for i in range(2000)])], names=["text"])
     weights = np.zeros(1 << subwords.Settings().bits, dtype=np.float32).tobytes()
